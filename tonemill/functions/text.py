@@ -102,13 +102,15 @@ def word_ngrams(items: Column) -> Column:
     return F.concat(items, word_pairs(items), word_triples(items))
 
 
+def _runs_of(text: Column, n: int) -> Column:
+    # Each match takes one character and captures the run that starts there, so a
+    # long text is read once; cutting by position would count from the start each time.
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """Character runs of ``low`` to ``high`` characters, spaces included."""
-    parts = []
-    for n in range(low, high + 1):
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        cut = F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n)))
-        parts.append(F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>")))
+    parts = [_runs_of(text, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

@@ -142,7 +142,7 @@ def raised_scores(scores: Column, top: Column) -> Column:
     )
 
 
-def _scaled(parts: Column, total: Column) -> Column:
+def scaled(parts: Column, total: Column) -> Column:
     return F.transform(
         parts,
         lambda s: F.struct(
@@ -151,11 +151,11 @@ def _scaled(parts: Column, total: Column) -> Column:
     )
 
 
-def _sum_of(items: Column, field: str) -> Column:
+def sum_of(items: Column, field: str) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, s: acc + s[field])
 
 
-def _top_of(items: Column, field: str) -> Column:
+def top_of(items: Column, field: str) -> Column:
     return F.array_max(F.transform(items, lambda s: s[field]))
 
 
@@ -175,13 +175,13 @@ def member_distributions(df: DataFrame, features: list[str]) -> DataFrame:
         "_e",
         F.transform(
             "_s",
-            lambda m: F.struct(m["model_id"].alias("model_id"), raised_scores(m["s"], _top_of(m["s"], "score")).alias("e")),
+            lambda m: F.struct(m["model_id"].alias("model_id"), raised_scores(m["s"], top_of(m["s"], "score")).alias("e")),
         ),
     )
     votes = F.transform(
         "_e",
         lambda m: F.struct(
-            m["model_id"].alias("model_id"), _scaled(m["e"], _sum_of(m["e"], "prob")).alias("dist")
+            m["model_id"].alias("model_id"), scaled(m["e"], sum_of(m["e"], "prob")).alias("dist")
         ),
     )
     return raised.withColumn("votes", votes).drop("_s", "_e", "members")
@@ -204,7 +204,7 @@ def average_votes(df: DataFrame) -> DataFrame:
         return F.struct(
             name["label_idx"].alias("label_idx"),
             name["label"].alias("label"),
-            (_sum_of(mine, "prob") / F.size("votes")).alias("prob"),
+            (sum_of(mine, "prob") / F.size("votes")).alias("prob"),
         )
 
     return (

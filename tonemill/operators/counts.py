@@ -8,13 +8,15 @@ occur are stored, and tables merge by adding ``n``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import char_ngrams
-from tonemill.operators.bayes import _scaled, _sum_of, _top_of, pick_class, raised_scores
-from tonemill.operators.joins import lookup_join
+from tonemill.operators.bayes import pick_class, raised_scores, scaled, sum_of, top_of
+from tonemill.operators.joins import Lookup, lookup_join, store_lookup
+from tonemill.session import durable
 
 TEXTS = ""
 
@@ -68,16 +70,44 @@ def class_names(stats: DataFrame) -> list[str]:
     return [r["label"] for r in rows]
 
 
+@dataclass(frozen=True)
+class CountModel:
+    """The stored scoring form: one row per term, one row of classes per model."""
+
+    labels: list[str]
+    terms: Lookup
+    classes: Lookup
+    by: list[str]
+    alpha: float
+    known_only: bool
+
+
+def prepare_counts(
+    stats: DataFrame, by: list[str] | None = None, alpha: float = 1.0, prior: bool = True, known_only: bool = True
+) -> CountModel:
+    """Store the statistics once and lay them out for scoring."""
+    by = by or []
+    stored = durable(stats, "counts")
+    labels = class_names(stored)
+    floor = math.log(alpha)
+    gains = [
+        F.coalesce(
+            F.sum(F.when(F.col("label") == name, F.log(F.col("n") + F.lit(alpha)) - floor)), F.lit(0.0)
+        ).alias(f"_g{i}")
+        for i, name in enumerate(labels)
+    ]
+    seen = stored.filter(F.col("feature") != TEXTS)
+    terms = seen.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), *gains)
+    classes = class_table(stored, by, alpha, prior)
+    if not by:
+        classes = classes.withColumn("_model", F.lit(""))
+    return CountModel(
+        labels, store_lookup(terms, "terms"), store_lookup(classes, "classes"), by, alpha, known_only
+    )
+
+
 def count_scores(
-    df: DataFrame,
-    stats: DataFrame,
-    key: list[str],
-    terms: str = "terms",
-    by: list[str] | None = None,
-    keep: list[str] | None = None,
-    alpha: float = 1.0,
-    prior: bool = True,
-    known_only: bool = True,
+    df: DataFrame, model: CountModel, key: list[str], terms: str = "terms", keep: list[str] | None = None
 ) -> DataFrame:
     """Score texts; adds ``dist``, ``predicted`` and ``prob`` per key.
 
@@ -86,29 +116,19 @@ def count_scores(
     and a part only for terms the class has seen, so each term needs one join with
     the terms that exist, and each text leaves its task as one row.
     """
-    by, keep = by or [], keep or []
-    labels = class_names(stats)
-    floor = math.log(alpha)
-    seen = stats.filter(F.col("feature") != TEXTS)
-    gains = [
-        F.sum(F.when(F.col("label") == name, F.log(F.col("n") + F.lit(alpha)) - floor)).alias(f"_g{i}")
-        for i, name in enumerate(labels)
-    ]
-    lookup = seen.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), *gains)
+    by, keep, labels = model.by, keep or [], model.labels
+    floor = math.log(model.alpha)
     rows = df.select(*key, *by, *keep, F.explode_outer(terms).alias("term"))
-    joined = lookup_join(rows, lookup, [*by, "term"], "left", spread=key)
-    counted = F.col("_known").isNotNull() if known_only else F.col("term").isNotNull()
+    joined = lookup_join(rows, model.terms, [*by, "term"], "left", spread=key)
+    counted = F.col("_known" if model.known_only else "term").isNotNull()
     summed = joined.groupBy(*key, *by, *keep).agg(
         F.count(F.when(counted, 1)).alias("_n"),
         *[F.coalesce(F.sum(f"_g{i}"), F.lit(0.0)).alias(f"_g{i}") for i in range(len(labels))],
     )
-    classes = class_table(stats, by, alpha, prior)
-    with_classes = (
-        lookup_join(summed, classes, by, "left", spread=key) if by
-        else summed.withColumn("_d", F.lit("")).transform(
-            lambda d: lookup_join(d, classes.withColumn("_d", F.lit("")), ["_d"], "left", spread=key)
-        ).drop("_d")
-    )
+    on = by
+    if not by:
+        on, summed = ["_model"], summed.withColumn("_model", F.lit(""))
+    with_classes = lookup_join(summed, model.classes, on, "left", spread=key)
     gain_by_class = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.col(f"_g{i}"))])
 
     def score(c: Column) -> Column:
@@ -121,8 +141,8 @@ def count_scores(
     staged = (
         with_classes.withColumn("_gains", gain_by_class)
         .withColumn("_s", F.transform("classes", score))
-        .withColumn("_e", raised_scores(F.col("_s"), _top_of(F.col("_s"), "score")))
-        .withColumn("dist", _scaled(F.col("_e"), _sum_of(F.col("_e"), "prob")))
+        .withColumn("_e", raised_scores(F.col("_s"), top_of(F.col("_s"), "score")))
+        .withColumn("dist", scaled(F.col("_e"), sum_of(F.col("_e"), "prob")))
     )
     return pick_class(staged).select(*key, *by, *keep, "dist", "predicted", "prob")
 
@@ -138,6 +158,6 @@ def with_char_grams(df: DataFrame, order: int = CHAR_ORDER, text: str = "text",
     return df.withColumn(name, char_ngrams(F.col(text), order, order))
 
 
-def char_model_scores(df: DataFrame, stats: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
+def prepare_char_model(stats: DataFrame) -> CountModel:
     """Summed log-likelihood under each class's n-gram counts, without class priors."""
-    return count_scores(df, stats, key, keep=keep, alpha=CHAR_ALPHA, prior=False, known_only=False)
+    return prepare_counts(stats, alpha=CHAR_ALPHA, prior=False, known_only=False)

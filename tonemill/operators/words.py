@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import shingles, word_ngrams, words
-from tonemill.operators.joins import lookup_join
+from tonemill.operators.joins import lookup_join, store_lookup
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
@@ -80,14 +80,11 @@ def information_gain(df: DataFrame, terms: str = "terms", label: str = "label")
     a term never occurs adds nothing but its own total, so only counts that
     exist are stored.
     """
-    totals = df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n_c"))
-    whole = totals.agg(
+    totals = store_lookup(df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n_c")), "classes")
+    overall = totals.table.agg(
         F.sum("n_c").alias("n_all"), F.sum(_xlogx(F.col("n_c"))).alias("classes_part")
-    )
-    overall = whole.first()
-    n_all, classes_part = overall["n_all"], overall["classes_part"]
-    if n_all is None:
-        n_all, classes_part = 0.0, 0.0
+    ).first()
+    n_all, classes_part = overall["n_all"] or 0.0, overall["classes_part"] or 0.0
     counts = presence(df, [label], terms).groupBy("term", label).agg(
         F.count(F.lit(1)).cast("double").alias("n_tc")
     )

@@ -92,7 +92,7 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     rows = with_domain(df)
     if model.learner == "multinomial_nb":
         words = _terms(rows, model.features, key)
-        return counts.count_scores(words, model.params, [key], by=["domain"], keep=keep)
+        return counts.count_scores(words, counts.prepare_counts(model.params, ["domain"]), [key], keep=keep)
     vectors = _vectors(rows, model.features, key, ["domain", *keep])
     if model.learner == "gaussian_nb":
         return bayes.classify_vectors(vectors, model.params, FEATURES, FEATURE_WEIGHTS, spread=[key])
