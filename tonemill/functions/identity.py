@@ -15,7 +15,7 @@ def domain_or_default(domain: Column) -> Column:
 
 def domain_list(names: Column) -> Column:
     """``a,b`` becomes ``[a, b, $DEF]`` without blanks or repeats."""
-    parts = F.transform(F.split(F.coalesce(names, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(names, F.lit("")), ","), lambda x: F.trim(x))
     named = F.filter(parts, lambda x: x != "")
     return F.array_distinct(F.concat(named, F.array(F.lit(DEFAULT_DOMAIN))))
 

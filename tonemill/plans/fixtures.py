@@ -171,33 +171,57 @@ def melted(source: str, keep: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def gaussian_sql(train: str, rows: str, model: str, keep: str, prefix: str = "") -> str:
-    """CTEs from training rows to class probabilities of rows; ``model`` lists the model's key columns."""
-    p = prefix
-    return f"""{p}long AS ({melted(train, model + ", label")}),
-{p}stats AS (SELECT {model}, label, feature, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM {p}long GROUP BY ALL),
-{p}floors AS (SELECT {model}, CASE WHEN max(var) > 0 THEN max(var) * 1e-9 ELSE 1e-9 END AS eps FROM {p}stats GROUP BY ALL),
-{p}prior AS (SELECT {model}, label, ln(n * 1.0 / sum(n) OVER (PARTITION BY {model})) AS prior
-             FROM (SELECT DISTINCT {model}, label, n FROM {p}stats)),
-{p}xs AS ({melted(rows, keep)}),
-{p}ll AS (SELECT {keep}, {model}, label, any_value(prior) + sum(
+def gaussian_sql(train: str, rows: str, model: list[str], row: list[str], p: str = "") -> str:
+    """CTEs from training rows to class probabilities of rows.
+
+    ``model`` lists the columns that name a model, ``row`` those that name a row;
+    rows meet the models they share columns with.
+    """
+    shared = [c for c in model if c in row]
+    out = [*row, *[c for c in model if c not in row]]
+    m, o = ", ".join(model), ", ".join(out)
+    return f"""{p}long AS ({melted(train, m + ", label")}),
+{p}stats AS (SELECT {m}, label, feature, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM {p}long GROUP BY ALL),
+{p}floors AS (SELECT {m}, CASE WHEN max(var) > 0 THEN max(var) * 1e-9 ELSE 1e-9 END AS eps FROM {p}stats GROUP BY ALL),
+{p}prior AS (SELECT {m}, label, ln(n * 1.0 / sum(n) OVER (PARTITION BY {m})) AS prior
+             FROM (SELECT DISTINCT {m}, label, n FROM {p}stats)),
+{p}xs AS ({melted(rows, ", ".join(row))}),
+{p}ll AS (SELECT {o}, label, any_value(prior) + sum(
     (CASE WHEN feature = 'score_all' THEN 2.0 ELSE 1.0 END)
     * (-0.5 * ln(2 * pi() * (var + eps)) - (x - mean) * (x - mean) / (2 * (var + eps)))) AS score
-  FROM {p}xs JOIN {p}stats USING (MODELKEYS feature) JOIN {p}floors USING ({model}) JOIN {p}prior USING ({model}, label)
+  FROM {p}xs JOIN {p}stats USING ({", ".join([*shared, "feature"])}) JOIN {p}floors USING ({m})
+       JOIN {p}prior USING ({m}, label)
   GROUP BY ALL),
-{p}raised AS (SELECT *, exp(score - max(score) OVER (PARTITION BY {keep}, {model})) AS e FROM {p}ll),
-{p}probs AS (SELECT {keep}, {model}, label, e / sum(e) OVER (PARTITION BY {keep}, {model}) AS prob FROM {p}raised)"""
+{p}raised AS (SELECT *, exp(score - max(score) OVER (PARTITION BY {o})) AS e FROM {p}ll),
+{p}probs AS (SELECT {o}, label, e / sum(e) OVER (PARTITION BY {o}) AS prob FROM {p}raised)"""
 
 
-NB_BY_DOMAIN = (
-    gaussian_sql("train", "train", "domain", "doc_id, domain")
-    .replace("MODELKEYS", "domain,")
-    .replace("doc_id, domain, domain", "doc_id, domain")
-)
-NB_SCORED = f"""WITH {TRAINING}, {NB_BY_DOMAIN},
-best AS (SELECT doc_id, arg_max(label, (round(prob, 12), CASE WHEN label = 'neg' THEN 1 ELSE 0 END)) AS predicted,
-                max(prob) AS prob FROM probs GROUP BY doc_id),
-scored AS (SELECT doc_id, domain, label, predicted, best.prob FROM train JOIN best USING (doc_id))"""
+# Equal probabilities go to the class that comes first by name, that is ``neg``.
+ARGMAX = "arg_max(label, (prob, CASE WHEN label = 'neg' THEN 1 ELSE 0 END))"
+
+NB = f"""{TRAINING}, {gaussian_sql("train", "train", ["domain"], ["doc_id", "domain"])},
+best AS (SELECT doc_id, {ARGMAX} AS predicted, max(prob) AS top FROM probs GROUP BY doc_id),
+scored AS (SELECT doc_id, domain, label, predicted, top FROM train JOIN best USING (doc_id))"""
+
+
+def measures_sql(probs: str, scored: str, keys: list[str]) -> str:
+    """CTEs with the quality measures of scored rows per key; ``probs`` holds every class of a row."""
+    k = ", ".join(keys)
+    return f"""errs AS (SELECT {k}, avg(abs(p.prob - (p.label = s.label)::INT)) AS mean_abs_err,
+    sqrt(avg(power(p.prob - (p.label = s.label)::INT, 2))) AS root_mean_sq_err
+  FROM (SELECT doc_id, label, prob FROM {probs}) p JOIN {scored} s USING (doc_id) GROUP BY ALL),
+cells AS (SELECT {k}, label, predicted, count(*) AS n FROM {scored} GROUP BY ALL),
+tot AS (SELECT {k}, sum(n) AS n, coalesce(sum(n) FILTER (label = predicted), 0) / sum(n) AS po FROM cells GROUP BY ALL),
+chance AS (SELECT {k}, sum(a.n * b.n) AS c FROM (SELECT {k}, label AS cls, sum(n) AS n FROM cells GROUP BY ALL) a
+  JOIN (SELECT {k}, predicted AS cls, sum(n) AS n FROM cells GROUP BY ALL) b USING ({k}, cls) GROUP BY ALL),
+measures AS (SELECT {k}, CAST(n AS BIGINT) AS n, po AS accuracy,
+    CASE WHEN coalesce(c, 0) / (n * n) < 1 THEN (po - coalesce(c, 0) / (n * n)) / (1 - coalesce(c, 0) / (n * n)) ELSE 0 END AS kappa,
+    mean_abs_err, root_mean_sq_err, (1 - po) * 100 AS pct_incorrect
+  FROM tot LEFT JOIN chance USING ({k}) JOIN errs USING ({k}))"""
+
+
+MEASURES = ["accuracy", "kappa", "mean_abs_err", "root_mean_sq_err", "pct_incorrect"]
+ROUNDED_MEASURES = ", ".join(f"round({m}, 6) AS {m}" for m in MEASURES)
 
 # The words of a text: acronyms, words with apostrophes, runs of letters and digits.
 WORD_LIST = r"""list_transform(regexp_extract_all(text, '\p{L}\.(?:\p{L}\.)+|\p{L}+(?:[''’]\p{L}+)+|[\p{L}\p{N}]+'),

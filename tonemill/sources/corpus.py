@@ -47,7 +47,7 @@ def split_lines(lines: DataFrame, fmt: LineFormat, line: str = "value") -> DataF
 
     Empty fields at the end of a line do not count as fields.
     """
-    fields = F.split(F.rtrim(F.lit("\t"), F.col(line)), "\t")
+    fields = F.split(F.rtrim(F.col(line), F.lit("\t")), "\t")
     c, t = (0, 1) if fmt.class_first else (1, 0)
     parts = lines.withColumn("_f", fields)
     two = F.size("_f") == 2

@@ -22,7 +22,7 @@ def parse_lines(lines: DataFrame, line: str = "value", order: list[str] | None =
     """
     kept = lines.filter(~F.trim(F.col(line)).startswith("#"))
     # Empty fields at the end of a line do not count.
-    parts = F.split(F.rtrim(F.lit("\t"), F.col(line)), "\t")
+    parts = F.split(F.rtrim(F.col(line), F.lit("\t")), "\t")
     message = F.concat(F.lit("lexicon line without six fields: "), F.col(line))
     checked = kept.withColumn(
         "_f", F.when(F.size(parts) == FIELDS, parts).otherwise(F.raise_error(message))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.functions.identity import model_ids, registry_key
@@ -71,17 +71,20 @@ def save_status(headers: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def save_models(
-    params: DataFrame, path: str, algorithm: str, generated_on: int, combiner: str = "voting",
+    params: DataFrame, path: str, algorithm: str, generated_on: int | Column, combiner: str = "voting",
     features: str = "sentiment", keys: list[str] | None = None,
 ) -> DataFrame:
     """Append the models that are new; returns one status row per model.
 
+    ``generated_on`` is the time of all models, or a column made from their keys.
     Parameters are written before headers, so a header never names a model that
     is not there.  A repeated save finds its own models and changes nothing.
     """
     spark, keys = params.sparkSession, keys or ["domain"]
     headers = headers_of(params, algorithm, combiner, features, keys)
-    status = durable(save_status(headers.withColumn("generated_on", F.lit(generated_on).cast("long")), load_headers(spark, path)))
+    made_on = generated_on if isinstance(generated_on, Column) else F.lit(generated_on)
+    timed = headers.withColumn("generated_on", made_on.cast("long"))
+    status = durable(save_status(timed, load_headers(spark, path)), "status")
     fresh = status.filter(F.col("status") == CREATED)
     body = params.join(fresh.select(*keys, "model_id"), keys)
     for name in ("mean", "m2"):

@@ -73,7 +73,7 @@ def parse_payloads(df: DataFrame, payload: str = "payload", keep: list[str] | No
     form it shows; what shows none, or yields no row, goes to the rejects.
     """
     keep = keep or []
-    lines = F.transform(F.split(payload, "\n"), lambda x: F.rtrim(F.lit("\r"), x))
+    lines = F.transform(F.split(payload, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
     formed = df.withColumn("form", payload_form(F.col(payload))).withColumn("_lines", lines)
     is_data = lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("%") & ~F.trim(x).startswith("@")
     csv_names = F.split(F.lower(F.col("_lines")[0]), ",")
@@ -120,7 +120,7 @@ def parse_payloads(df: DataFrame, payload: str = "payload", keep: list[str] | No
 
 def parse_manifests(df: DataFrame, content: str = "value", keep: list[str] | None = None) -> DataFrame:
     """(keep..., dir, domain, tabbed, format): line 1 to 4 of a job manifest; an empty one is dropped."""
-    lines = F.transform(F.split(content, "\n"), lambda x: F.rtrim(F.lit("\r"), x))
+    lines = F.transform(F.split(content, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
     staged = df.filter(F.trim(F.col(content)) != "").withColumn("_l", lines)
     line = lambda i: F.get("_l", F.lit(i))
     blank = F.coalesce(F.trim(line(1)), F.lit("")) == ""

@@ -43,10 +43,12 @@ def message_stream(
     return parse_requests(lines)
 
 
-def trigger_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+def trigger_stream(
+    spark: SparkSession, path: str, files_per_trigger: int = 100, glob: str = TRIGGER_GLOB
+) -> DataFrame:
     """(file, dir, domain, tabbed, format) of job manifests; files without the trigger ending are ignored."""
     raw = file_stream(
-        spark, path, "value string", "text", files_per_trigger, TRIGGER_GLOB, wholetext="true"
+        spark, path, "value string", "text", files_per_trigger, glob, wholetext="true"
     )
     return parse_manifests(
         raw.select("value", F.col("_metadata.file_path").alias("file")), "value", ["file"]

@@ -124,19 +124,21 @@ def load_job(spark: SparkSession, directory: str, tabbed: bool, spec: str | None
 
 
 def run_triggers(
-    triggers: DataFrame, handle: Callable[[DataFrame, str], None], checkpoint: str, flush: bool = False,
+    triggers: DataFrame, handle: Callable[[DataFrame, str, str], None], checkpoint: str, flush: bool = False,
     interval: str = SNAPSHOT_INTERVAL,
 ) -> StreamingQuery:
-    """Load the corpus of every new manifest and pass it to ``handle(rows, domain)``.
+    """Load the corpus of every new manifest and pass it to ``handle(rows, domain, job_id)``.
 
     The list of jobs in a micro-batch is bounded by the files taken per trigger;
     only the manifests pass through the driver, the corpora do not.  The checkpoint
-    remembers finished manifests.
+    remembers finished manifests.  After a crash a manifest may be handled again
+    under the same job id, so a handler writes to a place named by that id.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        for job in batch.orderBy("file").collect():
+        jobs = batch.withColumn("job_id", F.md5("file")).orderBy("file").collect()
+        for job in jobs:
             rows = load_job(batch.sparkSession, job["dir"], job["tabbed"], job["format"])
-            handle(rows.withColumn("domain", F.lit(job["domain"])), job["domain"])
+            handle(rows.withColumn("domain", F.lit(job["domain"])), job["domain"], job["job_id"])
 
     return start(triggers.writeStream.foreachBatch(run), checkpoint, flush, interval)
