@@ -7,7 +7,7 @@ repeat the work for every element.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The English stop words of the tokenizer.
@@ -24,8 +24,13 @@ SENTENCE_END = r"[.!?\n]+"
 NON_LETTERS = r"[^\p{L}]+"
 
 # An acronym with dots, a word with inner apostrophes, or a run of letters and digits.
-# Possessive quantifiers keep the matcher iterative on very long runs.
-WORD = r"\p{L}\.(?:\p{L}\.)++|\p{L}++(?:['’]\p{L}++)++|[\p{L}\p{N}]++"
+# Possessive quantifiers keep the matcher iterative on very long runs; a plain word that
+# no digit follows is settled by the second branch without being read again.
+WORD = (
+    r"\p{L}\.(?:\p{L}\.)++"
+    r"|\p{L}++(?:(?:['’]\p{L}++)++|(?!\p{N}))"
+    r"|[\p{L}\p{N}]++"
+)
 
 
 def strip_noise(text: Column) -> Column:
@@ -60,11 +65,15 @@ def lookup_words(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(text), r"[\p{L}&&[^a-z]]+", ""), "[^a-z]+")
 
 
+def _clean_word(word: Column) -> Column:
+    apostrophe = word.contains("'") | word.contains("’")
+    owner = F.when(apostrophe, F.regexp_replace(word, "['’][sS]$", "")).otherwise(word)
+    return F.lower(F.when(owner.contains("."), F.replace(owner, F.lit("."), F.lit(""))).otherwise(owner))
+
+
 def words(text: Column) -> Column:
     """Lower-case words: acronym dots and a final possessive ``'s`` are removed."""
-    raw = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    no_dots = F.transform(raw, lambda x: F.replace(x, F.lit("."), F.lit("")))
-    return F.transform(no_dots, lambda x: F.lower(F.regexp_replace(x, "['’][sS]$", "")))
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _clean_word)
 
 
 def is_stop(term: Column) -> Column:
@@ -102,18 +111,27 @@ def word_ngrams(items: Column) -> Column:
     return F.concat(items, word_pairs(items), word_triples(items))
 
 
-def _runs_of(text: Column, n: int) -> Column:
-    # Each match takes one character and captures the run that starts there, so a
-    # long text is read once; cutting by position would count from the start each time.
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+def char_windows(text: Column, low: int, high: int) -> Column:
+    """At each character the run of up to ``high`` characters, if it has at least ``low``.
+
+    Each match takes one character and captures the run that starts there, so a
+    long text is read once; cutting by position would count from the start each time.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{low},{high}}}))."), F.lit(1))
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """Character runs of ``low`` to ``high`` characters, spaces included."""
-    parts = [_runs_of(text, n) for n in range(low, high + 1)]
+    parts = [char_windows(text, n, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def prefixes(window: Column, low: int, high: int) -> Column:
+    """The starts of a window with ``low`` to ``high`` characters."""
+    cut = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.substring(window, F.lit(1), n))
+    return F.slice(cut, 1, F.greatest(F.length(window) - (low - 1), F.lit(0)))
+
+
 def distinct_terms(items: Column) -> Column:
     return F.array_distinct(items)
 
@@ -150,3 +168,17 @@ def escape_markup(text: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     return F.translate(name, "/\\:", "___")
+
+
+def unnest(df: DataFrame, items: Column, keep: list[str], name: str, position: str | None = None) -> DataFrame:
+    """One row per array item.
+
+    A plain explode makes the optimizer test the array for emptiness in a filter of
+    its own, which computes a costly array several times over; the outer form with
+    the empty rows dropped afterwards computes it once.
+    """
+    if position is None:
+        rows = df.select(*keep, F.explode_outer(items).alias(name))
+    else:
+        rows = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    return rows.filter(F.col(name).isNotNull())

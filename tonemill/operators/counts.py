@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemill.functions.text import char_ngrams
+from tonemill.functions.text import char_ngrams, unnest
 from tonemill.operators.bayes import pick_class, raised_scores, scaled, sum_of, top_of
 from tonemill.operators.joins import Lookup, lookup_join, store_lookup
 from tonemill.session import durable
@@ -25,7 +25,7 @@ def count_fit(df: DataFrame, terms: str = "terms", by: list[str] | None = None,
     """Term counts by class; repeats inside a task are added up before the shuffle."""
     by = by or []
     with_text_mark = F.concat(F.array(F.lit(TEXTS)), F.col(terms))
-    rows = df.select(*by, F.col(label).alias("label"), F.explode(with_text_mark).alias("feature"))
+    rows = unnest(df.withColumn("label", F.col(label)), with_text_mark, [*by, "label"], "feature")
     return rows.groupBy(*by, "label", "feature").agg(F.count(F.lit(1)).alias("n"))
 
 

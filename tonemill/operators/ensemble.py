@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonemill.functions.text import unnest
 from tonemill.operators.bayes import score_members
 from tonemill.operators.evaluate import row_errors
 
@@ -38,7 +39,7 @@ def member_errors(
 ) -> DataFrame:
     """(domain, model_id, n, root_mean_sq_err) of every member on the rows of its domain."""
     voted = score_members(rows, models, features, weights, domain, "model_id", spread)
-    each = voted.select(domain, label, F.explode("votes").alias("_v")).select(
+    each = unnest(voted, F.col("votes"), [domain, label], "_v").select(
         domain, label, F.col("_v.model_id").alias("model_id"), F.col("_v.dist").alias("dist")
     )
     _, squared, classes = row_errors(F.col(label), F.col("dist"))

@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonemill.functions.text import unnest
 from tonemill.operators.bayes import (
     average_votes,
     member_distributions,
@@ -151,10 +152,12 @@ def nearest_rows(
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
         .drop("_home")
     )
+    named = queries.select(
+        F.col(key).alias("q_id"), F.col(vector).cast("array<double>").alias("q_vec"),
+        F.pmod(F.xxhash64(key), F.lit(query_blocks)).cast("int").alias("q_block"),
+    )
     asked = (
-        queries.select(F.col(key).alias("q_id"), F.col(vector).cast("array<double>").alias("q_vec"))
-        .withColumn("q_block", F.pmod(F.xxhash64("q_id"), F.lit(query_blocks)).cast("int"))
-        .withColumn("cell", F.explode(visits("q_vec")))
+        unnest(named.withColumn("_cells", visits("q_vec")), F.col("_cells"), ["q_id", "q_vec", "q_block"], "cell")
         .withColumn("split", F.explode(F.sequence(F.lit(0), split_of[F.col("cell")] - 1)))
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.functions.text import shingles, word_ngrams, words
+from tonemill.functions.text import char_windows, prefixes, shingles, unnest, word_ngrams, words
 from tonemill.operators.joins import lookup_join, store_lookup
 
 
@@ -41,12 +41,25 @@ def term_frequency(
     df: DataFrame, key: list[str], terms: str = "terms", lemmas: DataFrame | None = None
 ) -> DataFrame:
     """(key..., term, n, first_pos): how often a term occurs in a text and where it comes first."""
-    rows = df.select(*key, F.posexplode(terms).alias("pos", "term"))
+    rows = unnest(df, F.col(terms), key, "term", "pos")
     if lemmas is not None:
         rows = lemmatised(rows, lemmas, key)
     return rows.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
+def char_ngram_counts(df: DataFrame, low: int, high: int, terms: str = "terms") -> DataFrame:
+    """(gram, n) over the characters of all terms.
+
+    Every position gives one window of the longest length; the windows, which are
+    few, are counted first, and the shorter grams are the starts of the windows.
+    """
+    terms_ = unnest(df, F.col(terms), [], "term")
+    windows = unnest(terms_, char_windows(F.col("term"), low, high), [], "window")
+    counted = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
+    grams = counted.select("n", F.explode(prefixes(F.col("window"), low, high)).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def joined_distinct_terms(terms: Column) -> Column:
     """The distinct terms of a text in order of first use, joined by blanks."""
     return F.array_join(F.array_distinct(terms), " ")
@@ -54,7 +67,7 @@ def joined_distinct_terms(terms: Column) -> Column:
 
 def presence(df: DataFrame, keep: list[str], terms: str = "terms") -> DataFrame:
     """One row per text and distinct term; repeats vanish inside the row, without a shuffle."""
-    return df.select(*keep, F.explode(F.array_distinct(terms)).alias("term"))
+    return unnest(df, F.array_distinct(terms), keep, "term")
 
 
 def vocabulary(batch: DataFrame, terms: str = "terms", min_docs: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ def f1(spark, sf):
   SELECT lower(regexp_replace(w, '[^a-zA-Z\s]', '', 'g')) AS key FROM (SELECT unnest({WORD_LIST}) AS w FROM documents))
   GROUP BY key""")
 def f2(spark, sf):
-    words_ = documents(spark, sf).select(F.explode(text.words(F.col("text"))).alias("w"))
+    words_ = text.unnest(documents(spark, sf), text.words(F.col("text")), [], "w")
     return words_.groupBy(text.lookup_key(F.col("w")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,11 +69,8 @@ def f6(spark, sf):
         FROM (SELECT {WORD_LIST} AS w FROM documents)))
   GROUP BY gram""")
 def f7(spark, sf):
-    """Grams of all shingles.  Equal shingles are counted first, and each is cut once."""
-    terms = words.with_terms(documents(spark, sf), "shingles").select(F.explode("terms").alias("t"))
-    counted = terms.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    grams = counted.select("n", F.explode(text.char_ngrams(F.col("t"), 1, 3)).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum("n").alias("n"))
+    """Grams of one to three characters of all shingles."""
+    return words.char_ngram_counts(words.with_terms(documents(spark, sf), "shingles"), 1, 3)
 
 
 @query("f8_word_ngrams", f"""SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (
@@ -115,7 +112,7 @@ def f10(spark, sf):
   SELECT word, n, round(coalesce(s_a + s_r + s_n + s_v, 0), 9) AS score FROM keyed LEFT JOIN wide USING (term)""")
 def f11(spark, sf):
     """The score over all parts of speech of every word in use."""
-    used = documents(spark, sf).select(F.explode(text.letter_words(F.col("text"))).alias("word"))
+    used = text.unnest(documents(spark, sf), text.letter_words(F.col("text")), [], "word")
     counted = used.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     keyed = counted.withColumn("term", text.lookup_key(F.col("word")))
     scored = lookup_join(keyed, lexicon(spark), ["term"], spread=["word"])

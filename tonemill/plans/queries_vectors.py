@@ -49,8 +49,7 @@ def lines_from_texts(spark, sf) -> DataFrame:
             "\t", pos, F.col("doc_id").cast("string"), (F.col("quality") * 0.5).cast("string"),
             (F.col("toxic") * 0.75).cast("string"), F.array_join(ranked, " "), "lang",
         ).alias("value"),
-        F.size("_w").alias("n_words"),
-    ).filter(F.col("n_words") > 0).drop("n_words")
+    )
 
 
 @query("s11_lexicon_scan", f"""WITH {_LINES_SQL}
@@ -69,7 +68,8 @@ def s11(spark, sf):
   last AS (SELECT term, pos, rank, arg_max(score, line_no) AS score FROM made_senses WHERE term <> '' GROUP BY ALL)
   SELECT term, pos, round(sum(score / rank) / sum(1.0 / rank), 6) AS score FROM last GROUP BY ALL""")
 def a1(spark, sf):
-    lines = parse_lines(lines_from_texts(spark, sf), order=["line_no"])
+    # Stored, as a lexicon is; else every test of a line would make the line again.
+    lines = parse_lines(durable(lines_from_texts(spark, sf), "lexicon"), order=["line_no"])
     return _rounded(score_lexicon(lines), ["score"])
 
 
@@ -82,7 +82,9 @@ def a1(spark, sf):
   FROM occ LEFT JOIN wide USING (term)""")
 def j1(spark, sf):
     """Scores of every word by part of speech; a word outside the lexicon scores 0."""
-    docs = documents(spark, sf).select("doc_id", F.explode(text.lookup_words(text.strip_noise(F.col("text")))).alias("term"))
+    docs = text.unnest(
+        documents(spark, sf), text.lookup_words(text.strip_noise(F.col("text"))), ["doc_id"], "term"
+    )
     counted = docs.filter(F.col("term") != "").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     scored = lookup_join(counted, lexicon(spark), ["term"], spread=["doc_id"])
     pos = [c for c in FEATURES if c != "score_all"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.functions.text import lookup_key
+from tonemill.functions.text import lookup_key, unnest
 from tonemill.operators.joins import Lookup, store_lookup
 
 # Part-of-speech marks of the lexicon and the score column each one feeds.
@@ -27,7 +27,8 @@ def parse_lines(lines: DataFrame, line: str = "value", order: list[str] | None =
     checked = kept.withColumn(
         "_f", F.when(F.size(parts) == FIELDS, parts).otherwise(F.raise_error(message))
     )
-    ordering = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
+    names = [F.col(c) for c in order or []]
+    ordering = F.struct(*names) if len(names) > 1 else (names[0] if names else F.lit(0))
     return checked.select(
         F.col("_f")[0].alias("pos"),
         F.col("_f")[1].alias("id"),
@@ -52,18 +53,15 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def lexicon_senses(lines: DataFrame) -> DataFrame:
     """One row per term of a line: (term, pos, rank, score, line_no)."""
-    one = lines.select(
-        "pos",
-        (F.col("pos_score") - F.col("neg_score")).alias("score"),
-        "line_no",
-        F.posexplode(F.filter(F.split("terms", " "), lambda t: t != "")).alias("place", "sense"),
-    )
+    scored = lines.withColumn("score", F.col("pos_score") - F.col("neg_score"))
+    senses = F.split("terms", " ")
+    one = unnest(scored, senses, ["pos", "score", "line_no"], "sense").filter(F.col("sense") != "")
     return one.select(
         lookup_key(F.split("sense", "#")[0]).alias("term"),
         "pos",
         F.split("sense", "#")[1].cast("int").alias("rank"),
         "score",
-        F.struct("line_no", "place").alias("line_no"),
+        "line_no",
     ).filter(F.col("term") != "")
 
 

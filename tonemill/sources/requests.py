@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions.identity import DEFAULT_DOMAIN, domain_or_default
+from tonemill.functions.text import unnest
 from tonemill.operators.rows import usable_rows
 
 REQUEST_SCHEMA = (
@@ -18,12 +19,13 @@ def parse_requests(df: DataFrame, payload: str = "value", keep: list[str] | None
     """Rows (keep..., domain, use_sentiment_vector, row_no, text, label) of JSON training requests."""
     keep = keep or []
     parsed = df.select(*keep, F.from_json(F.col(payload), REQUEST_SCHEMA).alias("r"))
-    rows = parsed.select(
+    named = parsed.select(
         *keep,
         domain_or_default(F.col("r.domain")).alias("domain"),
         F.coalesce("r.useSentimentVector", F.lit(True)).alias("use_sentiment_vector"),
-        F.posexplode("r.dataSet").alias("row_no", "_t"),
+        F.col("r.dataSet").alias("_rows"),
     )
+    rows = unnest(named, F.col("_rows"), [*keep, "domain", "use_sentiment_vector"], "_t", "row_no")
     flat = rows.select(
         *keep, "domain", "use_sentiment_vector", "row_no", F.col("_t.text").alias("text"),
         F.col("_t.textClass").alias("label"),
@@ -91,8 +93,8 @@ def parse_payloads(df: DataFrame, payload: str = "payload", keep: list[str] | No
         "_json", F.when(F.col("form") == JSON, body)
     )
     as_rows = F.transform("_json.data", lambda d: F.struct(d["values"][0].alias("text"), d["values"][1].alias("label")))
-    from_lines = staged.filter(F.col("form").isin(ARFF, CSV)).select(
-        *keep, "form", "_class_first", F.posexplode("_data").alias("row_no", "_line")
+    from_lines = unnest(
+        staged.filter(F.col("form").isin(ARFF, CSV)), F.col("_data"), [*keep, "form", "_class_first"], "_line", "row_no"
     )
     quoted = F.when(
         F.col("form") == ARFF, F.from_csv("_line", _ROW, {"quote": "'", "escape": "\\"})
@@ -105,8 +107,8 @@ def parse_payloads(df: DataFrame, payload: str = "payload", keep: list[str] | No
     request_rows = F.transform(
         "_json.dataSet", lambda d: F.struct(d["text"].alias("text"), d["textClass"].alias("label"))
     )
-    jsoned = staged.filter(F.col("form") == JSON).select(
-        *keep, "form", F.posexplode(F.coalesce(request_rows, as_rows)).alias("row_no", "_r")
+    jsoned = unnest(
+        staged.filter(F.col("form") == JSON), F.coalesce(request_rows, as_rows), [*keep, "form"], "_r", "row_no"
     ).select(*keep, "form", "row_no", F.col("_r.text").alias("text"), F.col("_r.label").alias("label"))
     rows = usable_rows(lined.unionByName(jsoned))
     empty = (
