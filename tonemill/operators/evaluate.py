@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonemill.functions.identity import DEFAULT_DOMAIN
 from tonemill.operators.bayes import classify_vectors, gaussian_fit, merge_gaussian
+from tonemill.session import durable
 
 
 def confusion(scored: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
@@ -34,38 +35,41 @@ def row_errors(label: Column, dist: Column) -> tuple[Column, Column, Column]:
     return absolute + missed, squared + missed, F.size(dist)
 
 
-def error_sums(scored: DataFrame, by: list[str], label: str = "label", dist: str = "dist") -> DataFrame:
-    absolute, squared, classes = row_errors(F.col(label), F.col(dist))
-    return scored.filter(F.col(dist).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(absolute) / F.sum(classes)).alias("mean_abs_err"),
-        F.sqrt(F.sum(squared) / F.sum(classes)).alias("root_mean_sq_err"),
-    )
-
-
 def evaluate(scored: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
-    """(by..., n, accuracy, kappa, mean_abs_err, root_mean_sq_err, pct_incorrect)."""
-    by = by or []
-    one = [F.lit("all").alias("_all")] if not by else []
+    """(by..., n, accuracy, kappa, mean_abs_err, root_mean_sq_err, pct_incorrect).
+
+    The rows are read once, into one stored row per true and predicted class; all
+    measures follow from that.
+    """
     keys = by or ["_all"]
-    rows = scored.filter(F.col("dist").isNotNull())
-    rows = rows.select("*", *one) if one else rows
-    errors = error_sums(rows, keys, label)
-    cells = confusion(rows, keys, label)
+    rows = scored.withColumn("label", F.col(label))
+    rows = rows if by else rows.withColumn("_all", F.lit("all"))
+    absolute, squared, classes = row_errors(F.col("label"), F.col("dist"))
+    cells = durable(
+        rows.filter(F.col("dist").isNotNull())
+        .groupBy(*keys, "label", "predicted")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum(absolute).alias("absolute"),
+            F.sum(squared).alias("squared"), F.sum(classes).alias("classes"),
+        ),
+        "cells",
+    )
     side = lambda c, name: cells.groupBy(*keys, F.col(c).alias("class")).agg(F.sum("n").alias(name))
     chance = (
         side("label", "n_true").join(side("predicted", "n_pred"), [*keys, "class"])
         .groupBy(*keys).agg(F.sum(F.col("n_true") * F.col("n_pred")).alias("by_chance"))
     )
-    right = cells.groupBy(*keys).agg(
-        F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right")
+    totals = cells.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"),
+        (F.sum("absolute") / F.sum("classes")).alias("mean_abs_err"),
+        F.sqrt(F.sum("squared") / F.sum("classes")).alias("root_mean_sq_err"),
     )
     n = F.col("n")
     po = F.col("right") / n
     pe = F.coalesce(F.col("by_chance"), F.lit(0)) / (n * n)
-    joined = errors.join(right, keys).join(chance, keys, "left")
-    return joined.select(
-        *by, "n", po.alias("accuracy"),
+    return totals.join(chance, keys, "left").select(
+        *(by or []), "n", po.alias("accuracy"),
         F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(0.0).alias("kappa"),
         "mean_abs_err", "root_mean_sq_err", ((1 - po) * 100).alias("pct_incorrect"),
     )

@@ -162,19 +162,26 @@ def nearest_rows(
     )
 
     def meet(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        asked_ids, near_rows, gaps = [], [], []
         if len(points) and len(asking):
-            ids = points["t_id"].to_numpy()
-            labels = points["t_label"].to_numpy()
-            q_ids = asking["q_id"].to_numpy()
-            block_rows_ = _matrix(points["t_vec"])
-            for q, near, dist in _nearest_in_block(q_ids, _matrix(asking["q_vec"]), ids, block_rows_, k, skip_self):
-                found.append(
-                    pd.DataFrame({key: q_ids[q], "neighbour": ids[near], "label": labels[near], "dist2": dist})
-                )
-        if not found:
+            ids, q_ids = points["t_id"].to_numpy(), asking["q_id"].to_numpy()
+            found = _nearest_in_block(
+                q_ids, _matrix(asking["q_vec"]), ids, _matrix(points["t_vec"]), k, skip_self
+            )
+            for q, near, dist in found:
+                asked_ids.append(np.full(len(near), q_ids[q]))
+                near_rows.append(near)
+                gaps.append(dist)
+        if not asked_ids:
             return pd.DataFrame({key: [], "neighbour": [], "label": [], "dist2": []})
-        return pd.concat(found, ignore_index=True)
+        rows_found = np.concatenate(near_rows)
+        labels_found = points["t_label"].to_numpy(dtype=object)[rows_found]
+        return pd.DataFrame(
+            {
+                key: np.concatenate(asked_ids), "neighbour": ids[rows_found],
+                "label": labels_found.tolist(), "dist2": np.concatenate(gaps),
+            }
+        )
 
     place = ["cell", "split", "q_block"]
     close = block.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(meet, out)
@@ -258,7 +265,8 @@ def classify_local(
     schema = "q_vec array<double>, label string, far double, n double, d double, x array<double>, dx array<double>, x2 array<double>, dx2 array<double>"
 
     def meet(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        cut = []
+        names = ["q_vec", "label", "far", "n", "d", "x", "dx", "x2", "dx2"]
+        cut: dict[str, list] = {c: [] for c in names}
         if len(points) and len(asking):
             raw = _matrix(asking["q_vec"])
             for name, rows in points.groupby("label", sort=True):
@@ -274,24 +282,16 @@ def classify_local(
                     for i in range(wide):
                         d += (part[:, i, None] - scaled[None, :, i]) ** 2
                     d = np.sqrt(d)
-                    cut.append(
-                        pd.DataFrame(
-                            {
-                                "q_vec": list(raw[start : start + QUERY_STEP]),
-                                "label": name,
-                                "far": d.max(1),
-                                "n": sums[0],
-                                "d": d @ n,
-                                "x": [sums[1]] * len(part),
-                                "dx": list(d @ nx),
-                                "x2": [sums[2]] * len(part),
-                                "dx2": list(d @ nx2),
-                            }
-                        )
-                    )
-        if not cut:
-            return pd.DataFrame(columns=["q_vec", "label", "far", "n", "d", "x", "dx", "x2", "dx2"])
-        return pd.concat(cut, ignore_index=True)
+                    cut["q_vec"] += list(raw[start : start + QUERY_STEP])
+                    cut["label"] += [str(name)] * len(part)
+                    cut["far"] += d.max(1).tolist()
+                    cut["n"] += [sums[0]] * len(part)
+                    cut["d"] += (d @ n).tolist()
+                    cut["x"] += [sums[1]] * len(part)
+                    cut["dx"] += list(d @ nx)
+                    cut["x2"] += [sums[2]] * len(part)
+                    cut["dx2"] += list(d @ nx2)
+        return pd.DataFrame(cut)
 
     parts = block.groupBy("t_block", "q_block").cogroup(asked.groupBy("t_block", "q_block")).applyInPandas(meet, schema)
     sums = [F.max("far").alias("far"), F.sum("n").alias("n"), F.sum("d").alias("d")]

@@ -86,7 +86,7 @@ def _path_part(path: Column, from_end: int) -> Column:
 def read_class_dirs(spark: SparkSession, root: str) -> DataFrame:
     """(text, label, file): one row per file of each sub-directory, whose name is the class.
 
-    Files are read whole and decoded in one piece.
+    Files are read whole and decoded in one piece; empty files give no row.
     """
     found = spark.read.text(f"{root.rstrip('/')}/*/*", wholetext=True).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file")

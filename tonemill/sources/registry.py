@@ -15,6 +15,8 @@ HEADER_SCHEMA = (
 )
 PARAM_SCHEMA = "model_id string, label string, feature string, n long, mean double, m2 double, domain string"
 
+FILES_PER_DOMAIN = 8
+
 # Outcomes of a save.
 CREATED, EXISTS, IGNORED = "CREATED", "EXISTS", "IGNORED"
 
@@ -46,8 +48,10 @@ def headers_of(
     named = params.withColumn("algorithm", F.lit(algorithm))
     numbers = [c for c in ("n", "mean", "m2") if c in params.columns]
     ids = model_ids(named, [*keys, "algorithm"], ["label", "feature"], numbers)
-    # Every feature of a class carries the row count of the class.
-    per_class = params.groupBy(*keys, "label").agg(F.max("n").alias("n"))
+    # Count models keep the number of texts under the empty feature; in the others
+    # every feature of a class carries the row count of the class.
+    texts = F.max(F.when(F.col("feature") == "", F.col("n")))
+    per_class = params.groupBy(*keys, "label").agg(F.coalesce(texts, F.max("n")).alias("n"))
     sizes = per_class.groupBy(*keys).agg(F.sum("n").cast("long").alias("n_rows"))
     return (
         ids.join(sizes, keys)
@@ -90,13 +94,15 @@ def save_models(
     for name in ("mean", "m2"):
         if name not in body.columns:
             body = body.withColumn(name, F.lit(None).cast("double"))
-    body.select("model_id", "label", "feature", "n", "mean", "m2", "domain").dropDuplicates(
+    rows = body.select("model_id", "label", "feature", "n", "mean", "m2", "domain").dropDuplicates(
         ["domain", "model_id", "label", "feature"]
-    ).write.mode("append").partitionBy("domain").parquet(f"{path}/params")
-    columns = [f.split()[0] for f in HEADER_SCHEMA.split(", ")]
-    fresh.select(*columns).dropDuplicates(["model_id"]).write.mode("append").partitionBy("domain").parquet(
-        f"{path}/headers"
     )
+    # A few files per domain, however many tasks there are and however large a domain is.
+    part = F.pmod(F.xxhash64("feature"), F.lit(FILES_PER_DOMAIN))
+    rows.repartition("domain", part).write.mode("append").partitionBy("domain").parquet(f"{path}/params")
+    columns = [f.split()[0] for f in HEADER_SCHEMA.split(", ")]
+    new = fresh.select(*columns).dropDuplicates(["model_id"]).repartition("domain")
+    new.write.mode("append").partitionBy("domain").parquet(f"{path}/headers")
     return status
 
 

@@ -35,14 +35,19 @@ def start(
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def write_batch(batch: DataFrame, batch_id: int, path: str) -> bool:
-    """Write one micro-batch; nothing is written when it changes nothing."""
-    if batch.isEmpty():
-        return False
-    batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-        f"{path}/batch={batch_id}"
-    )
-    return True
+def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    marked = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    marked.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def write_changes(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Write what a micro-batch changed; one that changes nothing leaves no file."""
+    batch.persist()
+    try:
+        if not batch.isEmpty():
+            write_batch(batch, batch_id, path)
+    finally:
+        batch.unpersist()
 
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,11 +67,7 @@ def train_words(
     """Keep running counts in state and write the changed rows as a snapshot per trigger."""
 
     def snapshot(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            write_batch(batch, batch_id, path)
-        finally:
-            batch.unpersist()
+        write_changes(batch, batch_id, path)
 
     writer = word_counts_stream(stream, tokenizer).writeStream.outputMode("update").foreachBatch(snapshot)
     return start(writer, checkpoint, flush, interval)
@@ -90,11 +91,7 @@ def train_vectors(
     def increment(batch: DataFrame, batch_id: int) -> None:
         rows = with_default_domain(usable_rows(batch))
         vectors = sentiment_vectors(rows, prepared, key, keep=["domain", "label"])
-        stats = bayes.gaussian_fit(vectors, FEATURES, ["domain"]).persist()
-        try:
-            write_batch(stats, batch_id, path)
-        finally:
-            stats.unpersist()
+        write_changes(bayes.gaussian_fit(vectors, FEATURES, ["domain"]), batch_id, path)
 
     return start(stream.writeStream.foreachBatch(increment), checkpoint, flush, interval)
 
