@@ -12,6 +12,8 @@ from tonemill.session import local_session
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    # The tables of the tests are tiny.
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 

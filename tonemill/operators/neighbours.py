@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,12 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.array(values.tolist(), dtype=np.float64)
 
 
+def _column_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix, without a Python object per value."""
+    flat = [np.asarray(c.flatten(), dtype=np.float64) for c in column.chunks]
+    return np.concatenate(flat).reshape(len(column), -1)
+
+
 def _gaps(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Euclidean distances between all rows and points of one block."""
     squared = (rows**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2.0 * rows @ points.T
@@ -161,30 +168,30 @@ def nearest_rows(
         .withColumn("split", F.explode(F.sequence(F.lit(0), split_of[F.col("cell")] - 1)))
     )
 
-    def meet(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+    found_schema = pa.schema(
+        [(key, pa.int64()), ("neighbour", pa.int64()), ("label", pa.string()), ("dist2", pa.float64())]
+    )
+
+    def meet(points: pa.Table, asking: pa.Table) -> pa.Table:
+        if not len(points) or not len(asking):
+            return found_schema.empty_table()
+        ids, q_ids = np.asarray(points["t_id"]), np.asarray(asking["q_id"])
         asked_ids, near_rows, gaps = [], [], []
-        if len(points) and len(asking):
-            ids, q_ids = points["t_id"].to_numpy(), asking["q_id"].to_numpy()
-            found = _nearest_in_block(
-                q_ids, _matrix(asking["q_vec"]), ids, _matrix(points["t_vec"]), k, skip_self
-            )
-            for q, near, dist in found:
-                asked_ids.append(np.full(len(near), q_ids[q]))
-                near_rows.append(near)
-                gaps.append(dist)
+        for q, near, dist in _nearest_in_block(
+            q_ids, _column_matrix(asking["q_vec"]), ids, _column_matrix(points["t_vec"]), k, skip_self
+        ):
+            asked_ids.append(np.full(len(near), q_ids[q]))
+            near_rows.append(near)
+            gaps.append(dist)
         if not asked_ids:
-            return pd.DataFrame({key: [], "neighbour": [], "label": [], "dist2": []})
+            return found_schema.empty_table()
         rows_found = np.concatenate(near_rows)
-        labels_found = points["t_label"].to_numpy(dtype=object)[rows_found]
-        return pd.DataFrame(
-            {
-                key: np.concatenate(asked_ids), "neighbour": ids[rows_found],
-                "label": labels_found.tolist(), "dist2": np.concatenate(gaps),
-            }
-        )
+        labels_found = points["t_label"].combine_chunks().take(pa.array(rows_found))
+        columns = [np.concatenate(asked_ids), ids[rows_found], labels_found, np.concatenate(gaps)]
+        return pa.table(columns, schema=found_schema)
 
     place = ["cell", "split", "q_block"]
-    close = block.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(meet, out)
+    close = block.groupBy(*place).cogroup(asked.groupBy(*place)).applyInArrow(meet, out)
     return top_neighbours(close, k, key)
 
 
@@ -262,38 +269,47 @@ def classify_local(
         .withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(train_blocks - 1).cast("long"))))
         .select("t_block", "q_block", "q_vec")
     )
-    schema = "q_vec array<double>, label string, far double, n double, d double, x array<double>, dx array<double>, x2 array<double>, dx2 array<double>"
-
-    def meet(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        names = ["q_vec", "label", "far", "n", "d", "x", "dx", "x2", "dx2"]
-        cut: dict[str, list] = {c: [] for c in names}
-        if len(points) and len(asking):
-            raw = _matrix(asking["q_vec"])
-            for name, rows in points.groupby("label", sort=True):
-                values = _matrix(rows["vec"])
-                n = rows["n"].to_numpy()
-                x = values - mid
-                nx, nx2 = n[:, None] * x, n[:, None] * x * x
-                sums = (n.sum(), nx.sum(0), nx2.sum(0))
-                scaled = (values - lo) / width
-                for start in range(0, len(raw), QUERY_STEP):
-                    part = (raw[start : start + QUERY_STEP] - lo) / width
-                    d = np.zeros((len(part), len(scaled)))
-                    for i in range(wide):
-                        d += (part[:, i, None] - scaled[None, :, i]) ** 2
-                    d = np.sqrt(d)
-                    cut["q_vec"] += list(raw[start : start + QUERY_STEP])
-                    cut["label"] += [str(name)] * len(part)
-                    cut["far"] += d.max(1).tolist()
-                    cut["n"] += [sums[0]] * len(part)
-                    cut["d"] += (d @ n).tolist()
-                    cut["x"] += [sums[1]] * len(part)
-                    cut["dx"] += list(d @ nx)
-                    cut["x2"] += [sums[2]] * len(part)
-                    cut["dx2"] += list(d @ nx2)
-        return pd.DataFrame(cut)
-
-    parts = block.groupBy("t_block", "q_block").cogroup(asked.groupBy("t_block", "q_block")).applyInPandas(meet, schema)
+    vector = pa.list_(pa.float64())
+    sums_schema = pa.schema(
+        [("q_vec", vector), ("label", pa.string()), ("far", pa.float64()), ("n", pa.float64()), ("d", pa.float64())]
+        + [(c, vector) for c in ("x", "dx", "x2", "dx2")]
+    )
+    schema = (
+        "q_vec array<double>, label string, far double, n double, d double, "
+        "x array<double>, dx array<double>, x2 array<double>, dx2 array<double>"
+    )
+
+    def lists(matrix: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), matrix.shape[1]).cast(vector)
+
+    def meet(points: pa.Table, asking: pa.Table) -> pa.Table:
+        if not len(points) or not len(asking):
+            return sums_schema.empty_table()
+        raw, every = _column_matrix(asking["q_vec"]), _column_matrix(points["vec"])
+        names, counts = np.array(points["label"].to_pylist(), dtype=object), np.asarray(points["n"])
+        cut = []
+        for name in sorted(set(names)):
+            values, n = every[names == name], counts[names == name]
+            x = values - mid
+            nx, nx2 = n[:, None] * x, n[:, None] * x * x
+            scaled = (values - lo) / width
+            for start in range(0, len(raw), QUERY_STEP):
+                asked_rows = raw[start : start + QUERY_STEP]
+                part = (asked_rows - lo) / width
+                d = np.zeros((len(part), len(scaled)))
+                for i in range(wide):
+                    d += (part[:, i, None] - scaled[None, :, i]) ** 2
+                d = np.sqrt(d)
+                ones = np.ones((len(part), 1))
+                columns = [
+                    lists(asked_rows), pa.array([name] * len(part)), pa.array(d.max(1)),
+                    pa.array(ones[:, 0] * n.sum()), pa.array(d @ n), lists(ones * nx.sum(0)), lists(d @ nx),
+                    lists(ones * nx2.sum(0)), lists(d @ nx2),
+                ]
+                cut.append(pa.table(columns, schema=sums_schema))
+        return pa.concat_tables(cut).combine_chunks()
+
+    parts = block.groupBy("t_block", "q_block").cogroup(asked.groupBy("t_block", "q_block")).applyInArrow(meet, schema)
     sums = [F.max("far").alias("far"), F.sum("n").alias("n"), F.sum("d").alias("d")]
     for c in ("x", "dx", "x2", "dx2"):
         sums += [F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(wide)]
