@@ -217,6 +217,30 @@ def test_learners_by_name(spark, texts):
         with_terms(rows, "no such tokenizer")
 
 
+def test_word_model_through_the_registry(spark, texts, tmp_path):
+    from tonemill.sources.registry import latest_model, load_headers
+
+    rows = texts.withColumn("domain", F.lit("d"))
+    options = plans.FeatureOptions(kind="words", feature_select=False)
+    plans.build(rows, str(tmp_path), 1, "multinomial_nb", options)
+    assert load_headers(spark, str(tmp_path)).first().n_rows == len(TEXTS)
+    stored = latest_model(spark, str(tmp_path), "d").select("domain", "label", "feature", "n")
+    loaded = plans.TextModel("multinomial_nb", options, params=stored)
+    as_map = lambda m: {r.doc_id: (r.predicted, round(r.prob, 12)) for r in plans.classify(rows, m).collect()}
+    assert as_map(loaded) == as_map(plans.train(rows, "multinomial_nb", options))
+
+
+def test_shards_vote(spark, texts):
+    rows = texts.withColumn("domain", F.lit("d")).withColumn("shard", F.col("doc_id") % 2)
+    options = plans.FeatureOptions(lexicon=lexicon(spark))
+    members = plans.train_shards(rows, "shard", options)
+    assert {r.model_id for r in members.select("model_id").distinct().collect()} == {"0", "1"}
+    voted = plans.classify_combined(rows, members, options, keep=["label"]).collect()
+    assert len(voted) == len(TEXTS) and all(abs(sum(c.prob for c in r.dist) - 1) < 1e-9 for r in voted)
+    best = plans.classify_combined(rows, members, options, "best", rows)
+    assert best.count() == len(TEXTS)
+
+
 def test_increment_equals_one_build(spark, texts, tmp_path):
     from tonemill.sources.registry import latest_model
 

@@ -8,18 +8,30 @@ DataFrame in and a DataFrame out.
 from tonemill.operators.ensemble import best_of, ensemble
 from tonemill.operators.evaluate import confusion, evaluate
 from tonemill.operators.vectors import sentiment_vectors
-from tonemill.plans.training import build, classify, rebuild, train
+from tonemill.plans.training import (
+    FeatureOptions,
+    build,
+    classify,
+    classify_combined,
+    increment,
+    rebuild,
+    train,
+    train_shards,
+)
 from tonemill.sources.corpus import read_class_dirs, read_labelled_lines
 from tonemill.sources.lexicon import read_lexicon, score_lexicon
 from tonemill.sources.registry import latest_model, load_models, save_models
 
 __all__ = [
+    "FeatureOptions",
     "best_of",
     "build",
     "classify",
+    "classify_combined",
     "confusion",
     "ensemble",
     "evaluate",
+    "increment",
     "latest_model",
     "load_models",
     "read_class_dirs",
@@ -30,4 +42,5 @@ __all__ = [
     "score_lexicon",
     "sentiment_vectors",
     "train",
+    "train_shards",
 ]

@@ -42,6 +42,12 @@ def store_lookup(df: DataFrame, name: str = "lookup") -> Lookup:
     return Lookup(stored, limit > 0 and stored.count() <= limit)
 
 
+def as_lookup(table: DataFrame) -> Lookup:
+    """A table that is stored already; the count stops one row beyond the limit."""
+    limit = broadcast_limit(table.sparkSession)
+    return Lookup(table, limit > 0 and table.limit(limit + 1).count() <= limit)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame | Lookup,

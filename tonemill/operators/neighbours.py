@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import unnest
@@ -33,7 +33,7 @@ from tonemill.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 20_000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 QUERY_STEP = 128
 
 
@@ -82,6 +82,11 @@ def _nearest_in_block(
             yield q, near[order], exact[order]
 
 
+def _pieces(sizes: dict[int, int], rows: int) -> Column:
+    """A map from a group to the number of pieces that keep each of them near ``rows`` rows."""
+    return F.create_map(*[F.lit(x) for group, n in sizes.items() for x in (group, max(1, -(-n // rows)))])
+
+
 def _pivots(train: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
     """A fixed, bounded set of training points, chosen by the hash of their id."""
     rows = train.orderBy(F.xxhash64(key), key).select(vector).limit(n).collect()
@@ -108,12 +113,11 @@ def nearest_rows(
     """
     spark = train.sparkSession
     train, queries = durable(train.select(key, vector, label)), durable(queries.select(key, vector))
-    n_train, n_query = train.count(), queries.count()
+    n_train = train.count()
     out = f"{key} long, neighbour long, label string, dist2 double"
-    if n_train == 0 or n_query == 0:
+    if n_train == 0 or queries.isEmpty():
         return spark.createDataFrame([], f"{out}, rank int")
     pivots = _pivots(train, key, vector, max(1, min(MAX_PIVOTS, n_train // max(1, block_rows // 4))))
-    query_blocks = -(-n_query // block_rows)
 
     @F.pandas_udf("struct<cell:int,gap:double>")
     def home(values: pd.Series) -> pd.DataFrame:
@@ -125,10 +129,10 @@ def nearest_rows(
         F.col(key).alias("t_id"), F.col(vector).cast("array<double>").alias("t_vec"),
         F.col(label).cast("string").alias("t_label"),
     )
-    placed = rows.withColumn("_home", home("t_vec"))
+    placed = durable(rows.withColumn("_home", home("t_vec")).select("*", "_home.cell", "_home.gap").drop("_home"))
     cells = (
-        placed.groupBy("_home.cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_home.gap").alias("low"), F.max("_home.gap").alias("high"))
+        placed.groupBy("cell")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high"))
         .orderBy("cell")
         .collect()
     )
@@ -136,12 +140,12 @@ def nearest_rows(
     sizes = np.array([c["n"] for c in cells])
     low = np.array([c["low"] for c in cells])
     high = np.array([c["high"] for c in cells])
-    splits = {int(c["cell"]): int(-(-c["n"] // block_rows)) for c in cells}
     wanted = k + 1 if skip_self else k
 
-    @F.pandas_udf("array<int>")
-    def visits(values: pd.Series) -> pd.Series:
-        gaps = _gaps(_matrix(values), pivots)[:, numbers]
+    @F.pandas_udf("struct<home:int,cells:array<int>>")
+    def visits(values: pd.Series) -> pd.DataFrame:
+        to_pivots = _gaps(_matrix(values), pivots)
+        gaps = to_pivots[:, numbers]
         reach = gaps + high
         order = np.argsort(reach, axis=1)
         filled = np.cumsum(sizes[order], axis=1) >= wanted
@@ -150,24 +154,29 @@ def nearest_rows(
         bound = np.where(filled.any(1), bound, np.inf)
         nearest = np.maximum(np.maximum(gaps - high, low - gaps), 0.0)
         open_cells = nearest <= (bound * (1 + 1e-9) + 1e-9)[:, None]
-        return pd.Series([numbers[line].astype("int32").tolist() for line in open_cells])
-
-    split_of = F.create_map(*[F.lit(x) for pair in splits.items() for x in pair])
-    block = (
-        placed.withColumn("cell", F.col("_home.cell"))
-        .withColumn("split", F.pmod(F.xxhash64("t_id"), split_of[F.col("cell")]).cast("int"))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .drop("_home")
+        return pd.DataFrame(
+            {
+                "home": to_pivots.argmin(1).astype("int32"),
+                "cells": [numbers[line].astype("int32").tolist() for line in open_cells],
+            }
+        )
+
+    asked = queries.select(F.col(key).alias("q_id"), F.col(vector).cast("array<double>").alias("q_vec"))
+    asked = durable(asked.withColumn("_v", visits("q_vec")).select("q_id", "q_vec", "_v.home", "_v.cells"))
+    homes = {r["home"]: r["count"] for r in asked.groupBy("home").count().collect()}
+    per_cell = _pieces({int(c["cell"]): c["n"] for c in cells}, block_rows)
+    per_home = _pieces(homes, block_rows)
+    # Queries of one home visit much the same cells, so a block of them meets few blocks of rows.
+    piece = F.pmod(F.xxhash64("q_id"), per_home[F.col("home")])
+    grouped = asked.withColumn("q_block", F.concat_ws("-", F.col("home"), piece))
+    visiting = unnest(grouped, F.col("cells"), ["q_id", "q_vec", "q_block"], "cell")
+    needed = visiting.select("cell", "q_block").distinct().groupBy("cell").agg(F.collect_list("q_block").alias("_q"))
+    split = placed.withColumn("split", F.pmod(F.xxhash64("t_id"), per_cell[F.col("cell")]).cast("int"))
+    block = unnest(
+        lookup_join(split, needed, ["cell"], "inner", spread=["t_id"]), F.col("_q"),
+        ["cell", "split", "t_id", "t_vec", "t_label"], "q_block",
     )
-    named = queries.select(
-        F.col(key).alias("q_id"), F.col(vector).cast("array<double>").alias("q_vec"),
-        F.pmod(F.xxhash64(key), F.lit(query_blocks)).cast("int").alias("q_block"),
-    )
-    asked = (
-        unnest(named.withColumn("_cells", visits("q_vec")), F.col("_cells"), ["q_id", "q_vec", "q_block"], "cell")
-        .withColumn("split", F.explode(F.sequence(F.lit(0), split_of[F.col("cell")] - 1)))
-    )
-
+    asked_of = visiting.withColumn("split", F.explode(F.sequence(F.lit(0), per_cell[F.col("cell")] - 1)))
     found_schema = pa.schema(
         [(key, pa.int64()), ("neighbour", pa.int64()), ("label", pa.string()), ("dist2", pa.float64())]
     )
@@ -191,7 +200,7 @@ def nearest_rows(
         return pa.table(columns, schema=found_schema)
 
     place = ["cell", "split", "q_block"]
-    close = block.groupBy(*place).cogroup(asked.groupBy(*place)).applyInArrow(meet, out)
+    close = block.groupBy(*place).cogroup(asked_of.groupBy(*place)).applyInArrow(meet, out)
     return top_neighbours(close, k, key)
 
 

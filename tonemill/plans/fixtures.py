@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.operators.joins import Lookup
+from tonemill.operators.joins import Lookup, as_lookup, lookup_join
 from tonemill.operators.vectors import FEATURES, sentiment_vectors
 from tonemill.sources.lexicon import prepare_lexicon, score_lexicon
 
@@ -99,6 +99,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_labels(spark: SparkSession, sf_dir: str, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Meet the labels where the rows are while the label table is small; shuffle beyond that."""
+    return lookup_join(rows, as_lookup(labels(spark, sf_dir)), ["doc_id"], how)
+
+
 def vectors(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     return sentiment_vectors(documents(spark, sf_dir), lexicon(spark), keep=keep or [])
 
@@ -106,14 +111,14 @@ def vectors(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) ->
 def training(spark: SparkSession, sf_dir: str, domain: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Labelled sentiment vectors: only ids and scores meet the labels, never the texts."""
     names = list(dict.fromkeys([domain, *(keep or [])]))
-    rows = vectors(spark, sf_dir, names).join(labels(spark, sf_dir), "doc_id")
+    rows = with_labels(spark, sf_dir, vectors(spark, sf_dir, names))
     return rows.withColumn("domain", F.col(domain))
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, keep..., text, label) of the documents that have a label."""
     docs = documents(spark, sf_dir).select("doc_id", *(keep or []), "text")
-    return docs.join(labels(spark, sf_dir), "doc_id")
+    return with_labels(spark, sf_dir, docs)
 
 
 # ---- oracle fragments -------------------------------------------------------------------

@@ -181,3 +181,13 @@ def s6(spark, sf):
     )
     made = documents(spark, sf).select("doc_id", content.alias("value"))
     return requests.parse_manifests(made, "value", ["doc_id"])
+
+
+@query("r4_file_ending", f"""WITH {LABELS} SELECT doc_id, label FROM documents JOIN lab USING (doc_id)""")
+def r4(spark, sf):
+    """Files of two endings in one folder; only those with the wanted ending are read."""
+    path = scratch(spark, "mixed")
+    rows = labelled_texts(spark, sf).select("doc_id", "label")
+    rows.write.mode("append").json(path)
+    rows.withColumn("label", F.lit("wrong")).write.mode("append").csv(path)
+    return spark.read.schema("doc_id long, label string").option("pathGlobFilter", "*.json").json(path)

@@ -222,13 +222,11 @@ def a13(spark, sf):
   best AS (SELECT doc_id, {ARGMAX} AS predicted, max(prob) AS top FROM probs SEMI JOIN win USING (domain, model_id) GROUP BY doc_id)
   SELECT doc_id, predicted, round(top, 6) AS prob FROM best""")
 def x3(spark, sf):
-    """The combiner is chosen by name; here the member with the lowest error answers."""
-    made = member_rows(spark, sf)
-    chosen = ensemble.ensemble(
-        members(spark, sf, made), "best", made.drop("model_id"), FEATURES, FEATURE_WEIGHTS
-    )
-    packed = bayes.prepare_members(chosen, FEATURES, FEATURE_WEIGHTS, member="model_id")
-    scored = bayes.classify_vectors(made, packed, FEATURES, spread=["doc_id"])
+    """The combiner is chosen by name; here the shard model with the lowest error answers."""
+    texts = labelled_texts(spark, sf, ["source"]).withColumn("domain", F.lit(""))
+    options = plans.FeatureOptions(lexicon=lexicon(spark))
+    shards = durable(plans.train_shards(texts, "source", options), "params")
+    scored = plans.classify_combined(texts, shards, options, "best", texts)
     return scored.select("doc_id", "predicted", F.round("prob", 6).alias("prob"))
 
 

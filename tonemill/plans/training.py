@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.operators import bayes, counts, mllib, neighbours
+from tonemill.operators.ensemble import ensemble
 from tonemill.operators.joins import Lookup
 from tonemill.operators.rows import usable_rows, with_domain
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, Tagger, sentiment_vectors
@@ -106,6 +107,37 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     return mllib.apply_estimator(model.fitted, vectors)
 
 
+def train_shards(
+    df: DataFrame, shard: str, features: FeatureOptions | None = None, key: str = "doc_id"
+) -> DataFrame:
+    """One Gaussian model per domain and shard, all in one aggregation.
+
+    Returns member rows (domain, model_id, label, feature, n, mean, m2), with the
+    shard as the model's id, for the combiners.
+    """
+    features = features or FeatureOptions()
+    rows = with_domain(usable_rows(df)).withColumn("model_id", F.col(shard).cast("string"))
+    vectors = _vectors(rows, features, key, ["domain", "label", "model_id"])
+    return bayes.gaussian_fit(vectors, FEATURES, ["domain", "model_id"])
+
+
+def classify_combined(
+    df: DataFrame, members: DataFrame, features: FeatureOptions, combiner: str = "voting",
+    evaluation: DataFrame | None = None, key: str = "doc_id", keep: list[str] | None = None,
+) -> DataFrame:
+    """Score texts with the combined members of their domain.
+
+    The best-of combiner takes labelled texts (key, domain, text, label) to choose by.
+    """
+    tested = None
+    if evaluation is not None:
+        tested = _vectors(with_domain(usable_rows(evaluation)), features, key, ["domain", "label"])
+    chosen = ensemble(members, combiner, tested, FEATURES, FEATURE_WEIGHTS)
+    packed = bayes.prepare_members(chosen, FEATURES, FEATURE_WEIGHTS, member="model_id")
+    vectors = _vectors(with_domain(df), features, key, ["domain", *(keep or [])])
+    return bayes.classify_vectors(vectors, packed, FEATURES, spread=[key])
+
+
 def build(
     df: DataFrame, path: str, generated_on: int, learner: str = "gaussian_nb",
     features: FeatureOptions | None = None, key: str = "doc_id",
