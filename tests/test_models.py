@@ -93,6 +93,17 @@ def test_salted_lookup_join(only_shuffles):
     assert lookup_join(rows, lookup.select("k"), ["k"], "left_semi", spread=["id"]).count() == rows.filter("k in (0, 1)").count()
 
 
+def test_lookup_limits(spark):
+    rows = spark.createDataFrame([(i, "x" * 50) for i in range(20)], "k long, v string")
+    assert store_lookup(rows).small and store_lookup(rows.limit(0)).small
+    for name, value in (("spark.tonemill.broadcastRows", "19"), ("spark.tonemill.broadcastBytes", "1000")):
+        spark.conf.set(name, value)
+        try:
+            assert not store_lookup(rows).small
+        finally:
+            spark.conf.unset(name)
+
+
 def test_merge_equals_the_whole(vectors):
     whole = bayes.gaussian_fit(vectors, FEATURES, ["domain"])
     parts = bayes.gaussian_fit(vectors.withColumn("s", F.col("doc_id") % 4), FEATURES, ["domain", "s"]).drop("s")
@@ -318,8 +329,8 @@ def test_class_index(spark):
 
 
 def test_estimators(vectors):
-    for name in ("logistic", "linear_svc", "tree"):
-        model = mllib.fit_estimator(vectors, FEATURES, name)
+    for name, options in (("logistic", {"maxIter": 3}), ("linear_svc", {"maxIter": 3}), ("tree", {"maxDepth": 2})):
+        model = mllib.fit_estimator(vectors, FEATURES, name, **options)
         answers = mllib.apply_estimator(model, vectors)
         assert answers.count() == len(TEXTS)
         assert not [c for c in answers.columns if c.startswith("_")]

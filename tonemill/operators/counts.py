@@ -72,11 +72,15 @@ def class_names(stats: DataFrame) -> list[str]:
 
 @dataclass(frozen=True)
 class CountModel:
-    """The stored scoring form: one row per term, one row of classes per model."""
+    """The stored scoring form: one row per term, one row of classes per model.
+
+    A single model for all rows needs no join for its classes; they are few and
+    become a constant.
+    """
 
     labels: list[str]
     terms: Lookup
-    classes: Lookup
+    classes: Lookup | Column
     by: list[str]
     alpha: float
     known_only: bool
@@ -98,11 +102,21 @@ def prepare_counts(
     ]
     seen = stored.filter(F.col("feature") != TEXTS)
     terms = seen.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), *gains)
-    classes = class_table(stored, by, alpha, prior)
-    if not by:
-        classes = classes.withColumn("_model", F.lit(""))
-    return CountModel(
-        labels, store_lookup(terms, "terms"), store_lookup(classes, "classes"), by, alpha, known_only
+    table = class_table(stored, by, alpha, prior)
+    classes = store_lookup(table, "classes") if by else _constant(table)
+    return CountModel(labels, store_lookup(terms, "terms"), classes, by, alpha, known_only)
+
+
+def _constant(table: DataFrame) -> Column:
+    row = table.first()
+    return F.array(
+        *[
+            F.struct(
+                F.lit(c["label_idx"]).alias("label_idx"), F.lit(c["label"]).alias("label"),
+                F.lit(c["prior"]).alias("prior"), F.lit(c["log_total"]).alias("log_total"),
+            )
+            for c in (row["classes"] if row else [])
+        ]
     )
 
 
@@ -125,10 +139,10 @@ def count_scores(
         F.count(F.when(counted, 1)).alias("_n"),
         *[F.coalesce(F.sum(f"_g{i}"), F.lit(0.0)).alias(f"_g{i}") for i in range(len(labels))],
     )
-    on = by
-    if not by:
-        on, summed = ["_model"], summed.withColumn("_model", F.lit(""))
-    with_classes = lookup_join(summed, model.classes, on, "left", spread=key)
+    if isinstance(model.classes, Lookup):
+        with_classes = lookup_join(summed, model.classes, by, "left", spread=key)
+    else:
+        with_classes = summed.withColumn("classes", model.classes)
     gain_by_class = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.col(f"_g{i}"))])
 
     def score(c: Column) -> Column:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tonemill.session import durable
 
 BROADCAST_ROWS = "spark.tonemill.broadcastRows"
+BROADCAST_BYTES = "spark.tonemill.broadcastBytes"
 SALTS = "spark.tonemill.salts"
 DEFAULT_BROADCAST_ROWS = 300_000
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_SALTS = 8
 
 
@@ -22,30 +24,33 @@ class Lookup:
     table: DataFrame
     small: bool
 
-    @property
-    def columns(self) -> list[str]:
-        return self.table.columns
 
+def _setting(spark: SparkSession, name: str, default: int) -> int:
+    return int(spark.conf.get(name, str(default)))
 
-def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_ROWS, str(DEFAULT_BROADCAST_ROWS)))
 
+def as_lookup(table: DataFrame) -> Lookup:
+    """Check a table that is stored already: it is small with few rows of few bytes.
 
-def store_lookup(df: DataFrame, name: str = "lookup") -> Lookup:
-    """Compute a lookup side once, into the shared folder, and count what is there.
-
-    The count comes from the stored files, so the check costs no second pass over
-    whatever the table was made from.
+    The row count of stored files is cheap and settles the large ones; only a table
+    with few rows is read to add up its bytes, written out as text.
     """
-    stored = durable(df, name)
-    limit = broadcast_limit(df.sparkSession)
-    return Lookup(stored, limit > 0 and stored.count() <= limit)
+    spark = table.sparkSession
+    rows = _setting(spark, BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS)
+    if rows <= 0 or table.count() > rows:
+        return Lookup(table, False)
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))
+    size = table.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    return Lookup(table, size <= _setting(spark, BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES))
 
 
-def as_lookup(table: DataFrame) -> Lookup:
-    """A table that is stored already; the count stops one row beyond the limit."""
-    limit = broadcast_limit(table.sparkSession)
-    return Lookup(table, limit > 0 and table.limit(limit + 1).count() <= limit)
+def store_lookup(df: DataFrame, name: str = "lookup") -> Lookup:
+    """Compute a lookup side once, into the shared folder, and check what is there.
+
+    The check reads the stored files, so it costs no second pass over whatever the
+    table was made from.
+    """
+    return as_lookup(durable(df, name))
 
 
 def lookup_join(
@@ -57,7 +62,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join many rows to a lookup side that has one row per key.
 
-    A lookup side within the row limit is broadcast: the big side does not
+    A lookup side within the limits is broadcast: the big side does not
     move.  Beyond it both sides are shuffled, and since a single key may hold a
     large share of ``rows``, each key is spread over a fixed number of salts
     taken from ``spread`` (columns that differ between rows of one key).  Every
@@ -67,7 +72,7 @@ def lookup_join(
         lookup = store_lookup(lookup)
     if lookup.small:
         return rows.join(F.broadcast(lookup.table), on, how)
-    salts = int(rows.sparkSession.conf.get(SALTS, str(DEFAULT_SALTS)))
+    salts = _setting(rows.sparkSession, SALTS, DEFAULT_SALTS)
     if spread is None or salts <= 1:
         return rows.join(lookup.table, on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))

@@ -23,6 +23,8 @@ def local_session(cpus: int = 8, name: str = "tonemill", memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Lookups of moderate size join by hash instead of sorting every word.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
