@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import byte_bpe, jaccard_join, language_id, mixing, quality_rules, secrets, token_files, url_filter, vector_search
+from tonemill.llm import byte_bpe, jaccard_join, language_id, mixing, quality_rules, secrets, suffix_dedup, token_files, url_filter, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,3 +171,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
