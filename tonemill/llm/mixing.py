@@ -62,8 +62,8 @@ def relative_weights(docs: DataFrame, weights: Mapping[str | None, int], default
     return {source_key(n): int(weights.get(n, default)) for n in names}
 
 
-def in_blocks(docs: DataFrame, block_chars: int, fan: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, n_chars, block, turn): the block of every document in its source's order.
+def in_blocks(docs: DataFrame, block_chars: int, fan: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(id, source, n_chars, block, turn, kept columns): the block of every document in its source's order.
 
     A source may hold a third of all rows, so its order is cut into ``fan`` runs by the leading
     digits of the MD5; runs are summed first, and rows are only ordered inside a run.
@@ -76,6 +76,7 @@ def in_blocks(docs: DataFrame, block_chars: int, fan: int = 4096, id_col: str =
         key.alias("turn"),
         F.when(F.col(source_col).isNull(), "null").otherwise(F.concat(F.lit("="), source_col)).alias("source_key"),
         F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_hash"),
+        F.struct(*[F.col(c) for c in keep or [id_col]]).alias("row"),
     ).withColumn("run", F.pmod(F.conv(F.substring("turn", 1, 6), 16, 10).cast("long") * fan / F.lit(16**6), F.lit(fan)).cast("int"))
     runs = rows.groupBy("source_key", "run").agg(F.sum("n_chars").alias("run_chars"))
     earlier = W.partitionBy("source_key").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
@@ -84,13 +85,13 @@ def in_blocks(docs: DataFrame, block_chars: int, fan: int = 4096, id_col: str =
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_chars").over(inside), F.lit(0)))
     start = F.col("chars_before") + F.col("inside")
     block = F.floor(start / F.lit(block_chars)).cast("long")
-    return rows.join(runs, ["source_key", "run"]).select(id_col, "source", "source_key", "n_chars", "turn", "text_hash", start.alias("start"), block.alias("block"))
+    return rows.join(runs, ["source_key", "run"]).select(id_col, "source", "source_key", "n_chars", "turn", "text_hash", "row", start.alias("start"), block.alias("block"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, int], block_chars: int = 65_536, default: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, n_chars, block, start, release, slot, turn, text_hash) for every document.
+def mix(docs: DataFrame, weights: Mapping[str | None, int], block_chars: int = 65_536, default: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """(id, source, n_chars, block, start, release, slot, turn, text_hash, row) for every document.
 
-    The mixed order is ``slot, start, turn, text_hash``.  ``weights`` maps sources to positive integers; others get ``default``.
+    The mixed order is ``slot, start, turn, text_hash``; ``row`` has the columns of ``keep``.  ``weights`` maps sources to positive integers; others get ``default``.
     """
     by_key = relative_weights(docs, weights, default, source_col)
     period = sum(by_key.values())
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int], block_chars: int = 6
     kind = "array<struct<source_key:string,weight:long,nth:long,first_release:long,first_slot:long>>"
     # A period has at most MAX_PERIOD narrow rows, which bounds what is broadcast.
     schedule = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
-    blocks = in_blocks(docs, block_chars, id_col=id_col, text_col=text_col, source_col=source_col)
+    blocks = in_blocks(docs, block_chars, id_col=id_col, text_col=text_col, source_col=source_col, keep=keep)
     weight_of = schedule.groupBy("source_key").agg(F.max("weight").alias("weight"))
     blocks = blocks.join(F.broadcast(weight_of), "source_key")
     cycle = F.floor(F.col("block") / F.col("weight")).cast("long")
@@ -106,5 +107,13 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int], block_chars: int = 6
     slotted = blocks.join(F.broadcast(schedule.drop("weight")), ["source_key", "nth"])
     at = F.col("cycle") * F.lit(period)
     return slotted.select(
-        id_col, "source", "n_chars", "block", "start", (at + F.col("first_release")).alias("release"), (at + F.col("first_slot")).alias("slot"), "turn", "text_hash"
+        id_col, "source", "n_chars", "block", "start", (at + F.col("first_release")).alias("release"), (at + F.col("first_slot")).alias("slot"), "turn", "text_hash", "row"
     )
+
+
+def in_mixed_order(docs: DataFrame, weights: Mapping[str | None, int], block_chars: int = 65_536, default: int = 1) -> DataFrame:
+    """The same rows and columns, dealt to partitions and sorted so that they follow the schedule."""
+    order = ["slot", "start", "turn", "text_hash"]
+    mixed = mix(docs, weights, block_chars, default, keep=docs.columns).select(*order, "row")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("row.*")
