@@ -43,6 +43,8 @@ MAX_LANGUAGES = 1_000
 SHARPNESS = 12.0
 #: A text is rejected above this multiple of the highest usual cross-entropy, if it has this many letters.
 REJECT_ABOVE, REJECT_LETTERS = 1.35, 20
+#: Calibration documents that a language must have; with fewer, only texts without letters are rejected.
+CALIBRATED_BY = 20
 
 
 @cache
@@ -219,7 +221,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
     """Models from a table (id, text, lang), of which null texts and languages are left out.
 
-    About ``sample_docs`` documents per language are used, nine in ten to count and the rest to calibrate.
+    About ``sample_docs`` documents per language are used, four in five to count and the rest to calibrate.
     """
     rows = labelled.where("lang is not null and text is not null").select("id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -233,7 +235,7 @@ def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1_000_000, -(-sample_docs * 1_000_000 // sizes[lang]))).otherwise(share)
     draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
-    rows = rows.withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(10)) == 0).where(draw < share)
+    rows = rows.withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0).where(draw < share)
     counts: pd.DataFrame = _gram_counts(rows.where("not calibrates").select("lang", "text")).toPandas()
     if not len(counts):  # so few documents that all of them calibrate
         counts = _gram_counts(rows.select("lang", "text")).toPandas()
@@ -245,8 +247,8 @@ def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
     models = estimate(learned, index, counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy(np.float64))
     models.usual = np.full(len(learned), np.inf)
     high = identify(rows.where("calibrates").select("id", "text", "lang"), models, "id", "text", keep=["lang"])
-    high = high.where(f"lang = lang_pred and n_letters >= {REJECT_LETTERS}").groupBy("lang").agg(F.max("entropy").alias("high")).collect()
-    for r in high:
+    high = high.where(f"lang = lang_pred and n_letters >= {REJECT_LETTERS}").groupBy("lang").agg(F.max("entropy").alias("high"), F.count("*").alias("n"))
+    for r in high.where(F.col("n") >= CALIBRATED_BY).collect():
         models.usual[learned.index(r["lang"])] = r["high"]
     return models
 

@@ -83,7 +83,7 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     # Empty texts at the end or between others share the end of their neighbour.
     bounds = np.unique(ends[ends > 0]) if len(ends) else ends
     starts = piece_starts(points, bounds)
-    stops = np.append(starts[1:], len(points))
+    stops = np.append(starts[1:], len(points))[: len(starts)]
     found = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
     upto = np.searchsorted(starts, ends, side="left")
     return found, np.diff(upto, prepend=0)

@@ -151,8 +151,8 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
 
 
 def _thresholds(rows: DataFrame, bins: int) -> dict[str, list[float]]:
-    """Cut points per feature: quantiles of the bad and of the good rows."""
-    shares = [(i + 0.5) / (bins // 2) for i in range(bins // 2)]
+    """Cut points per feature: quantiles of the bad and of the good rows, from the least to the largest value."""
+    shares = [i / (bins // 2 - 1) for i in range(bins // 2)]
     cut = [F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES]
     found: dict[str, set[float]] = {f: set() for f in FEATURES}
     for row in rows.groupBy("bad").agg(*cut).collect():

@@ -61,7 +61,8 @@ CLASSES = (
     CharacterClass("hex", r"[0-9A-F]", 24, 3.2, (r"[0-9].*[0-9].*[0-9]", r"[A-F]")),
 )
 
-#: Whole candidate strings that are no secrets.
+#: Characters that a candidate string may go on with, and whole strings of them that are no secrets.
+TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(?i).*(example|placeholder|changeme|your[-_]?(key|token|secret)|dummy|redacted).*",
@@ -119,12 +120,20 @@ class Scanner:
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
         return spans
 
+    def known(self, text: str, start: int, end: int) -> bool:
+        """Whether the allow list has the run, with the characters of tokens around it."""
+        while start and text[start - 1] in TOKEN:
+            start -= 1
+        while end < len(text) and text[end] in TOKEN:
+            end += 1
+        return bool(self.allow.fullmatch(text, start, end))
+
     def suspects(self, text: str) -> list[tuple[int, int]]:
         found = []
         for kind, run, needs in self.classes:
             for m in run.finditer(text):
                 string = m.group()
-                if not all(n.search(string) for n in needs) or self.allow.fullmatch(string):
+                if not all(n.search(string) for n in needs) or self.known(text, m.start(), m.end()):
                     continue
                 for a, b in hot_windows(string, kind.window, kind.bits):
                     if all(n.search(string, a, b) for n in needs):

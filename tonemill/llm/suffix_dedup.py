@@ -305,6 +305,8 @@ def compare_gathered(rows: DataFrame) -> DataFrame:
         repeated[order] = again
         # Neighbouring repeated strings of a stretch make one range.
         who, start = owner[repeated], (begin[owner] + offset)[repeated]
+        if not len(who):
+            return pa.RecordBatch.from_arrays([batch.column(1).slice(0, 0), batch.column(2).slice(0, 0), pa.array(who), pa.array(who)], names=["id", "t", "start", "end"])
         new = np.ones(len(who), bool)
         new[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
