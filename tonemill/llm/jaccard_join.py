@@ -12,9 +12,10 @@ The order by rarity comes from a count sketch of fixed size over all shingles of
 order that all texts share gives the same links; the sketch keeps common passages out of prefixes.
 
 Groups are never expanded into pairs.  First every set is compared with one pivot per shared
-shingle, twice, with different pivots; links make components.  What remains are pairs of different
-components that share a prefix shingle; these are all compared, and since most members of a
-large group are in one component by then, few are left.  Only connectedness is asked for, so
+shingle; links make components.  Then, in turns, sets outside the largest component of a
+shingle's list are compared with a few of its members, as long as that finds links.  What remains
+are pairs of different components that share a prefix shingle; these are all compared, and
+since most members of a large group are in one component by then, few are left.  Only connectedness is asked for, so
 pairs inside a component need no comparison.
 
 Very common shingles are known from the sketch and skip the step that drops unshared shingles,
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonemill.llm.components import label_components
@@ -46,6 +48,9 @@ from tonemill.session import durable
 SKETCH, PIECE = 1 << 20, 1 << 12
 #: Hash ranges of the suffix filter.
 RANGES = 64
+#: Members that a set outside a list's largest component is compared with per turn, and the share
+#: of such comparisons that must find a link for another turn to be made.
+TRIALS, WORTH = 32, 0.01
 
 INFO = "id long, n long, key long, digest binary, sig binary, piece int, counters binary"
 PREFIX = "h long, key long, n int, pos int, common boolean"
@@ -233,6 +238,23 @@ def _star_pairs(rows: DataFrame, pick: Column) -> DataFrame:
     return _distinct_pairs(met.select(F.col("s.node").alias("u"), F.col("x.node").alias("v")))
 
 
+def _trial_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Sets outside the largest component of a shared shingle's list with ``TRIALS`` members of such components.
+
+    The members are drawn by a hash, others in each turn.
+    """
+    drawn = F.min(F.struct(F.xxhash64("node", "h", F.lit(turn)).alias("by"), "node", "n", "pos")).alias("p")
+    parts = rows.groupBy("h", "label").agg(F.count("*").alias("k"), drawn)
+    main = parts.groupBy("h").agg(F.max(F.struct("k", "label", "p")).alias("m"), F.count("*").alias("c")).where("c > 1")
+    s, x = main.select("h", "m.label", "m.p.*").alias("s"), rows.alias("x")
+    met = s.join(x, "h").where(F.col("s.label") != F.col("x.label"))
+    smaller = F.struct("s.n", "s.node") < F.struct("x.n", "x.node")
+    met = met.where(F.when(smaller, _passes("s", "x")).otherwise(_passes("x", "s")))
+    pairs = met.select(F.col("s.node").alias("u"), F.col("x.node").alias("v")).distinct()
+    few = W.partitionBy("v").orderBy(F.xxhash64("u", F.lit(turn)))
+    return _distinct_pairs(pairs.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= TRIALS))
+
+
 def _all_pairs(rows: DataFrame) -> DataFrame:
     """All pairs of different components that share a prefix shingle and may be similar.
 
@@ -288,12 +310,21 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = label_components(links)
 
     texts = durable(_texts_of(rows, firsts.join(listed.select("node").distinct(), "node")), "jaccard-texts")
-    smallest, largest = F.struct("n", "node"), F.struct(-F.col("n"), -F.col("pos"), "node")
-    for make in (lambda r: _star_pairs(r, smallest), lambda r: _star_pairs(r, largest), _all_pairs):
+    turn = 0
+    while turn is not None:
         labelled = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _plausible(make(labelled), nodes.select("node", "n", "sig"))
-        links = durable(links.union(_verified(pairs, texts)), "jaccard-links")
+        if turn < 0:
+            made = _all_pairs(labelled)
+        else:
+            made = _trial_pairs(labelled, turn) if turn else _star_pairs(labelled, F.struct("n", "node"))
+        pairs = durable(_plausible(made, nodes.select("node", "n", "sig")), "jaccard-pairs")
+        found = durable(_verified(pairs, texts), "jaccard-found")
+        links = links.union(found)
         labels = label_components(links)
+        if turn < 0:
+            turn = None
+        else:  # go on drawing while it pays, then compare all that is left
+            turn = turn + 1 if found.count() > WORTH * pairs.count() else -1
 
     # A component is named after the smallest id of any of its texts.
     named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
