@@ -40,11 +40,14 @@ from tonemill.session import durable
 #: Parameters: vectors that centroids are fitted on, and the most centroids (both bound what is broadcast).
 SAMPLE, MOST_CENTROIDS = 40_000, 2_048
 #: Sampled vectors per centroid, copies of a boundary vector, its distance ratio, and that of a query.
-PER_LIST, COPIES, BOUNDARY_RATIO, QUERY_RATIO = 100, 4, 1.15, 1.6
-#: Neighbours per centroid in the graph; entries of a piece; queries that meet a piece at once.
-DEGREE, PIECE, BLOCK = 24, 4_096, 512
-#: The least share of the lists a query visits.
-LEAST_SHARE = 0.1
+PER_LIST, COPIES, BOUNDARY_RATIO, QUERY_RATIO = 100, 6, 1.2, 1.15
+#: Neighbours and random links per centroid in the graph; entries of a piece; queries that meet a piece at once.
+DEGREE, LINKS, PIECE, BLOCK = 24, 8, 4_096, 512
+#: The least share, and the least number, of lists that a query visits.
+LEAST_SHARE, LEAST_LISTS = 0.1, 32
+
+
+_FOUND = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
 
 
 @dataclass
@@ -74,7 +77,7 @@ class Centroids:
             d, c = heapq.heappop(front)
             if len(best) >= width and d > -best[0][0]:
                 break
-            near = [x for x in self.graph[c].tolist() if x not in seen]
+            near = [x for x in dict.fromkeys(self.graph[c].tolist()) if x not in seen]
             if not near:
                 continue
             seen.update(near)
@@ -112,7 +115,9 @@ def fit_centroids(sample: np.ndarray, largest: float, per_list: int = PER_LIST,
                 members = np.flatnonzero(home == g)
                 centres[s] = points[rng.choice(members)]
     near = np.argsort(_distances(centres, centres), axis=1, kind="stable")[:, 1 : DEGREE + 1]
-    return Centroids(centres, near, largest)
+    # A few random links per centre lead from one group of centres to another.
+    far = rng.integers(0, len(centres), (len(centres), LINKS))
+    return Centroids(centres, np.hstack([near, far]), largest)
 
 
 def _entries(rows: DataFrame, most: int) -> DataFrame:
@@ -178,7 +183,7 @@ def _visits(queries: DataFrame, centroids: Centroids, sizes: dict[int, int], k:
                 reach = min(total, max(64, total // 2))
                 query = np.append(vector * (model.largest / np.linalg.norm(vector)), 0.0)
                 near, far = model.search(query, reach)
-                least = max(1, int(total * LEAST_SHARE))
+                least = max(LEAST_LISTS, int(total * LEAST_SHARE))
                 chosen = [c for j, (c, d) in enumerate(zip(near.tolist(), far.tolist(), strict=True)) if j < least or d * d <= QUERY_RATIO * far[0] * far[0]]
                 met = sum(entries.get(c, 0) for c in chosen)
                 if met <= k:  # not yet sure of k results beside the query itself
@@ -228,10 +233,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     visits = visits.withColumn("block", block).join(cut, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     piece = F.pmod(F.xxhash64("first", F.lit(5)), F.col("pieces")).cast("int")
     found = _match(posted.join(cut, "list").withColumn("piece", piece), visits, k, width)
-    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return _merge(found, k, id_col)
 
 
 def _match(posted: DataFrame, visits: DataFrame, k: int, width: int) -> DataFrame:
@@ -248,18 +250,30 @@ def _match(posted: DataFrame, visits: DataFrame, k: int, width: int) -> DataFram
                 right, ids = batch.column(1).slice(i, 1).flatten().flatten()
                 products = _matrix(left, width) @ _matrix(right, width).T
                 lists = ids.to_pylist()
-                rows = [r for q, line in zip(names.to_pylist(), products, strict=True) for r in _top(q, line, lists, k)]
-                columns = list(zip(*rows, strict=True)) or [[], [], []]
-                kinds = (pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "id", "score"])
+                best = [_top(q, line, lists, k) for q, line in zip(names.to_pylist(), products, strict=True)]
+                yield pa.RecordBatch.from_arrays([names, pa.array(best, _FOUND)], names=["query_id", "found"])
+
+    return importable(both).mapInArrow(run, "query_id long, found array<struct<score:double,id:long>>")
+
 
-    return importable(both).mapInArrow(run, "query_id long, id long, score double")
+def _merge(found: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(query_id, rank, id, score): the ``k`` best of what the lists of a query gave, an id once."""
+    per_query = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    best_first = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(
+        F.signum(a["id"] - b["id"]).cast("int")
+    )
+    # The best of an id comes first, so an id is kept where it occurs first.
+    ordered = per_query.select("query_id", F.array_sort("found", best_first).alias("found"))
+    ids = F.slice(F.array_distinct(F.transform("found", lambda x: x["id"])), 1, k)
+    scored = F.transform(ids, lambda i: F.struct(i.alias("id"), F.element_at(F.transform(F.filter("found", lambda x: x["id"] == i), lambda x: x["score"]), 1).alias("score")))
+    rows = ordered.select("query_id", F.posexplode(scored).alias("rank", "x"))
+    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias(id_col), "x.score")
 
 
-def _top(query: int, line: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
+def _top(query: int, line: np.ndarray, ids: list[list[int]], k: int) -> list[dict]:
     """The ``k`` best rows of one query among the entries, ties to the smaller id."""
     want = min(len(line), k + 1)
     bound = np.partition(line, len(line) - want)[len(line) - want]
     near = np.flatnonzero(line >= bound)
     rows = sorted((-float(line[j]), x) for j in near.tolist() for x in ids[j] if x != query)
-    return [(query, x, -s) for s, x in rows[:k]]
+    return [{"score": -s, "id": x} for s, x in rows[:k]]
