@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemill.llm.pretokens import Memory, encode_texts, in_groups
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 
 #: Pieces per recursive query, bytes from which a piece is long, and tokens per decoding query.
 PIECES, LONG, TOKENS = 40_000, 400, 400_000
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids, lengths = encode_texts(texts[a:b], bpe.memory, bpe.encode_pieces)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _list_array(ids, lengths)], names=[id_col, "ids"])
 
-    return importable(rows).mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,4 +192,4 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 found = bpe.decode(ids, lengths)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(found, pa.binary())], names=[id_col, "ids", "bytes"])
 
-    return importable(rows).mapInArrow(run, schema)
+    return map_batches(rows, run, schema)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tonemill.llm.components import label_components
 from tonemill.llm.shingles import shingle_sets
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 from tonemill.operators.joins import lookup_join
 from tonemill.session import durable
 
@@ -60,6 +60,13 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of texts in slices, so that the sets of few are held at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
@@ -80,10 +87,10 @@ def describe(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
+        for batch in _parts(batches):
             sets = shingle_sets(_texts(batch, 1))
-            for a in range(0, len(sets), 2000):
-                flat = np.concatenate(sets[a : a + 2000])
+            if sets:
+                flat = np.concatenate(sets)
                 sketch += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             digests = [_digest(s) for s in sets]
             ranges = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() for s in sets]
@@ -92,7 +99,7 @@ def describe(rows: DataFrame) -> DataFrame:
             k = SKETCH // PIECE
             yield batch_of(k, piece=list(range(k)), counters=[sketch[i * PIECE : (i + 1) * PIECE].tobytes() for i in range(k)])
 
-    return importable(rows).mapInArrow(run, INFO)
+    return map_batches(rows, run, INFO)
 
 
 def sketch_of(info: DataFrame) -> np.ndarray:
@@ -111,7 +118,7 @@ def sketch_of(info: DataFrame) -> np.ndarray:
     # First in parts by the task they come from, then in whole.
     for fan in (16, 1):
         salt = F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(fan))
-        rows = importable(rows.repartition(16, "piece", salt)).mapInArrow(run, "piece int, counters binary")
+        rows = map_batches(rows.repartition(16, "piece", salt), run, "piece int, counters binary")
     sketch = np.zeros(SKETCH, np.int32)
     for r in rows.collect():
         sketch[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["counters"], np.int32)
@@ -129,7 +136,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             seen = set()
             for s in shingle_sets(_texts(batch, 1)):
@@ -149,7 +156,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["h", "key", "n", "pos", "common"])
 
-    return importable(rows).mapInArrow(run, PREFIX)
+    return map_batches(rows, run, PREFIX)
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -179,7 +186,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
             last, held = (h[-1], key[-1]), None if keep[-1] else batch.slice(len(h) - 1).select([0, 1, 2, 3])
             yield batch.filter(pa.array(keep)).select([0, 1, 2, 3])
 
-    return importable(rows).mapInArrow(run, "h long, key long, n int, pos int")
+    return map_batches(rows, run, "h long, key long, n int, pos int")
 
 
 def _passes(short: str, long: str) -> Column:
@@ -207,7 +214,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             # |x| + |y| - 2 overlap, with overlap >= 4/9 of |x| + |y|
             yield batch.filter(pa.array(9 * apart <= total)).select([0, 1])
 
-    return importable(both).mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,7 +223,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             left, right = shingle_sets(_texts(batch, 2)), shingle_sets(_texts(batch, 3))
             linked = []
             for x, y in zip(left, right, strict=True):
@@ -224,7 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 linked.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.filter(pa.array(linked, pa.bool_())).select([0, 1])
 
-    return importable(both).mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def _star_pairs(rows: DataFrame, pick: Column) -> DataFrame:
@@ -278,11 +285,11 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     found = lookup_join(rows, wanted, ["id"], "inner").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             keys = [_key(_digest(s)) for s in shingle_sets(_texts(batch, 1))]
             yield batch.filter(pa.array([a == b for a, b in zip(keys, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
 
-    return importable(found).mapInArrow(run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    return map_batches(found, run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

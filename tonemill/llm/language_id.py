@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemill.llm.pretokens import in_groups
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 
 ORDER = 4
 UNKNOWN = "und"
@@ -138,7 +138,7 @@ class LanguageModels:
         total = np.zeros((len(texts), len(self.languages)))
         count = np.zeros(len(texts), np.int64)
         letters = np.zeros(len(texts), np.int64)
-        for a, b in in_groups(texts, 1_000_000):
+        for a, b in in_groups(texts, 500_000):
             grams, owner, n = gram_stream(texts[a:b])
             logs = self.log_probs(grams)
             for k in range(len(self.languages)):
@@ -215,7 +215,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
                     names = pa.array([lang] * len(grams), pa.string())
                     yield pa.RecordBatch.from_arrays([names, pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return importable(rows).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(rows, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
             columns = predict(model, texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 
-    return importable(rows).mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def predict(model: LanguageModels, texts: list[str]) -> list[pa.Array]:

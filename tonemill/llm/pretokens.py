@@ -13,9 +13,9 @@ import numpy as np
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: Pieces that one worker remembers from batch to batch, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Characters of text that are worked on at once (a longer text makes a batch of its own).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 
 
 @cache

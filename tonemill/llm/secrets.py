@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 
 # The base patterns and their least lengths, and the order of kinds.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -180,7 +180,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scanner.scan(t)] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], names=schema.names)
 
-    return importable(rows).mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "tex
             columns = [pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return importable(docs).mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def spans_text(spans: Column) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORDS = 5
 #: Bytes that are hashed at once; a longer text is hashed in one piece with a longer table.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.llm.shingles import mixed
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 from tonemill.operators.joins import lookup_join
 from tonemill.session import durable
 
@@ -178,7 +178,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     names=["h", "u", "id", "t", "nth"],
                 )
 
-    return importable(docs).mapInArrow(run, "h long, u long, id long, t long, nth int")
+    return map_batches(docs, run, "h long, u long, id long, t long, nth int")
 
 
 #: What is known of an anchor: its stretch is repeated, it is to be checked, or it lies at a bucket's end.
@@ -216,7 +216,7 @@ def decide(rows: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([what, h, u, *batch.columns[2:]], names=["what", "h", "u", "id", "t", "nth"])
             yield out.filter(keep)
 
-    return importable(rows).mapInArrow(run, "what int, h long, u long, id long, t long, nth int")
+    return map_batches(rows, run, "what int, h long, u long, id long, t long, nth int")
 
 
 def _across(decided: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def gathered_rows(docs: DataFrame) -> DataFrame:
                         names=["h", "id", "t", "begin", "lead", "bytes"],
                     )
 
-    return importable(docs).mapInArrow(run, "h long, id long, t long, begin long, lead int, bytes binary")
+    return map_batches(docs, run, "h long, id long, t long, begin long, lead int, bytes binary")
 
 
 def _strings(parts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -329,7 +329,7 @@ def compare_gathered(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield ranges(held)
 
-    return importable(rows).mapInArrow(run, "id long, t long, start long, end long")
+    return map_batches(rows, run, "id long, t long, start long, end long")
 
 
 def _whole_tokens(h: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -358,7 +358,7 @@ def spread_rows(docs: DataFrame) -> DataFrame:
                         names=["one", "two", "id", "t", "start"],
                     )
 
-    return importable(docs).mapInArrow(run, "one long, two long, id long, t long, start long")
+    return map_batches(docs, run, "one long, two long, id long, t long, start long")
 
 
 def compare_spread(rows: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                     [part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"]
                 )
 
-    return importable(docs).mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_batches(docs, run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

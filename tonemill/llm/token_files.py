@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemill.llm.pretokens import Memory, encode_texts, in_groups
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 from tonemill.session import durable, scratch
 
 MAGIC = b"TNPF"
@@ -212,7 +212,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end_id:
                 names=["part", "file", "n_docs", "n_ids"],
             )
 
-    manifest = durable(importable(placed).mapInArrow(run, MANIFEST), "token-manifest")
+    manifest = durable(map_batches(placed, run, MANIFEST), "token-manifest")
     # One row per file: the only window over everything is over these.
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -245,4 +245,4 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     files = manifest.select("file", "first")
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return importable(files.repartition(parts, F.xxhash64("file"))).mapInArrow(run, schema)
+    return map_batches(files.repartition(parts, F.xxhash64("file")), run, schema)

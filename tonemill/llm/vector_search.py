@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tonemill.llm.workers import importable
+from tonemill.llm.workers import map_batches
 from tonemill.session import durable
 
 #: Parameters: vectors that centroids are fitted on, and the most centroids (both bound what is broadcast).
@@ -166,7 +166,7 @@ def _assign(entries: DataFrame, centroids: Centroids, width: int) -> DataFrame:
                 taken = part.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(home, pa.bool_()), *taken.columns], names=["list", "home", "first", "vector", "ids"])
 
-    return importable(entries).mapInArrow(run, "list int, home boolean, first long, vector array<double>, ids array<long>")
+    return map_batches(entries, run, "list int, home boolean, first long, vector array<double>, ids array<long>")
 
 
 def _visits(queries: DataFrame, centroids: Centroids, sizes: dict[int, int], k: int, width: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _visits(queries: DataFrame, centroids: Centroids, sizes: dict[int, int], k:
             taken = batch.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *taken.columns], names=["list", "query_id", "vector"])
 
-    return importable(queries).mapInArrow(run, "list int, query_id long, vector array<double>")
+    return map_batches(queries, run, "list int, query_id long, vector array<double>")
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -253,7 +253,7 @@ def _match(posted: DataFrame, visits: DataFrame, k: int, width: int) -> DataFram
                 best = [_top(q, line, lists, k) for q, line in zip(names.to_pylist(), products, strict=True)]
                 yield pa.RecordBatch.from_arrays([names, pa.array(best, _FOUND)], names=["query_id", "found"])
 
-    return importable(both).mapInArrow(run, "query_id long, found array<struct<score:double,id:long>>")
+    return map_batches(both, run, "query_id long, found array<struct<score:double,id:long>>")
 
 
 def _merge(found: DataFrame, k: int, id_col: str) -> DataFrame:
