@@ -279,6 +279,10 @@ def test_evaluation_by_hand(spark):
     # The class `odd` is unknown to the model and counts as one more error.
     assert got.mean_abs_err == pytest.approx((0.2 + 1.2 + 0.4 + 1 + 1) / 8)
     assert got.root_mean_sq_err == pytest.approx(math.sqrt((2 * 0.01 + 2 * 0.36 + 2 * 0.04 + 1 + 1) / 8))
+    # Rows without a model count as wrong; the products hold for very many rows.
+    unscored = spark.createDataFrame([(5, "pos", None, None), (6, "neg", None, None)], df.schema)
+    both = evaluate.evaluate(df.union(unscored)).first()
+    assert (both.n, both.n_unscored, both.accuracy) == (6, 2, 2 / 6) and both.mean_abs_err == pytest.approx(got.mean_abs_err)
     matrix = {r.label: (r.neg, r.pos) for r in evaluate.confusion_matrix(df, ["neg", "pos"]).collect()}
     assert matrix == {"pos": (1, 1), "neg": (1, 0), "odd": (0, 1)}
 
@@ -291,6 +295,16 @@ def test_information_gain_by_hand(spark):
     assert got == {"a": (2, 1.0)}  # b is spread evenly and tells nothing
 
 
+def test_a_very_small_gain_is_a_gain(spark):
+    """One text in very many: the gain is far below what rounding would keep."""
+    df = spark.range(300_000).select(
+        F.when(F.col("id") == 7, F.array(F.lit("once"))).otherwise(F.array(F.lit("all"))).alias("terms"),
+        F.when(F.col("id") % 50_000 == 1, "x").otherwise("y").alias("label"),
+    )
+    got = {r.term: r.gain for r in information_gain(df).collect()}
+    assert set(got) == {"once", "all"} and 0 <= got["once"] < 1e-9
+
+
 def test_vocabulary_and_lemmas(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), (["a"],)], "terms array<string>")
     assert {(r.term, r.n_docs) for r in vocabulary(df).collect()} == {("a", 2), ("b", 1)}
@@ -306,7 +320,7 @@ def test_numbering_over_many_runs(spark):
     rows = [(i, "hot" if n % 3 else "cold") for n, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "id long, g string").repartition(5)
     for newest in (False, True):
-        got = numbered(df, ["g"], "id", newest, rows_per_part=20, max_parts=64).collect()
+        got = numbered(df, ["g"], "id", newest, rows_per_part=20).collect()
         for g in ("hot", "cold"):
             order = [r.id for r in sorted((r for r in got if r.g == g), key=lambda r: r.row_no)]
             assert order == sorted((i for i, k in rows if k == g), reverse=newest)
@@ -323,6 +337,13 @@ def test_chunks_and_recent(spark):
         chunks(df, 0, ["g"], "id")
 
 
+def test_line_audit(spark):
+    rows = lambda n: spark.range(n)
+    good = evaluate.line_audit(rows(10), rows(7), rows(3)).first()
+    assert (good.n_read, good.n_kept, good.n_rejected, good.n_lost, good.differs) == (10, 7, 3, 0, False)
+    assert evaluate.line_audit(rows(10), rows(7), rows(2)).first().differs
+
+
 def test_class_index(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "label string")
     assert {(r.label, r.label_idx) for r in class_index(df).collect()} == {("a", 0), ("b", 1)}

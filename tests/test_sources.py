@@ -128,11 +128,74 @@ def test_registry_skips_damaged_files(spark, tmp_path):
     path = tmp_path / "registry"
     params = spark.createDataFrame([("d", "pos", "f", 3, 0.5, 1.0)], PARAMS)
     registry.save_models(params, str(path), "gaussian_nb", 1)
-    (path / "params" / "domain=d" / "part-broken.parquet").write_bytes(b"no parquet at all")
-    assert registry.load_models(spark, str(path)).count() == 1
+    older = registry.latest_model(spark, str(path)).first()
+    more = spark.createDataFrame([("d", "pos", f, 4, 0.25, 2.0) for f in "fgh"], PARAMS)
+    status = registry.save_models(more, str(path), "gaussian_nb", 2)
+    folder = path / "params" / "domain=d" / f"model_id={status.first().model_id}"
+    (folder / "part-broken.parquet").write_bytes(b"no parquet at all")
+    assert registry.latest_model(spark, str(path)).count() == 3  # what else lies there does no harm
+    for part in folder.glob("*.snappy.parquet"):
+        part.write_bytes(b"damaged")
+    # The damaged model is left out whole; the one before it answers.
+    assert [r.model_id for r in registry.latest_model(spark, str(path)).collect()] == [older.model_id]
     assert registry.load_models(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_registry_keeps_equal_models_apart_and_comes_back(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    rows = lambda mean, *domains: spark.createDataFrame([(d, "pos", "f", 3, mean, 1.0) for d in domains], PARAMS)
+    status = registry.save_models(rows(0.5, "d", "e"), path, "gaussian_nb", 1).collect()
+    assert [r.status for r in status] == [registry.CREATED] * 2 and len({r.model_id for r in status}) == 1
+    assert {r.domain for r in registry.latest_model(spark, path).collect()} == {"d", "e"}
+    assert [r.status for r in registry.save_models(rows(0.5, "f"), path, "gaussian_nb", 1).collect()] == [registry.CREATED]
+    # A, B, A: the model that is built again is the newest again, and once is enough.
+    registry.save_models(rows(0.7, "d"), path, "gaussian_nb", 2)
+    for _ in range(2):
+        back = registry.save_models(rows(0.5, "d"), path, "gaussian_nb", 3)
+        assert [r.status for r in back.collect()] == [registry.EXISTS]
+    assert [(r["mean"], r.n) for r in registry.latest_model(spark, path, "d").collect()] == [(0.5, 3)]
+    assert registry.load_headers(spark, path).count() == 5
+
+
+def test_a_save_repeated_after_a_crash_stores_once(spark, tmp_path):
+    path = tmp_path / "registry"
+    params = spark.createDataFrame([("d", "pos", f, 3, 0.5, 1.0) for f in "fg"], PARAMS)
+    registry.save_models(params, str(path), "gaussian_nb", 1)
+    (path / "headers").rename(tmp_path / "lost")  # as if the headers had not been written
+    registry.save_models(params, str(path), "gaussian_nb", 1)
+    assert registry.latest_model(spark, str(path), "d").count() == 2
+
+
+def test_requests_that_are_set_aside(spark):
+    payloads = [
+        '{"domain": "a", "dataSet": [{"text": "x", "textClass": "pos"}, {"text": "y"}, {"text": "z", "textClass": ""}]}',
+        '{"domain": "a", "dataSet": []}', '{"domain": "a"}', "no json", '{"domain": ', "[1]", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, value string")
+    rows, rejects = requests.split_requests(df, keep=["id"])
+    assert [(r.id, r.row_no, r.text) for r in rows.collect()] == [(0, 0, "x")]
+    got = sorted((r.id, -1 if r.row_no is None else r.row_no, r.reason) for r in rejects.collect())
+    assert got == [
+        (0, 1, requests.NO_TEXT_OR_CLASS), (0, 2, requests.NO_TEXT_OR_CLASS), (1, -1, requests.NO_ROWS), (2, -1, requests.NO_ROWS),
+        (3, -1, requests.NO_JSON), (4, -1, requests.NO_JSON), (5, -1, requests.NO_JSON), (6, -1, requests.NO_JSON),
+    ]
+
+
+def test_payloads_are_rows_or_rejects(spark):
+    payloads = [
+        'text,class\n"a ""b""\nc",pos\nd,\n', "text,class\n,pos\n", "class,text\npos,x\n", "text,class\n", '{"dataSet": [{"text": "t"}]}',
+        '{"data": [{"values": ["t", "pos"]}, {"values": []}]}', "@relation r\n@data\n", "@relation r\n@attribute text string\n@data\n'x',neg\n'y'\n", "plain", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, payload string")
+    rows, rejects = requests.parse_payloads(df, "payload", ["id"])
+    assert {(r.id, r.row_no, r.text, r.label) for r in rows.collect()} == {
+        (0, 0, 'a "b"\nc', "pos"), (2, 0, "x", "pos"), (5, 0, "t", "pos"), (7, 0, "x", "neg"),
+    }
+    assert {r.id for r in rejects.collect()} == {1, 3, 4, 6, 8, 9}
+    left = requests.payload_row_rejects(df, "payload", ["id"]).collect()
+    assert {(r.id, r.row_no) for r in left} == {(0, 1), (5, 1), (7, 1)}
+
+
 def test_export(spark):
     params = spark.createDataFrame([("d", "pos", "f", 3, 0.5, 1.0)], PARAMS)
     value = registry.export_json(params).select(F.get_json_object("value", "$.mean")).first()[0]

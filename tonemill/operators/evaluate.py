@@ -36,9 +36,10 @@ def row_errors(label: Column, dist: Column) -> tuple[Column, Column, Column]:
 
 
 def evaluate(scored: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
-    """(by..., n, accuracy, kappa, mean_abs_err, root_mean_sq_err, pct_incorrect).
+    """(by..., n, n_unscored, accuracy, kappa, mean_abs_err, root_mean_sq_err, pct_incorrect).
 
-    The rows are read once, into one stored row per true and predicted class; all
+    A row that no model has scored counts as wrong; the mean errors, which need a
+    distribution, are those of the scored rows.  The rows are read once, into one stored row per true and predicted class; all
     measures follow from that.
     """
     keys = by or ["_all"]
@@ -46,30 +47,29 @@ def evaluate(scored: DataFrame, by: list[str] | None = None, label: str = "label
     rows = rows if by else rows.withColumn("_all", F.lit("all"))
     absolute, squared, classes = row_errors(F.col("label"), F.col("dist"))
     cells = durable(
-        rows.filter(F.col("dist").isNotNull())
-        .groupBy(*keys, "label", "predicted")
+        rows.groupBy(*keys, "label", "predicted")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.sum(absolute).alias("absolute"),
-            F.sum(squared).alias("squared"), F.sum(classes).alias("classes"),
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("dist").isNull()).alias("n_unscored"), F.sum(absolute).alias("absolute"),
+            F.sum(squared).alias("squared"), F.sum(F.when(F.col("dist").isNotNull(), classes)).alias("classes"),
         ),
         "cells",
     )
     side = lambda c, name: cells.groupBy(*keys, F.col(c).alias("class")).agg(F.sum("n").alias(name))
     chance = (
         side("label", "n_true").join(side("predicted", "n_pred"), [*keys, "class"])
-        .groupBy(*keys).agg(F.sum(F.col("n_true") * F.col("n_pred")).alias("by_chance"))
+        .groupBy(*keys).agg(F.sum(F.col("n_true").cast("double") * F.col("n_pred")).alias("by_chance"))
     )
     totals = cells.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
+        F.sum("n").alias("n"), F.sum("n_unscored").alias("n_unscored"),
         F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"),
         (F.sum("absolute") / F.sum("classes")).alias("mean_abs_err"),
         F.sqrt(F.sum("squared") / F.sum("classes")).alias("root_mean_sq_err"),
     )
     n = F.col("n")
     po = F.col("right") / n
-    pe = F.coalesce(F.col("by_chance"), F.lit(0)) / (n * n)
+    pe = F.coalesce(F.col("by_chance"), F.lit(0.0)) / (n.cast("double") * n)
     return totals.join(chance, keys, "left").select(
-        *(by or []), "n", po.alias("accuracy"),
+        *(by or []), "n", "n_unscored", po.alias("accuracy"),
         F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(0.0).alias("kappa"),
         "mean_abs_err", "root_mean_sq_err", ((1 - po) * 100).alias("pct_incorrect"),
     )
@@ -126,3 +126,18 @@ def ingest_audit(rows: DataFrame, files: DataFrame, file: str = "file") -> DataF
         one(counted).join(one(found), "_k").drop("_k")
         .withColumn("differs", F.col("n_rows") != F.col("n_files"))
     )
+
+
+def line_audit(n_read: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(n_read, n_kept, n_rejected, n_lost, differs) of a load.
+
+    ``n_read`` holds the lines or rows as they were read.  Rows that were rejected are accounted for;
+    a difference means that rows were neither kept nor rejected.
+    """
+    sizes = [
+        df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
+        for df, name in ((n_read, "n_read"), (kept, "n_kept"), (rejected, "n_rejected"))
+    ]
+    one = sizes[0].join(sizes[1], "_k").join(sizes[2], "_k").drop("_k")
+    lost = F.col("n_read") - F.col("n_kept") - F.col("n_rejected")
+    return one.withColumn("n_lost", lost).withColumn("differs", lost != 0)

@@ -46,17 +46,14 @@ def nominal(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def _runs(df: DataFrame, order: str, rows_per_part: int, max_parts: int) -> list[float]:
-    """Cut points that split the ids into runs of similar size; at most ``max_parts`` runs."""
-    shares = [i / max_parts for i in range(1, max_parts)]
-    seen = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(order).cast("double"), shares, 10 * max_parts).alias("edges"),
-    ).first()
-    parts = max(1, min(max_parts, -(-seen["n"] // rows_per_part)))
-    step = max_parts / parts
-    picked = [seen["edges"][round(i * step) - 1] for i in range(1, parts)]
-    return sorted(set(picked))
+def _runs(df: DataFrame, order: str, rows_per_part: int) -> list[float]:
+    """Cut points that split the ids into runs of about ``rows_per_part`` rows."""
+    parts = -(-df.count() // rows_per_part)
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    edges = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 10 * parts).alias("edges")).first()["edges"]
+    return sorted(set(edges))
 
 
 def numbered(
@@ -65,7 +62,6 @@ def numbered(
     order: str,
     newest_first: bool = False,
     rows_per_part: int = 1_000_000,
-    max_parts: int = 2048,
     name: str = "row_no",
 ) -> DataFrame:
     """Number the rows of each group from 1 in the order of a unique numeric id.
@@ -74,7 +70,7 @@ def numbered(
     task.  The ids are cut into runs at fixed points; rows are numbered inside
     (group, run) and moved on by the count of the earlier runs.
     """
-    edges = _runs(df, order, rows_per_part, max_parts)
+    edges = _runs(df, order, rows_per_part)
     if edges:
         splits = [float("-inf"), *edges, float("inf")]
         find = Bucketizer(splits=splits, inputCol="_id", outputCol="_run", handleInvalid="error")
@@ -105,8 +101,9 @@ def chunks(df: DataFrame, size: int, by: list[str], order: str) -> DataFrame:
 
 
 def most_recent(df: DataFrame, n: int, by: list[str], order: str) -> DataFrame:
-    """The ``n`` rows of each group with the highest id."""
-    return numbered(df, by, order, newest_first=True).filter(F.col("row_no") <= n).drop("row_no")
+    """The ``n`` rows of each group with the highest id; each task keeps ``n`` of a group before it shuffles."""
+    newest = Window.partitionBy(*by).orderBy(F.col(order).desc())
+    return df.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n).drop("_n")
 
 
 def argmax_rows(df: DataFrame, key: list[str], score: Column, label: str, index: str) -> DataFrame:

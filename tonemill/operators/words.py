@@ -86,7 +86,7 @@ def _xlogx(x: Column) -> Column:
 
 
 def information_gain(df: DataFrame, terms: str = "terms", label: str = "label") -> DataFrame:
-    """(term, n_docs, gain) for every term with a gain above zero.
+    """(term, n_docs, gain) for every term that has a gain.
 
     With counts n the gain is a sum of ``n log2 n`` parts: over the classes, over
     the texts that hold the term, and over those that do not.  A class in which
@@ -107,16 +107,20 @@ def information_gain(df: DataFrame, terms: str = "terms", label: str = "label")
         F.sum("n_tc").alias("n_t"),
         F.sum(_xlogx(n_tc)).alias("with_part"),
         F.sum(_xlogx(n_c - n_tc) - _xlogx(n_c)).alias("without_change"),
+        F.collect_list(F.struct("n_tc", "n_c")).alias("per_class"),  # one entry per class
     )
     n_t, n = F.col("n_t"), F.lit(n_all)
     class_part = F.lit(classes_part)
     prior = _xlogx(n) - class_part
     present = _xlogx(n_t) - F.col("with_part")
     absent = _xlogx(n - n_t) - (class_part + F.col("without_change"))
-    gain = F.round((prior - present - absent) / n, 9)
-    return per_term.select("term", n_t.cast("long").alias("n_docs"), gain.alias("gain")).filter(
-        F.col("gain") > 0
-    )
+    gain = F.greatest((prior - present - absent) / n, F.lit(0.0))
+    # A term tells nothing exactly if every class has its share of it; in doubles a small
+    # gain could vanish, so that is decided in whole numbers.
+    whole = lambda c: c.cast("decimal(19,0)")
+    uneven = F.exists("per_class", lambda x: whole(x["n_tc"]) * whole(n) != whole(n_t) * whole(x["n_c"]))
+    tells = uneven | (F.size("per_class") < totals.table.count())
+    return per_term.filter(tells).select("term", n_t.cast("long").alias("n_docs"), gain.alias("gain"))
 
 
 def ranked_terms(gains: DataFrame, k: int | None = None) -> DataFrame:
@@ -129,10 +133,3 @@ def select_terms(df: DataFrame, gains: DataFrame, key: list[str], terms: str = "
     """Presence rows that keep only terms with a gain."""
     return presence_vectors(df, gains, key, terms)
 
-
-def ml_word_vectors(df: DataFrame, terms: str = "terms", size: int = 1000, name: str = "features"):
-    """Sparse presence vectors for ``pyspark.ml`` learners; returns (fitted vectoriser, rows)."""
-    from pyspark.ml.feature import CountVectorizer
-
-    fitted = CountVectorizer(inputCol=terms, outputCol=name, vocabSize=size, binary=True).fit(df)
-    return fitted, fitted.transform(df)

@@ -102,6 +102,17 @@ def r2(spark, sf):
     return bad.groupBy(F.md5("value").alias("digest"), "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a17_line_audit", f"""WITH {_LINES}, n AS (SELECT count(*) AS n_read, count(*) FILTER (labelled OR lang = 'fr') AS n_kept FROM lines)
+  SELECT 'whole' AS load, n_read, n_kept, n_read - n_kept AS n_rejected, 0 AS n_lost, false AS differs FROM n UNION ALL
+  SELECT 'cut', n_read, n_kept, 0, n_read - n_kept, n_read <> n_kept FROM n""")
+def a17_lines(spark, sf):
+    """A load that accounts for all lines, and one whose rejects were thrown away."""
+    path = write_lines(spark, sf)
+    good, bad = corpus.read_labelled_lines(spark, path, "sentence score")
+    audit = lambda name, rejected: evaluate.line_audit(spark.read.text(path), good, rejected).withColumn("load", F.lit(name))
+    return audit("whole", bad).union(audit("cut", bad.limit(0))).select("load", "n_read", "n_kept", "n_rejected", "n_lost", "differs")
+
+
 @query("j2_score_mapping", """SELECT doc_id, CASE quality WHEN 0 THEN 'poor' ELSE '1' END AS label FROM labels""")
 def j2(spark, sf):
     """A code outside the map stays as it is."""
@@ -128,6 +139,43 @@ def s4(spark, sf):
     )
 
 
+@query("s4_request_rejects", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1 END AS row_no,
+  CASE doc_id % 4 WHEN 0 THEN 'row has no text or no class' WHEN 1 THEN 'no JSON object' ELSE 'no rows' END AS reason, 1 AS n
+  FROM documents WHERE doc_id % 4 < 3 UNION ALL
+  SELECT doc_id, 0 AS row_no, 'kept' AS reason, 1 AS n FROM documents WHERE doc_id % 4 IN (0, 3)""")
+def s4_rejects(spark, sf):
+    """A request per document; by turns with a row that has no class, broken, without rows, and sound."""
+    turn = F.col("doc_id") % 4
+    row = F.struct(F.translate("text", "\n\t\r", "   ").alias("text"), F.col("lang").alias("textClass"))
+    unclassed = F.struct(F.lit("x").alias("text"), F.lit(None).cast("string").alias("textClass"))
+    rows = F.when(turn == 0, F.array(row, unclassed)).when(turn == 3, F.array(row)).otherwise(F.slice(F.array(row), 1, 0))
+    whole = requests.to_requests(documents(spark, sf), "lang", ["en", "fr"], rows, ["doc_id"])
+    broken = F.when(turn == 1, F.concat(F.lit("{"), "value")).otherwise(F.col("value"))
+    good, bad = requests.split_requests(whole.withColumn("value", broken), "value", ["doc_id"])
+    told = good.select("doc_id", F.col("row_no").cast("int").alias("row_no"), F.lit("kept").alias("reason"))
+    return told.union(bad.select("doc_id", "row_no", "reason")).withColumn("n", F.lit(1))
+
+
+@query("s5_payload_faults", """SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3) THEN 'row' ELSE 'reject' END AS outcome,
+  CASE doc_id % 7 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN 'json' WHEN 3 THEN 'csv' WHEN 4 THEN 'csv' WHEN 5 THEN 'arff' ELSE 'reject' END AS form
+  FROM documents""")
+def s5_faults(spark, sf):
+    """Each payload is in exactly one output: sound ones, and those of every kind of fault."""
+    turn = F.col("doc_id") % 7
+    flat = F.translate("text", "\n\t\r'\"\\", "      ")
+    body = (
+        F.when(turn == 0, F.to_json(F.struct(F.array(F.struct(flat.alias("text"), F.lit("x").alias("textClass"))).alias("dataSet"))))
+        .when(turn == 1, '{"dataSet": [{"text": "without a class"}]}')
+        .when(turn == 2, F.concat(F.lit('{"dataSet": [{"text": "'), flat))
+        .when(turn == 3, F.concat(F.lit('text,class\n"two\nlines '), flat, F.lit('",x\n')))
+        .when(turn == 4, F.concat(F.lit('text,class\n"'), flat, F.lit('",\n')))
+        .when(turn == 5, "@relation r\n@attribute text string\n@data\n")
+        .otherwise("bare words")
+    )
+    rows, rejects = requests.parse_payloads(documents(spark, sf).select("doc_id", body.alias("payload")), "payload", ["doc_id"])
+    return rows.select("doc_id", F.lit("row").alias("outcome"), "form").union(rejects.select("doc_id", F.lit("reject"), "form"))
+
+
 _QUOTABLE = "translate(text, chr(10) || chr(9) || chr(13) || chr(39) || chr(34) || chr(92), '      ')"
 
 

@@ -142,6 +142,33 @@ def a11(spark, sf):
     return _rounded(newest, ["mean"]).select("domain", "model_id", "label", "feature", "n", "mean")
 
 
+@query("j6_equal_models_two_domains", f"""WITH {_PARAMS}, ids AS ({ids_sql('params', 'domain')}),
+  twice AS (SELECT domain AS source, domain FROM ids UNION ALL SELECT domain, domain || '-copy' FROM ids)
+  SELECT t.domain, model_id, label, feature, n, round(mean, 6) AS mean, 'CREATED' AS status
+  FROM twice t JOIN ids ON ids.domain = t.source JOIN params ON params.domain = t.source""")
+def j6_equal(spark, sf):
+    """Two domains with equal parameters, saved at once, are two models."""
+    path = scratch(spark, "registry")
+    params = durable(bayes.gaussian_fit(training(spark, sf), FEATURES, ["domain"]), "params")
+    both = params.union(params.withColumn("domain", F.concat("domain", F.lit("-copy"))))
+    status = registry.save_models(both, path, "gaussian_nb", 1).select("domain", "status")
+    found = _rounded(registry.latest_model(spark, path), ["mean"])
+    return found.join(status, "domain").select("domain", "model_id", "label", "feature", "n", "mean", "status")
+
+
+@query("a11_rebuild_back", f"""WITH {_VERSIONS}
+  SELECT domain, model_id, label, feature, n, round(mean, 6) AS mean FROM params JOIN headers USING (domain, version) WHERE version = 0""")
+def a11_back(spark, sf):
+    """A first model, another one, and the first again: the first is the newest."""
+    path = scratch(spark, "registry")
+    first = versions(spark, sf).filter(F.col("version") == 0).drop("version")
+    other = bayes.gaussian_fit(training(spark, sf), FEATURES, ["domain"])
+    for time, params in enumerate((first, other, first), 1):
+        registry.save_models(params, path, "gaussian_nb", time)
+    newest = registry.latest_model(spark, path)
+    return _rounded(newest, ["mean"]).select("domain", "model_id", "label", "feature", "n", "mean")
+
+
 @query("a11_increment", f"""WITH {_PARAMS}
   SELECT domain, label, feature, n, round(mean, 6) AS mean, round(m2, 6) AS m2 FROM params""")
 def a11_increment(spark, sf):
@@ -238,7 +265,7 @@ def x3_measures(spark, sf):
     made = member_rows(spark, sf)
     packed = bayes.prepare_members(members(spark, sf, made), FEATURES, FEATURE_WEIGHTS, member="model_id")
     scored = bayes.classify_vectors(made, packed, FEATURES, spread=["doc_id"])
-    return _rounded(evaluate.evaluate(scored, ["domain"]), MEASURES)
+    return _rounded(evaluate.evaluate(scored, ["domain"]).drop("n_unscored"), MEASURES)
 
 
 _SHARD_PARAMS = f"""{TRAINING.replace("lang AS domain FROM vec", "'$DEF' AS domain, source AS model_id FROM vec")},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions import identity, sentiment, text
@@ -193,13 +194,22 @@ def a4_joined(spark, sf):
 _PRESENT = f"""present AS (SELECT doc_id, unnest(list_distinct({WORD_LIST})) AS term FROM documents)"""
 
 
+def _per_text(rows_: DataFrame) -> DataFrame:
+    """(doc_id, n, digest): the known terms of each text."""
+    listed = F.array_join(F.sort_array(F.collect_list("term")), " ")
+    return rows_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.md5(listed).alias("digest"))
+
+
+_DIGEST = "doc_id, count(*) AS n, md5(string_agg(term, ' ' ORDER BY term)) AS digest"
+
+
 @query("a5_presence_vectors", f"""WITH {_PRESENT},
   vocab AS (SELECT DISTINCT term FROM present JOIN labels USING (doc_id))
-  SELECT doc_id, term FROM present SEMI JOIN vocab USING (term)""")
+  SELECT {_DIGEST} FROM present SEMI JOIN vocab USING (term) GROUP BY doc_id""")
 def a5(spark, sf):
     """The labelled texts are the first batch and fix the vocabulary for all texts."""
     vocab = words.vocabulary(words.with_terms(labelled_texts(spark, sf)))
-    return words.presence_vectors(words.with_terms(documents(spark, sf)), vocab, ["doc_id"])
+    return _per_text(words.presence_vectors(words.with_terms(documents(spark, sf)), vocab, ["doc_id"]))
 
 
 def _gain_sql(present: str, rows_: str) -> str:
@@ -210,8 +220,10 @@ def _gain_sql(present: str, rows_: str) -> str:
             FROM (SELECT DISTINCT term FROM {present}) t CROSS JOIN classes c
             LEFT JOIN (SELECT term, label, count(*) AS n_tc FROM {present} GROUP BY ALL) x
               ON x.term = t.term AND x.label = c.label),
-  per AS (SELECT term, sum(n_tc) AS n_t, sum({xlx('n_tc')}) AS w, sum({xlx('n_c - n_tc')}) AS wo FROM cells GROUP BY term),
+  per AS (SELECT term, sum(n_tc) AS n_t, sum({xlx('n_tc')}) AS w, sum({xlx('n_c - n_tc')}) AS wo,
+            list({{'tc': CAST(n_tc AS HUGEINT), 'c': CAST(n_c AS HUGEINT)}}) AS parts FROM cells GROUP BY term),
   gains AS (SELECT term, CAST(n_t AS BIGINT) AS n_docs,
+      len(list_filter(parts, lambda x: x.tc * CAST(n AS HUGEINT) <> CAST(n_t AS HUGEINT) * x.c)) > 0 AS tells,
       round((({xlx('n')} - h) - ({xlx('n_t')} - w) - ({xlx('n - n_t')} - wo)) / n, 9) AS gain FROM per, whole)"""
 
 
@@ -219,22 +231,26 @@ _GAIN = f"""{LABELS}, {_PRESENT}, tagged AS (SELECT doc_id, term, label FROM pre
   known AS (SELECT doc_id, label FROM documents JOIN lab USING (doc_id)), {_gain_sql('tagged', 'known')}"""
 
 
-@query("a6_information_gain", f"WITH {_GAIN} SELECT term, n_docs, gain FROM gains WHERE gain > 0")
+def _rounded_gains(spark, sf) -> DataFrame:
+    return words.information_gain(words.with_terms(labelled_texts(spark, sf))).withColumn("gain", F.round("gain", 9) + 0.0)
+
+
+@query("a6_information_gain", f"WITH {_GAIN} SELECT term, n_docs, abs(gain) AS gain FROM gains WHERE tells")
 def a6(spark, sf):
-    return words.information_gain(words.with_terms(labelled_texts(spark, sf)))
+    return _rounded_gains(spark, sf)
 
 
-@query("l1_ranked_terms", f"""WITH {_GAIN} SELECT term, n_docs, gain FROM gains WHERE gain > 0
-  ORDER BY gain DESC, term LIMIT 100""")
+@query("l1_ranked_terms", f"""WITH {_GAIN} SELECT term, n_docs, abs(gain) AS gain FROM gains WHERE tells
+  ORDER BY gain DESC, term""")
 def l1(spark, sf):
-    return words.ranked_terms(words.information_gain(words.with_terms(labelled_texts(spark, sf))), 100)
+    return words.ranked_terms(_rounded_gains(spark, sf))
 
 
-@query("a6_selected_vectors", f"""WITH {_GAIN} SELECT doc_id, term FROM present
-  SEMI JOIN (SELECT term FROM gains WHERE gain > 0) USING (term)""")
+@query("a6_selected_vectors", f"""WITH {_GAIN} SELECT {_DIGEST} FROM present
+  SEMI JOIN (SELECT term FROM gains WHERE tells) USING (term) GROUP BY doc_id""")
 def a6_selected(spark, sf):
     gains = words.information_gain(words.with_terms(labelled_texts(spark, sf)))
-    return words.select_terms(words.with_terms(documents(spark, sf)), gains, ["doc_id"])
+    return _per_text(words.select_terms(words.with_terms(documents(spark, sf)), gains, ["doc_id"]))
 
 
 _COUNTS = f"""toks AS (SELECT doc_id, unnest({WORD_LIST}) AS term FROM documents),

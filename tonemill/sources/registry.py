@@ -15,14 +15,16 @@ HEADER_SCHEMA = (
 )
 PARAM_SCHEMA = "model_id string, label string, feature string, n long, mean double, m2 double, domain string"
 
-FILES_PER_DOMAIN = 8
+# Parameters per file of a stored model.
+ROWS_PER_FILE = 2_000_000
 
 # Outcomes of a save.
 CREATED, EXISTS, IGNORED = "CREATED", "EXISTS", "IGNORED"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A registry table; a missing one is empty and damaged files are skipped."""
+    """A registry table; a missing one is empty.  Files that cannot be read are skipped, and with
+    them, by ``complete_headers``, the models they belong to."""
     try:
         return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException as e:
@@ -62,16 +64,25 @@ def headers_of(
 
 
 def new_headers(headers: DataFrame, existing: DataFrame) -> DataFrame:
-    """Headers whose model is not in the registry yet."""
-    return headers.join(existing.select("model_id").distinct(), "model_id", "left_anti")
+    """Headers whose model is not under their registry key yet."""
+    return headers.join(existing.select("registry_key", "model_id").distinct(), ["registry_key", "model_id"], "left_anti")
 
 
 def save_status(headers: DataFrame, existing: DataFrame) -> DataFrame:
-    known = existing.select("model_id").distinct().withColumn("_known", F.lit(True))
-    status = (
-        F.when(F.col("n_rows") <= 0, IGNORED).when(F.col("_known"), EXISTS).otherwise(CREATED)
-    )
-    return headers.join(known, "model_id", "left").withColumn("status", status).drop("_known")
+    """Each header with its ``status`` and, in ``_renew``, whether a stored model has to become the newest again.
+
+    Models are compared within their registry key: equal parameters in another domain
+    are another model.
+    """
+    known = existing.groupBy("registry_key", "model_id").agg(F.max("generated_on").alias("_stored_on"))
+    newest = latest_headers(existing).select("registry_key", F.col("model_id").alias("_newest"))
+    stored = F.col("_stored_on").isNotNull()
+    status = F.when(F.col("n_rows") <= 0, IGNORED).when(stored, EXISTS).otherwise(CREATED)
+    joined = headers.join(known, ["registry_key", "model_id"], "left").join(newest, "registry_key", "left")
+    renew = (F.col("status") == EXISTS) & (F.col("_newest") != F.col("model_id"))
+    if "generated_on" in headers.columns:
+        renew = renew & (F.col("generated_on") > F.col("_stored_on"))
+    return joined.withColumn("status", status).withColumn("_renew", renew).drop("_stored_on", "_newest")
 
 
 def save_models(
@@ -81,8 +92,10 @@ def save_models(
     """Append the models that are new; returns one status row per model.
 
     ``generated_on`` is the time of all models, or a column made from their keys.
-    Parameters are written before headers, so a header never names a model that
-    is not there.  A repeated save finds its own models and changes nothing.
+    A model has a folder of its own, named by domain and id, and is written before its
+    header: a header never names a model that is not there, and a save that is
+    repeated after a crash replaces the folder.  A model that is stored already but is not the
+    newest of its key gets another header with the new time, and so is the newest again.
     """
     spark, keys = params.sparkSession, keys or ["domain"]
     headers = headers_of(params, algorithm, combiner, features, keys)
@@ -90,20 +103,26 @@ def save_models(
     timed = headers.withColumn("generated_on", made_on.cast("long"))
     status = durable(save_status(timed, load_headers(spark, path)), "status")
     fresh = status.filter(F.col("status") == CREATED)
-    body = params.join(fresh.select(*keys, "model_id"), keys)
+    body = params.join(fresh.select(*keys, "model_id", "n_params"), keys)
     for name in ("mean", "m2"):
         if name not in body.columns:
             body = body.withColumn(name, F.lit(None).cast("double"))
-    rows = body.select("model_id", "label", "feature", "n", "mean", "m2", "domain").dropDuplicates(
+    rows = body.select("model_id", "label", "feature", "n", "mean", "m2", "domain", "n_params").dropDuplicates(
         ["domain", "model_id", "label", "feature"]
     )
-    # A few files per domain, however many tasks there are and however large a domain is.
-    part = F.pmod(F.xxhash64("feature"), F.lit(FILES_PER_DOMAIN))
-    rows.repartition("domain", part).write.mode("append").partitionBy("domain").parquet(f"{path}/params")
+    # As many files as a model needs, however many tasks there are.
+    files = F.ceil(F.col("n_params") / ROWS_PER_FILE)
+    part = F.pmod(F.xxhash64("label", "feature"), files)
+    writer = rows.repartition("domain", "model_id", part).drop("n_params").write
+    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("domain", "model_id").parquet(f"{path}/params")
     columns = [f.split()[0] for f in HEADER_SCHEMA.split(", ")]
-    new = fresh.select(*columns).dropDuplicates(["model_id"]).repartition("domain")
-    new.write.mode("append").partitionBy("domain").parquet(f"{path}/headers")
-    return status
+    named = status.filter((F.col("status") == CREATED) | F.col("_renew")).select(*columns)
+    rest = [c for c in columns if c not in ("registry_key", "model_id")]
+    newest = F.max_by(F.struct(*rest), "generated_on").alias("_h")
+    new = named.groupBy("registry_key", "model_id").agg(newest).select("registry_key", "model_id", "_h.*")
+    new.repartition("domain").write.mode("append").partitionBy("domain").parquet(f"{path}/headers")
+    return status.drop("_renew")
 
 
 def latest_headers(headers: DataFrame) -> DataFrame:
@@ -113,14 +132,20 @@ def latest_headers(headers: DataFrame) -> DataFrame:
     return headers.groupBy("registry_key").agg(newest.alias("_h")).select("registry_key", "_h.*")
 
 
+def complete_headers(headers: DataFrame, params: DataFrame) -> DataFrame:
+    """Headers of models all of whose parameters can be read; damaged models are left out whole."""
+    read = params.groupBy("domain", "model_id").agg(F.count(F.lit(1)).alias("_read"))
+    return headers.join(read, ["domain", "model_id"]).filter(F.col("_read") == F.col("n_params")).drop("_read")
+
+
 def latest_model(spark: SparkSession, path: str, domain: str | None = None, algorithm: str | None = None) -> DataFrame:
-    """Parameters of the newest model of each registry key, or of one domain."""
+    """Parameters of the newest complete model of each registry key, or of one domain."""
     headers, params = load_headers(spark, path), load_models(spark, path)
     if domain is not None:
         headers, params = headers.filter(F.col("domain") == domain), params.filter(F.col("domain") == domain)
     if algorithm is not None:
         headers = headers.filter(F.col("algorithm") == algorithm)
-    newest = latest_headers(headers).select("domain", "model_id")
+    newest = latest_headers(complete_headers(headers, params)).select("domain", "model_id").distinct()
     return params.join(newest, ["domain", "model_id"], "left_semi")
 
 

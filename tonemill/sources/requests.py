@@ -15,22 +15,43 @@ REQUEST_SCHEMA = (
 )
 
 
-def parse_requests(df: DataFrame, payload: str = "value", keep: list[str] | None = None) -> DataFrame:
-    """Rows (keep..., domain, use_sentiment_vector, row_no, text, label) of JSON training requests."""
+# Why a request or a row of it is set aside.
+NO_JSON, NO_ROWS, NO_TEXT_OR_CLASS = "no JSON object", "no rows", "row has no text or no class"
+
+
+def split_requests(df: DataFrame, payload: str = "value", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON training requests.
+
+    Rows are (keep..., domain, use_sentiment_vector, row_no, text, label).  Rejects are
+    (keep..., row_no, reason, payload): whole requests without a row number, and single rows.
+    """
     keep = keep or []
-    parsed = df.select(*keep, F.from_json(F.col(payload), REQUEST_SCHEMA).alias("r"))
-    named = parsed.select(
-        *keep,
+    named = df.select(*keep, F.col(payload).alias("payload"), F.from_json(F.col(payload), REQUEST_SCHEMA).alias("r"))
+    is_object = F.get_json_object("payload", "$").startswith("{")
+    reason = F.when(F.coalesce(is_object, F.lit(False)), F.when(F.coalesce(F.size("r.dataSet"), F.lit(-1)) <= 0, NO_ROWS)).otherwise(NO_JSON)
+    staged = named.withColumn("_reason", reason).select(
+        *keep, "payload", "_reason",
         domain_or_default(F.col("r.domain")).alias("domain"),
         F.coalesce("r.useSentimentVector", F.lit(True)).alias("use_sentiment_vector"),
-        F.col("r.dataSet").alias("_rows"),
+        F.when(F.col("_reason").isNull(), F.col("r.dataSet")).alias("_rows"),
+    )
+    # A text or class that is missing leaves null here.
+    flat = unnest(
+        staged, F.col("_rows"), [*keep, "domain", "use_sentiment_vector"], "_t", "row_no"
+    ).select(
+        *keep, "domain", "use_sentiment_vector", "row_no", F.col("_t.text").alias("text"), F.col("_t.textClass").alias("label")
     )
-    rows = unnest(named, F.col("_rows"), [*keep, "domain", "use_sentiment_vector"], "_t", "row_no")
-    flat = rows.select(
-        *keep, "domain", "use_sentiment_vector", "row_no", F.col("_t.text").alias("text"),
-        F.col("_t.textClass").alias("label"),
+    unusable = F.col("text").isNull() | F.col("label").isNull() | (F.col("label") == "")
+    whole = staged.filter("_reason is not null").select(*keep, F.lit(None).cast("int").alias("row_no"), F.col("_reason").alias("reason"), "payload")
+    single = flat.filter(unusable).select(
+        *keep, F.col("row_no").cast("int").alias("row_no"), F.lit(NO_TEXT_OR_CLASS).alias("reason"), F.to_json(F.struct("text", "label")).alias("payload")
     )
-    return usable_rows(flat)
+    return usable_rows(flat), whole.union(single)
+
+
+def parse_requests(df: DataFrame, payload: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """The usable rows of JSON training requests; ``split_requests`` gives what is set aside as well."""
+    return split_requests(df, payload, keep)[0]
 
 
 def to_requests(df: DataFrame, domain: str, classes: list[str], rows: Column, keep: list[str]) -> DataFrame:
@@ -65,59 +86,76 @@ def payload_form(payload: Column) -> Column:
 
 def _class_first_arff(lines: Column) -> Column:
     declared = F.filter(lines, lambda x: F.lower(F.trim(x)).startswith("@attribute"))
-    return ~F.lower(F.trim(declared[0])).rlike(r"string\s*$")
+    return ~F.lower(F.trim(F.get(declared, F.lit(0)))).rlike(r"string\s*$")
 
 
 def parse_payloads(df: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of payloads that are ARFF, CSV or JSON.
 
     Rows are (keep..., form, row_no, text, label).  Each payload is parsed as the
-    form it shows; what shows none, or yields no row, goes to the rejects.
+    form it shows, into an array inside its row; what shows no form, or has no usable
+    row, goes to the rejects (keep..., form, payload).  ``payload_row_rejects`` has
+    the unusable rows of the others.
     """
     keep = keep or []
-    lines = F.transform(F.split(payload, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
-    formed = df.withColumn("form", payload_form(F.col(payload))).withColumn("_lines", lines)
+    parsed = _parsed_payloads(df, payload, keep)
+    usable = F.filter("_all", _usable)
+    rows = unnest(parsed, usable, [*keep, "form"], "_r").select(
+        *keep, "form", F.col("_r.row_no").alias("row_no"), F.col("_r.text").alias("text"), F.col("_r.label").alias("label")
+    )
+    none = F.coalesce(F.size(usable), F.lit(0)) <= 0
+    return rows, parsed.filter(none).select(*keep, "form", payload)
+
+
+def payload_row_rejects(df: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
+    """(keep..., form, row_no, text, label) of the unusable rows of payloads that have usable ones."""
+    keep = keep or []
+    parsed = _parsed_payloads(df, payload, keep).filter(F.exists("_all", _usable))
+    rows = unnest(parsed, F.filter("_all", lambda x: ~_usable(x)), [*keep, "form"], "_r")
+    return rows.select(*keep, "form", "_r.row_no", "_r.text", "_r.label")
+
+
+def _usable(row: Column) -> Column:
+    return row["text"].isNotNull() & row["label"].isNotNull() & (row["label"] != "")
+
+
+def _parsed_payloads(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """Payloads with their form and ``_all``, the array of (row_no, text, label) of all their rows."""
+    trimmed = lambda lines: F.transform(lines, lambda x: F.rtrim(x, F.lit("\r")))
+    form = payload_form(F.col(payload))
+    # A line break inside quotes does not end a record of a CSV payload.
+    records = F.regexp_extract_all(F.col(payload), F.lit(r'((?:[^"\n]|"(?:[^"]|"")*+")++)'), 1)
+    lines = F.when(F.col("form") == CSV, trimmed(records)).otherwise(trimmed(F.split(payload, "\n")))
+    formed = df.select(*keep, payload).withColumn("form", form).withColumn("_lines", lines)
     is_data = lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("%") & ~F.trim(x).startswith("@")
-    csv_names = F.split(F.lower(F.col("_lines")[0]), ",")
+    header = F.split(F.lower(F.get("_lines", F.lit(0))), ",")
     data = (
         F.when(F.col("form") == ARFF, F.filter("_lines", is_data))
-        .when(F.col("form") == CSV, F.filter(F.slice("_lines", 2, F.size("_lines")), lambda x: F.trim(x) != ""))
+        .when(F.col("form") == CSV, F.filter(F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1))), lambda x: F.trim(x) != ""))
     )
     class_first = (
         F.when(F.col("form") == ARFF, _class_first_arff(F.col("_lines")))
-        .when(F.col("form") == CSV, F.trim(csv_names[0]) != "text")
+        .when(F.col("form") == CSV, F.trim(F.get(header, F.lit(0))) != "text")
         .otherwise(False)
     )
     body = F.from_json(F.col(payload), f"{REQUEST_SCHEMA}, {_TABLE_JSON}")
-    staged = formed.withColumn("_data", data).withColumn("_class_first", class_first).withColumn(
+    staged = formed.withColumn("_data", data).withColumn("_class_first", F.coalesce(class_first, F.lit(False))).withColumn(
         "_json", F.when(F.col("form") == JSON, body)
     )
-    as_rows = F.transform("_json.data", lambda d: F.struct(d["values"][0].alias("text"), d["values"][1].alias("label")))
-    from_lines = unnest(
-        staged.filter(F.col("form").isin(ARFF, CSV)), F.col("_data"), [*keep, "form", "_class_first"], "_line", "row_no"
-    )
-    quoted = F.when(
-        F.col("form") == ARFF, F.from_csv("_line", _ROW, {"quote": "'", "escape": "\\"})
-    ).otherwise(F.from_csv("_line", _ROW, {"quote": '"', "escape": '"'}))
-    lined = from_lines.withColumn("_r", quoted).select(
-        *keep, "form", "row_no",
-        F.when(F.col("_class_first"), F.col("_r.label")).otherwise(F.col("_r.text")).alias("text"),
-        F.when(F.col("_class_first"), F.col("_r.text")).otherwise(F.col("_r.label")).alias("label"),
-    )
-    request_rows = F.transform(
-        "_json.dataSet", lambda d: F.struct(d["text"].alias("text"), d["textClass"].alias("label"))
-    )
-    jsoned = unnest(
-        staged.filter(F.col("form") == JSON), F.coalesce(request_rows, as_rows), [*keep, "form"], "_r", "row_no"
-    ).select(*keep, "form", "row_no", F.col("_r.text").alias("text"), F.col("_r.label").alias("label"))
-    rows = usable_rows(lined.unionByName(jsoned))
-    empty = (
-        (F.col("form") == REJECT)
-        | (F.col("form").isin(ARFF, CSV) & (F.size("_data") == 0))
-        | ((F.col("form") == JSON) & (F.coalesce(F.size(F.coalesce(request_rows, as_rows)), F.lit(0)) <= 0))
-    )
-    rejects = staged.filter(empty).select(*keep, "form", payload)
-    return rows, rejects
+
+    def fields(line: Column, no: Column, options: dict) -> Column:
+        r = F.from_csv(line, _ROW, options)
+        text = F.when(F.col("_class_first"), r["label"]).otherwise(r["text"])
+        label = F.when(F.col("_class_first"), r["text"]).otherwise(r["label"])
+        return F.struct(no.alias("row_no"), text.alias("text"), label.alias("label"))
+
+    made = lambda text, label, no: F.struct(no.alias("row_no"), text.alias("text"), label.alias("label"))
+    arff = F.transform("_data", lambda x, i: fields(x, i, {"quote": "'", "escape": "\\"}))
+    csv = F.transform("_data", lambda x, i: fields(x, i, {"quote": '"', "escape": '"', "multiLine": "true"}))
+    requests_ = F.transform("_json.dataSet", lambda d, i: made(d["text"], d["textClass"], i))
+    tables = F.transform("_json.data", lambda d, i: made(F.get(d["values"], F.lit(0)), F.get(d["values"], F.lit(1)), i))
+    every = F.when(F.col("form") == ARFF, arff).when(F.col("form") == CSV, csv).when(F.col("form") == JSON, F.coalesce(requests_, tables))
+    return staged.withColumn("_all", every).select(*keep, payload, "form", "_all")
 
 
 def parse_manifests(df: DataFrame, content: str = "value", keep: list[str] | None = None) -> DataFrame:

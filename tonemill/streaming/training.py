@@ -122,7 +122,7 @@ def load_job(spark: SparkSession, directory: str, tabbed: bool, spec: str | None
 
 def run_triggers(
     triggers: DataFrame, handle: Callable[[DataFrame, str, str], None], checkpoint: str, flush: bool = False,
-    interval: str = SNAPSHOT_INTERVAL,
+    interval: str = SNAPSHOT_INTERVAL, failed: str | None = None,
 ) -> StreamingQuery:
     """Load the corpus of every new manifest and pass it to ``handle(rows, domain, job_id)``.
 
@@ -130,12 +130,25 @@ def run_triggers(
     only the manifests pass through the driver, the corpora do not.  The checkpoint
     remembers finished manifests.  After a crash a manifest may be handled again
     under the same job id, so a handler writes to a place named by that id.
+
+    With a folder for ``failed`` jobs, a job whose corpus cannot be loaded or handled is
+    written there as (job_id, file, dir, domain, error) and the others go on; without
+    one it stops the stream.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         jobs = batch.withColumn("job_id", F.md5("file")).orderBy("file").collect()
+        broken = []
         for job in jobs:
-            rows = load_job(batch.sparkSession, job["dir"], job["tabbed"], job["format"])
-            handle(rows.withColumn("domain", F.lit(job["domain"])), job["domain"], job["job_id"])
+            try:
+                rows = load_job(batch.sparkSession, job["dir"], job["tabbed"], job["format"])
+                handle(rows.withColumn("domain", F.lit(job["domain"])), job["domain"], job["job_id"])
+            except Exception as e:
+                if failed is None:
+                    raise
+                broken.append((job["job_id"], job["file"], job["dir"], job["domain"], str(e)[:1000]))
+        if broken:
+            schema = "job_id string, file string, dir string, domain string, error string"
+            batch.sparkSession.createDataFrame(broken, schema).coalesce(1).write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
 
     return start(triggers.writeStream.foreachBatch(run), checkpoint, flush, interval)
