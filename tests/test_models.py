@@ -228,6 +228,21 @@ def test_learners_by_name(spark, texts):
         with_terms(rows, "no such tokenizer")
 
 
+@pytest.mark.parametrize("learner", ["nearest", "local", "tree", "multinomial_nb"])
+def test_each_domain_has_its_own_classes(spark, texts, learner):
+    """Two domains with the same texts and other names of their classes; a third one has no model."""
+    other = F.when(F.col("label") == "pos", "yes").otherwise("no")
+    rows = texts.withColumn("domain", F.lit("d1")).unionByName(
+        texts.withColumn("domain", F.lit("d2")).withColumn("label", other).withColumn("doc_id", F.col("doc_id") + 100)
+    )
+    model = plans.train(rows, learner, plans.FeatureOptions(lexicon=lexicon(spark)))
+    asked = rows.drop("label").unionByName(texts.drop("label").withColumn("domain", F.lit("d3")).withColumn("doc_id", F.col("doc_id") + 200))
+    got = plans.classify(asked, model).collect()
+    assert len(got) == 3 * len(TEXTS)
+    seen = {n: {r.predicted for r in got if r.doc_id // 100 == n} for n in range(3)}
+    assert seen[0] <= {"pos", "neg"} and seen[1] <= {"yes", "no"} and seen[2] == {None}
+
+
 def test_word_model_through_the_registry(spark, texts, tmp_path):
     from tonemill.sources.registry import latest_model, load_headers
 

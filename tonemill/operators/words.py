@@ -85,32 +85,35 @@ def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
 
 
-def information_gain(df: DataFrame, terms: str = "terms", label: str = "label") -> DataFrame:
-    """(term, n_docs, gain) for every term that has a gain.
+def information_gain(
+    df: DataFrame, terms: str = "terms", label: str = "label", by: list[str] | None = None
+) -> DataFrame:
+    """(by..., term, n_docs, gain) for every term that has a gain among the texts of its group.
 
     With counts n the gain is a sum of ``n log2 n`` parts: over the classes, over
     the texts that hold the term, and over those that do not.  A class in which
     a term never occurs adds nothing but its own total, so only counts that
     exist are stored.
     """
-    totals = store_lookup(df.groupBy(label).agg(F.count(F.lit(1)).cast("double").alias("n_c")), "classes")
-    overall = totals.table.agg(
-        F.sum("n_c").alias("n_all"), F.sum(_xlogx(F.col("n_c"))).alias("classes_part")
-    ).first()
-    n_all, classes_part = overall["n_all"] or 0.0, overall["classes_part"] or 0.0
-    counts = presence(df, [label], terms).groupBy("term", label).agg(
+    rows = df if by else df.withColumn("_whole", F.lit(0))
+    keys = by or ["_whole"]
+    totals = store_lookup(rows.groupBy(*keys, label).agg(F.count(F.lit(1)).cast("double").alias("n_c")), "classes")
+    overall = totals.table.groupBy(*keys).agg(
+        F.sum("n_c").alias("n_all"), F.sum(_xlogx(F.col("n_c"))).alias("classes_part"), F.count(F.lit(1)).alias("n_classes")
+    )
+    counts = presence(rows, [*keys, label], terms).groupBy(*keys, "term", label).agg(
         F.count(F.lit(1)).cast("double").alias("n_tc")
     )
-    with_total = lookup_join(counts, totals, [label], "inner", spread=["term"])
+    with_total = lookup_join(counts, totals, [*keys, label], "inner", spread=["term"])
     n_tc, n_c = F.col("n_tc"), F.col("n_c")
-    per_term = with_total.groupBy("term").agg(
+    per_term = with_total.groupBy(*keys, "term").agg(
         F.sum("n_tc").alias("n_t"),
         F.sum(_xlogx(n_tc)).alias("with_part"),
         F.sum(_xlogx(n_c - n_tc) - _xlogx(n_c)).alias("without_change"),
         F.collect_list(F.struct("n_tc", "n_c")).alias("per_class"),  # one entry per class
     )
-    n_t, n = F.col("n_t"), F.lit(n_all)
-    class_part = F.lit(classes_part)
+    measured = lookup_join(per_term, overall, keys, "inner", spread=["term"])
+    n_t, n, class_part = F.col("n_t"), F.col("n_all"), F.col("classes_part")
     prior = _xlogx(n) - class_part
     present = _xlogx(n_t) - F.col("with_part")
     absent = _xlogx(n - n_t) - (class_part + F.col("without_change"))
@@ -119,8 +122,8 @@ def information_gain(df: DataFrame, terms: str = "terms", label: str = "label")
     # gain could vanish, so that is decided in whole numbers.
     whole = lambda c: c.cast("decimal(19,0)")
     uneven = F.exists("per_class", lambda x: whole(x["n_tc"]) * whole(n) != whole(n_t) * whole(x["n_c"]))
-    tells = uneven | (F.size("per_class") < totals.table.count())
-    return per_term.filter(tells).select("term", n_t.cast("long").alias("n_docs"), gain.alias("gain"))
+    tells = uneven | (F.size("per_class") < F.col("n_classes"))
+    return measured.filter(tells).select(*(by or []), "term", n_t.cast("long").alias("n_docs"), gain.alias("gain"))
 
 
 def ranked_terms(gains: DataFrame, k: int | None = None) -> DataFrame:

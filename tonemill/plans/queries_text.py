@@ -212,6 +212,10 @@ def a5(spark, sf):
     return _per_text(words.presence_vectors(words.with_terms(documents(spark, sf)), vocab, ["doc_id"]))
 
 
+def _xlx(e: str) -> str:
+    return f"(CASE WHEN ({e}) > 0 THEN ({e}) * log2({e}) ELSE 0 END)"
+
+
 def _gain_sql(present: str, rows_: str) -> str:
     xlx = lambda e: f"(CASE WHEN ({e}) > 0 THEN ({e}) * log2({e}) ELSE 0 END)"
     return f"""classes AS (SELECT label, count(*) * 1.0 AS n_c FROM {rows_} GROUP BY label),
@@ -240,6 +244,25 @@ def a6(spark, sf):
     return _rounded_gains(spark, sf)
 
 
+@query("a6_gain_by_domain", f"""WITH {LABELS}, {_PRESENT},
+  tagged AS (SELECT doc_id, term, label, lang AS domain FROM present JOIN lab USING (doc_id) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
+  n_c AS (SELECT lang AS domain, label, count(*) AS n_c FROM documents JOIN lab USING (doc_id) GROUP BY ALL),
+  whole AS (SELECT domain, sum(n_c) AS n, sum(n_c * log2(n_c)) AS h FROM n_c GROUP BY domain),
+  cells AS (SELECT t.domain, t.term, c.label, coalesce(n_tc, 0) AS n_tc, n_c FROM (SELECT DISTINCT domain, term FROM tagged) t
+    JOIN n_c c USING (domain) LEFT JOIN (SELECT domain, term, label, count(*) AS n_tc FROM tagged GROUP BY ALL) x
+      ON x.domain = t.domain AND x.term = t.term AND x.label = c.label),
+  per AS (SELECT domain, term, sum(n_tc) AS n_t, sum({_xlx('n_tc')}) AS w, sum({_xlx('n_c - n_tc')}) AS wo,
+    list({{'tc': n_tc, 'c': n_c}}) AS parts FROM cells GROUP BY ALL)
+  SELECT domain, term, CAST(n_t AS BIGINT) AS n_docs,
+    abs(round((({_xlx('n')} - h) - ({_xlx('n_t')} - w) - ({_xlx('n - n_t')} - wo)) / n, 9)) AS gain
+  FROM per JOIN whole USING (domain) WHERE len(list_filter(parts, lambda x: x.tc * n <> n_t * x.c)) > 0""")
+def a6_by_domain(spark, sf):
+    """Each language has gains of its own."""
+    texts = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    gains = words.information_gain(words.with_terms(texts), by=["domain"])
+    return gains.withColumn("gain", F.round("gain", 9) + 0.0)
+
+
 @query("l1_ranked_terms", f"""WITH {_GAIN} SELECT term, n_docs, abs(gain) AS gain FROM gains WHERE tells
   ORDER BY gain DESC, term""")
 def l1(spark, sf):

@@ -11,6 +11,7 @@ from tonemill.functions.identity import domain_list, domain_or_default
 from tonemill.operators import bayes, evaluate, mllib, neighbours, rows
 from tonemill.operators.joins import lookup_join
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentence_scores, sentiment_vectors
+from tonemill.plans import training as training_plans
 from tonemill.plans.fixtures import (
     LABELS, LEX, MEASURES, NB, ROUNDED_MEASURES, SENTENCE_SCORES, SENTENCES, TRAINING, VECTORS, WORD_LIST,
     documents, labelled_texts, labels, lexicon, measures_sql, melted, query, table, training, vectors,
@@ -370,6 +371,36 @@ def j5(spark, sf):
     return answers.select("doc_id", "predicted", F.round("prob", 5).alias("prob"))
 
 
+_LOCAL_BY_DOMAIN = (
+    _LOCAL.replace("lim AS (SELECT ", "lim AS (SELECT domain, ").replace(" FROM train),\nunit", " FROM train GROUP BY domain),\nunit")
+    .replace("unit AS (SELECT doc_id, label,", "unit AS (SELECT doc_id, domain, label,").replace("FROM train, lim)", "FROM train JOIN lim USING (domain))")
+    .replace("FROM unit q CROSS JOIN unit t)", "FROM unit q JOIN unit t USING (domain))")
+)
+
+
+def _by_domain(spark, sf, learner: str) -> DataFrame:
+    texts = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    model = training_plans.train(texts, learner, training_plans.FeatureOptions(lexicon=lexicon(spark)))
+    return training_plans.classify(texts, model)
+
+
+@query("x1_local_by_domain", f"""WITH {_LOCAL_BY_DOMAIN}
+  SELECT doc_id, arg_max(label, (e, CASE WHEN label = 'neg' THEN 1 ELSE 0 END)) AS predicted, round(max(e) / sum(e), 5) AS prob
+  FROM raised GROUP BY doc_id""")
+def x1_local(spark, sf):
+    """Local models see only the texts of the row's own language."""
+    return _by_domain(spark, sf, "local").select("doc_id", "predicted", F.round("prob", 5).alias("prob"))
+
+
+@query("x1_nearest_by_domain", f"""WITH {TRAINING},
+  pairs AS (SELECT q.doc_id, t.label, t.doc_id AS near, {" + ".join(f"power(q.{f} - t.{f}, 2)" for f in FEATURES)} AS d
+            FROM train q JOIN train t USING (domain))
+  SELECT doc_id, arg_min(label, (round(d, 9), near)) AS predicted FROM pairs GROUP BY doc_id""")
+def x1_nearest(spark, sf):
+    """The nearest text is one of the row's own language; equally near ones go by their id."""
+    return _by_domain(spark, sf, "nearest").select("doc_id", "predicted")
+
+
 # ---- learners of pyspark.ml -------------------------------------------------------------------
 
 # A table that a line can part: the quality of a labelled document, moved by a part of its id.

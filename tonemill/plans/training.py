@@ -15,6 +15,7 @@ from tonemill.operators.joins import Lookup
 from tonemill.operators.rows import usable_rows, with_domain
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, Tagger, sentiment_vectors
 from tonemill.operators.words import information_gain, term_frequency, with_terms
+from tonemill.session import durable
 from tonemill.sources.registry import latest_model, save_models
 
 LEARNERS = ["gaussian_nb", "multinomial_nb", "nearest", "local", *mllib.ESTIMATORS]
@@ -67,28 +68,38 @@ def train(
     features = features or FeatureOptions()
     rows = with_domain(usable_rows(df))
     if learner == "multinomial_nb":
-        words = _terms(rows, features, key)
+        words = durable(_terms(rows, features, key), "terms") if features.feature_select else _terms(rows, features, key)
+        stats = counts.count_fit(words, by=["domain"])
         if features.feature_select:
-            kept = information_gain(words).select("term")
-            stats = counts.count_fit(words, by=["domain"])
-            chosen = kept.withColumnRenamed("term", "feature").union(
-                kept.sparkSession.range(1).select(F.lit(counts.TEXTS).alias("feature"))
-            )
-            stats = stats.join(chosen, "feature", "left_semi").select("domain", "label", "feature", "n")
-        else:
-            stats = counts.count_fit(words, by=["domain"])
+            # Each domain selects its own terms; the counts of texts stand under the empty feature.
+            kept = information_gain(words, by=["domain"]).select("domain", F.col("term").alias("feature"))
+            texts = kept.select("domain").union(words.select("domain")).distinct().withColumn("feature", F.lit(counts.TEXTS))
+            stats = stats.join(kept.union(texts), ["domain", "feature"], "left_semi").select("domain", "label", "feature", "n")
         return TextModel(learner, features, params=stats, options=options)
     vectors = _vectors(rows, features, key, ["domain", "label"])
     if learner == "gaussian_nb":
         return TextModel(learner, features, params=bayes.gaussian_fit(vectors, FEATURES, ["domain"]), options=options)
+    vectors = durable(vectors, "training-vectors")
     if learner in ("nearest", "local"):
         return TextModel(learner, features, fitted=vectors, options=options)
     name = learner if isinstance(learner, str) else type(learner).__name__
-    return TextModel(name, features, fitted=mllib.fit_estimator(vectors, FEATURES, learner, **options))
+    fitted = {
+        d: mllib.fit_estimator(vectors.filter(F.col("domain") == d), FEATURES, learner, **options) for d in domains_of(vectors)
+    }
+    return TextModel(name, features, fitted=fitted)
+
+
+def domains_of(rows: DataFrame) -> list[str]:
+    """The domains of training rows: each has a model of its own, so there are few."""
+    return [r["domain"] for r in rows.select("domain").distinct().orderBy("domain").collect()]
 
 
 def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """Score rows (key, domain, text) with the features the model was trained on."""
+    """Score rows (key, domain, text) with the features the model was trained on.
+
+    Every learner answers with the model of the row's domain; a row whose domain has none
+    gets a null class.  The double weight of the overall score holds for the Gaussian and the local learner.
+    """
     keep = keep or []
     rows = with_domain(df)
     if model.learner == "multinomial_nb":
@@ -97,14 +108,28 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     vectors = _vectors(rows, model.features, key, ["domain", *keep])
     if model.learner == "gaussian_nb":
         return bayes.classify_vectors(vectors, model.params, FEATURES, FEATURE_WEIGHTS, spread=[key])
+    vectors = durable(vectors, "scoring-vectors")
+    lazy = model.learner in ("nearest", "local")
+    known = domains_of(model.fitted) if lazy else sorted(model.fitted)
+    answers = vectors.filter(~F.col("domain").isin(known)).withColumn("predicted", F.lit(None).cast("string"))
+    for domain in known:
+        asked = vectors.filter(F.col("domain") == domain)
+        if lazy:
+            trained = model.fitted.filter(F.col("domain") == domain)
+            part = _lazy_answers(asked, trained, model, key, keep)
+        else:
+            part = mllib.apply_estimator(model.fitted[domain], asked)
+        answers = answers.unionByName(part, allowMissingColumns=True)
+    return answers
+
+
+def _lazy_answers(asked: DataFrame, trained: DataFrame, model: TextModel, key: str, keep: list[str]) -> DataFrame:
+    """Answers from the training rows of one domain."""
     if model.learner == "local":
-        return neighbours.classify_local(vectors, model.fitted, FEATURES, key, weights=FEATURE_WEIGHTS)
-    if model.learner == "nearest":
-        as_vector = lambda d: d.withColumn("vector", F.array(*FEATURES))
-        return neighbours.classify_nearest(
-            as_vector(vectors), as_vector(model.fitted), model.options.get("k", 1), key
-        )
-    return mllib.apply_estimator(model.fitted, vectors)
+        return neighbours.classify_local(asked, trained, FEATURES, key, weights=FEATURE_WEIGHTS)
+    as_vector = lambda d: d.withColumn("vector", F.array(*FEATURES))
+    voted = neighbours.classify_nearest(as_vector(asked), as_vector(trained), model.options.get("k", 1), key)
+    return asked.join(voted, key)
 
 
 def train_shards(
