@@ -48,9 +48,9 @@ from tonemill.session import durable
 SKETCH, PIECE = 1 << 20, 1 << 12
 #: Hash ranges of the suffix filter.
 RANGES = 64
-#: Members that a set outside a list's largest component is compared with per turn, and the share
-#: of such comparisons that must find a link for another turn to be made.
-TRIALS, WORTH = 32, 0.01
+#: Members drawn of a list's largest component per turn, the most that a set outside it is compared
+#: with in one turn, and the share of such comparisons that must find a link for another turn to be made.
+DRAWS, TRIALS, WORTH = 6, 32, 0.02
 
 INFO = "id long, n long, key long, digest binary, sig binary, piece int, counters binary"
 PREFIX = "h long, key long, n int, pos int, common boolean"
@@ -250,10 +250,12 @@ def _trial_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
     The members are drawn by a hash, others in each turn.
     """
-    drawn = F.min(F.struct(F.xxhash64("node", "h", F.lit(turn)).alias("by"), "node", "n", "pos")).alias("p")
-    parts = rows.groupBy("h", "label").agg(F.count("*").alias("k"), drawn)
-    main = parts.groupBy("h").agg(F.max(F.struct("k", "label", "p")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    s, x = main.select("h", "m.label", "m.p.*").alias("s"), rows.alias("x")
+    draw = lambda i: F.min(F.struct(F.xxhash64("node", "h", F.lit(turn * DRAWS + i)).alias("by"), "node", "n", "pos"))
+    parts = rows.groupBy("h", "label").agg(F.count("*").alias("k"), *[draw(i).alias(f"d{i}") for i in range(DRAWS)])
+    drawn = F.transform(F.array(*[f"d{i}" for i in range(DRAWS)]), lambda d: F.struct(d["node"].alias("node"), d["n"].alias("n"), d["pos"].alias("pos")))
+    main = parts.groupBy("h").agg(F.max(F.struct("k", "label", drawn.alias("drawn"))).alias("m"), F.count("*").alias("c")).where("c > 1")
+    main = main.select("h", "m.label", F.explode(F.array_distinct("m.drawn")).alias("p"))
+    s, x = main.select("h", "label", "p.*").alias("s"), rows.alias("x")
     met = s.join(x, "h").where(F.col("s.label") != F.col("x.label"))
     smaller = F.struct("s.n", "s.node") < F.struct("x.n", "x.node")
     met = met.where(F.when(smaller, _passes("s", "x")).otherwise(_passes("x", "s")))
