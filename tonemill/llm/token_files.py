@@ -44,6 +44,8 @@ from tonemill.session import durable, scratch
 
 MAGIC = b"TNPF"
 BLOCK = 4096
+#: Pieces that a worker remembers in each of two generations; encoding unknown ones is the costly part.
+REMEMBERED = 300_000
 #: Share of a block's ids that the packed width must hold.
 PERCENTILE = 0.95
 HEAD = struct.Struct("<IIBI")
@@ -163,7 +165,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory = Memory()
+        self.memory = Memory(REMEMBERED)
 
     def encode_pieces(self, found: list[str]) -> list[bytes]:
         out = []
