@@ -267,6 +267,15 @@ def test_shards_vote(spark, texts):
     assert best.count() == len(TEXTS)
 
 
+def test_snapshots_of_a_member_do_not_mix(spark):
+    schema = "domain string, model_id string, label string, feature string, n long"
+    newer = spark.createDataFrame([("d", "a", "pos", "f", 9)], schema)
+    older = spark.createDataFrame([("d", "a", "pos", "f", 1), ("d", "a", "neg", "f", 1), ("d", "b", "neg", "f", 2)], schema)
+    from tonemill.operators.ensemble import union_members
+
+    assert {tuple(r) for r in union_members(newer, older).collect()} == {("d", "a", "pos", "f", 9), ("d", "b", "neg", "f", 2)}
+
+
 def test_increment_equals_one_build(spark, texts, tmp_path):
     from tonemill.sources.registry import latest_model
 

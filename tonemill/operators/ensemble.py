@@ -15,11 +15,16 @@ class NoTrainedModel(ValueError):
 
 
 def union_members(*models: DataFrame) -> DataFrame:
-    """Model tables of several builders in one, equal models counted once."""
-    first, *rest = models
+    """Model tables of several builders in one.
+
+    A member that several tables have is taken whole from the first of them, so two
+    snapshots of one member never mix.
+    """
+    merged, *rest = models
+    keys = [c for c in ("domain", "model_id") if c in merged.columns]
     for m in rest:
-        first = first.unionByName(m)
-    return first.dropDuplicates([c for c in ("domain", "model_id", "label", "feature") if c in first.columns])
+        merged = merged.unionByName(m.join(merged.select(*keys).distinct(), keys, "left_anti"))
+    return merged.dropDuplicates([*keys, *[c for c in ("label", "feature") if c in merged.columns]])
 
 
 def trained_only(models: DataFrame) -> DataFrame:

@@ -110,10 +110,10 @@ def table_summary(df: DataFrame, label: str, by: list[str] | None = None) -> Dat
     """Row count, attribute count, place of the class and the attribute names of a labelled table."""
     others = [c for c in df.columns if c != label and c not in (by or [])]
     return df.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("instance_count"),
-        F.lit(len(others) + 1).alias("attrib_count"),
-        F.lit(len(others)).alias("class_idx"),
-        F.lit(",".join(others)).alias("attribs"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.lit(len(others) + 1).alias("n_columns"),
+        F.lit(len(others)).alias("class_place"),
+        F.lit(",".join(others)).alias("other_columns"),
     )
 
 

@@ -95,7 +95,7 @@ def s3(spark, sf):
 
 
 @query("r2_rejected_lines", f"""WITH {_LINES} SELECT md5(value) AS digest,
-  CASE WHEN lang = 'de' THEN 'unable to map class' ELSE 'not a tab separated line' END AS reason, count(*) AS n
+  CASE WHEN lang = 'de' THEN 'class code is not in the format' ELSE 'line has not two fields' END AS reason, count(*) AS n
   FROM lines WHERE NOT labelled AND lang <> 'fr' GROUP BY ALL""")
 def r2(spark, sf):
     _, bad = corpus.read_labelled_lines(spark, write_lines(spark, sf), "sentence score")

@@ -121,9 +121,9 @@ def f11(spark, sf):
 
 
 @query("f13_truncate", """SELECT doc_id, CASE WHEN trim(text) <> '' AND length(text) > 40
-  THEN substring(text, 1, 40) || ' ..trunc*' ELSE text END AS short FROM documents""")
+  THEN substring(text, 1, 40) || ' [cut]' ELSE text END AS short FROM documents""")
 def f13(spark, sf):
-    return documents(spark, sf).select("doc_id", text.truncate(F.col("text"), 40, " ..trunc*").alias("short"))
+    return documents(spark, sf).select("doc_id", text.truncate(F.col("text"), 40, " [cut]").alias("short"))
 
 
 @query("f14_elapsed", """SELECT doc_id, (n_chars * 61 // 60000) || ' min ' || (n_chars * 61 % 60000 // 1000) || ' sec '

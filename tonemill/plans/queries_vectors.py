@@ -305,8 +305,8 @@ def a16(spark, sf):
     return _rounded(evaluate.evaluate(scored, ["domain"]).drop("n_unscored"), MEASURES)
 
 
-@query("a18_table_summary", f"""WITH {LABELS} SELECT lang, count(*) AS instance_count, 3 AS attrib_count, 2 AS class_idx,
-  'doc_id,text' AS attribs FROM documents JOIN lab USING (doc_id) GROUP BY lang""")
+@query("a18_table_summary", f"""WITH {LABELS} SELECT lang, count(*) AS n_rows, 3 AS n_columns, 2 AS class_place,
+  'doc_id,text' AS other_columns FROM documents JOIN lab USING (doc_id) GROUP BY lang""")
 def a18(spark, sf):
     return evaluate.table_summary(labelled_texts(spark, sf, ["lang"]), "label", ["lang"])
 

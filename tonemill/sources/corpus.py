@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # Classes of the score codes when a format names none.
 DEFAULT_SCORES = {0: "neg", 1: "pos"}
 
-NOT_TWO_FIELDS = "not a tab separated line"
-UNKNOWN_CLASS = "unable to map class"
+NOT_TWO_FIELDS = "line has not two fields"
+UNKNOWN_CLASS = "class code is not in the format"
 
 
 @dataclass(frozen=True)
