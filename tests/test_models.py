@@ -247,7 +247,7 @@ def test_word_model_through_the_registry(spark, texts, tmp_path):
     from tonemill.sources.registry import latest_model, load_headers
 
     rows = texts.withColumn("domain", F.lit("d"))
-    options = plans.FeatureOptions(kind="words", feature_select=False)
+    options = plans.FeatureOptions(feature_select=False)
     plans.build(rows, str(tmp_path), 1, "multinomial_nb", options)
     assert load_headers(spark, str(tmp_path)).first().n_rows == len(TEXTS)
     stored = latest_model(spark, str(tmp_path), "d").select("domain", "label", "feature", "n")
@@ -256,6 +256,22 @@ def test_word_model_through_the_registry(spark, texts, tmp_path):
     assert as_map(loaded) == as_map(plans.train(rows, "multinomial_nb", options))
 
 
+def test_stored_models_are_loaded_with_their_features(spark, texts, tmp_path):
+    rows = texts.withColumn("domain", F.lit("d"))
+    as_map = lambda m: {r.doc_id: (r.predicted, round(r.prob, 12)) for r in plans.classify(rows, m).collect()}
+    for learner, options in (
+        ("gaussian_nb", plans.FeatureOptions(lexicon=lexicon(spark))), ("multinomial_nb", plans.FeatureOptions(tokenizer="shingles")),
+    ):
+        plans.build(rows, str(tmp_path), 1, learner, options)
+        loaded = plans.load_model(spark, str(tmp_path), learner, "d")
+        assert loaded.features.tokenizer == options.tokenizer
+        assert as_map(loaded) == as_map(plans.train(rows, learner, options))
+    with pytest.raises(ValueError, match="no model"):
+        plans.load_model(spark, str(tmp_path), "gaussian_nb", "nowhere")
+    with pytest.raises(ValueError, match="cannot be stored"):
+        plans.build(rows, str(tmp_path), 2, "multinomial_nb", plans.FeatureOptions(tokenizer=lambda t: F.split(t, " ")))
+
+
 def test_shards_vote(spark, texts):
     rows = texts.withColumn("domain", F.lit("d")).withColumn("shard", F.col("doc_id") % 2)
     options = plans.FeatureOptions(lexicon=lexicon(spark))

@@ -14,6 +14,7 @@ from tonemill.plans.training import (
     classify,
     classify_combined,
     increment,
+    load_model,
     rebuild,
     train,
     train_shards,
@@ -33,6 +34,7 @@ __all__ = [
     "evaluate",
     "increment",
     "latest_model",
+    "load_model",
     "load_models",
     "read_class_dirs",
     "read_labelled_lines",

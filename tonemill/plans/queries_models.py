@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tonemill.operators import bayes, ensemble, evaluate, rows
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES
+from tonemill.plans import queries_text  # noqa: F401  (its oracles are used here)
 from tonemill.plans import training as plans
 from tonemill.plans.fixtures import (
-    ARGMAX, MEASURES, ROUNDED_MEASURES, TRAINING, documents, gaussian_sql, labelled_texts, lexicon, measures_sql,
+    ARGMAX, MEASURES, ORACLES, ROUNDED_MEASURES, TRAINING, documents, gaussian_sql, labelled_texts, lexicon, measures_sql,
     melted, query, training,
 )
 from tonemill.session import durable, scratch
@@ -183,6 +184,39 @@ def a11_increment(spark, sf):
     return _rounded(newest, ["mean", "m2"]).select("domain", "label", "feature", "n", "mean", "m2")
 
 
+def _resumed(spark, sf, learner: str, options: plans.FeatureOptions) -> DataFrame:
+    """Build, store, load again with nothing but the path, and label every document."""
+    path = scratch(spark, "registry")
+    texts = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    plans.build(texts, path, 1, learner, options)
+    every = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text")
+    answers = plans.classify(every, plans.load_model(spark, path, learner))
+    return answers.select("doc_id", "predicted", F.round("prob", 6).alias("prob"))
+
+
+@query("e3_registry_classify", f"""WITH {TRAINING}, {gaussian_sql("train", "vd", ["domain"], ["doc_id", "domain"])
+  .replace("FROM vd", "FROM (SELECT *, lang AS domain FROM vec)")}
+  SELECT doc_id, {ARGMAX} AS predicted, round(max(prob), 6) AS prob FROM probs GROUP BY doc_id""")
+def e3(spark, sf):
+    return _resumed(spark, sf, "gaussian_nb", plans.FeatureOptions(lexicon=lexicon(spark)))
+
+
+@query("e3_registry_classify_words", ORACLES["a8_multinomial_classify"])
+def e3_words(spark, sf):
+    return _resumed(spark, sf, "multinomial_nb", plans.FeatureOptions(feature_select=False))
+
+
+@query("a8_increment", ORACLES["a8_multinomial_fit"])
+def a8_increment(spark, sf):
+    """Word counts of some sources, then those of the others added to the stored model."""
+    path = scratch(spark, "registry")
+    texts = labelled_texts(spark, sf, ["lang", "source"]).withColumnRenamed("lang", "domain")
+    early, options = F.col("source") < "src2", plans.FeatureOptions(feature_select=False)
+    plans.build(texts.filter(early), path, 1, "multinomial_nb", options)
+    plans.increment(texts.filter(~early), path, 2, options, learner="multinomial_nb")
+    return registry.latest_model(spark, path).select("domain", "label", "feature", "n")
+
+
 # ---- shard models -----------------------------------------------------------------------------
 
 _MEMBERS = f"""{TRAINING.replace("lang AS domain FROM vec", "'$DEF' AS domain, source AS model_id FROM vec")},

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonemill.functions.identity import row_digest
 from tonemill.operators import bayes, counts, mllib, neighbours
 from tonemill.operators.ensemble import ensemble
-from tonemill.operators.joins import Lookup
+from tonemill.operators.joins import Lookup, as_lookup
 from tonemill.operators.rows import usable_rows, with_domain
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, Tagger, sentiment_vectors
 from tonemill.operators.words import information_gain, term_frequency, with_terms
 from tonemill.session import durable
-from tonemill.sources.registry import latest_model, save_models
+from tonemill.sources.lexicon import prepare_lexicon
+from tonemill.sources.registry import latest_headers, latest_model, load_headers, save_models
 
 LEARNERS = ["gaussian_nb", "multinomial_nb", "nearest", "local", *mllib.ESTIMATORS]
 
@@ -25,7 +28,6 @@ LEARNERS = ["gaussian_nb", "multinomial_nb", "nearest", "local", *mllib.ESTIMATO
 class FeatureOptions:
     """How a text becomes features; kept with the model so that scoring does the same."""
 
-    kind: str = "sentiment"
     lexicon: DataFrame | Lookup | None = None
     tokenizer: str | Callable[[Column], Column] = "words"
     tagger: Tagger | None = None
@@ -163,6 +165,36 @@ def classify_combined(
     return bayes.classify_vectors(vectors, packed, FEATURES, spread=[key])
 
 
+def _described(model: TextModel, path: str) -> str:
+    """The features of a model as text for its header; the lexicon is stored beside the models, once."""
+    f = model.features
+    if not isinstance(f.tokenizer, str) or f.tagger is not None or f.lemmas is not None:
+        raise ValueError("tokenizers and taggers given as functions, and lemma tables, cannot be stored with a model")
+    said: dict[str, Any] = {"tokenizer": f.tokenizer, "feature_select": f.feature_select, "lexicon": None}
+    if model.learner == "gaussian_nb":
+        prepared = f.lexicon if isinstance(f.lexicon, Lookup) else prepare_lexicon(f.lexicon)
+        table = prepared.table
+        cells = F.sum(row_digest([F.col(c).cast("string") for c in sorted(table.columns)]))
+        said["lexicon"] = str(table.agg(cells.alias("d")).first()["d"])
+        table.write.mode("ignore").parquet(f"{path}/lexicons/{said['lexicon']}")
+    return json.dumps(said, sort_keys=True)
+
+
+def load_model(spark: SparkSession, path: str, learner: str = "gaussian_nb", domain: str | None = None) -> TextModel:
+    """The newest stored models of a learner, ready for ``classify``, with the features they were trained on."""
+    headers = load_headers(spark, path).filter(F.col("algorithm") == learner)
+    if domain is not None:
+        headers = headers.filter(F.col("domain") == domain)
+    kinds = [r["features"] for r in latest_headers(headers).select("features").distinct().limit(2).collect()]
+    if len(kinds) != 1:
+        raise ValueError(f"{'no model' if not kinds else 'models of different features'} of {learner} at {path}; name a domain")
+    said = json.loads(kinds[0])
+    lexicon = as_lookup(spark.read.parquet(f"{path}/lexicons/{said['lexicon']}")) if said["lexicon"] else None
+    options = FeatureOptions(lexicon=lexicon, tokenizer=said["tokenizer"], feature_select=said["feature_select"])
+    names = ["domain", "label", "feature", "n", *(["mean", "m2"] if learner == "gaussian_nb" else [])]
+    return TextModel(learner, options, params=latest_model(spark, path, domain, learner).select(*names))
+
+
 def build(
     df: DataFrame, path: str, generated_on: int, learner: str = "gaussian_nb",
     features: FeatureOptions | None = None, key: str = "doc_id",
@@ -171,7 +203,7 @@ def build(
     model = train(df, learner, features, key)
     if model.params is None:
         raise ValueError(f"{learner} has no parameter table to store")
-    return save_models(model.params, path, learner, generated_on, features=model.features.kind)
+    return save_models(model.params, path, learner, generated_on, features=_described(model, path))
 
 
 def rebuild(
@@ -184,13 +216,31 @@ def rebuild(
 
 def increment(
     df: DataFrame, path: str, generated_on: int, features: FeatureOptions | None = None, key: str = "doc_id",
-    latest: DataFrame | None = None,
+    latest: DataFrame | None = None, learner: str = "gaussian_nb",
 ) -> DataFrame:
-    """Train on new rows only and merge with the stored model of each domain."""
-    model = train(df, "gaussian_nb", features, key)
+    """Train on new rows only and merge with the stored model of each domain.
+
+    With selected terms the first model of a domain fixes its vocabulary; later rows add
+    to the counts of the terms it has.
+    """
+    features = features or FeatureOptions()
     spark = df.sparkSession
-    stored = latest if latest is not None else latest_model(spark, path, algorithm="gaussian_nb")
+    stored = latest if latest is not None else latest_model(spark, path, algorithm=learner)
+    if learner == "multinomial_nb":
+        stored = stored.select("domain", "label", "feature", "n")
+        every = train(df, learner, replace(features, feature_select=False), key)
+        new = every.params
+        if features.feature_select:
+            fixed = stored.select("domain").distinct()
+            first = train(df, learner, features, key).params.join(fixed, "domain", "left_anti")
+            known = stored.select("domain", "feature").distinct()
+            new = new.join(known, ["domain", "feature"], "left_semi").select("domain", "label", "feature", "n").unionByName(first)
+        merged = counts.merge_counts(stored.unionByName(new), ["domain"])
+        return save_models(merged, path, learner, generated_on, features=_described(every if not features.feature_select else replace(every, features=features), path))
+    if learner != "gaussian_nb":
+        raise ValueError(f"{learner} cannot be trained by increments")
+    model = train(df, learner, features, key)
     merged = bayes.merge_gaussian(
         stored.select("domain", "label", "feature", "n", "mean", "m2").unionByName(model.params), ["domain"]
     )
-    return save_models(merged, path, "gaussian_nb", generated_on, features=model.features.kind)
+    return save_models(merged, path, learner, generated_on, features=_described(model, path))
