@@ -211,6 +211,8 @@ def learn_rules(labelled: DataFrame, how: Learning | None = None) -> list[Rule]:
     """An ordered list of rules for bad rows.  ``labelled`` has the features, ``bad`` and ``part`` (0 to 2)."""
     how = how or Learning()
     thresholds = _thresholds(labelled, how.bins)
+    if not any(thresholds.values()):  # no labelled row
+        return []
     rules: list[Rule] = []
     rest = labelled
     while len(rules) < how.max_rules:
