@@ -217,3 +217,18 @@ def test_languages_are_told_apart(spark, labelled, odd_docs, no_docs):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
     odd = language_id.train_and_identify(odd_docs).collect()
     assert len(odd) == 14 and next(r for r in odd if r.doc_id == 2).lang_pred == "und"
+
+
+@pytest.mark.parametrize("few", [40, 6, 1])
+def test_a_language_with_few_documents_rejects_unfit_text(spark, labelled, few):
+    """With an infinite limit for ``de`` all random text that lands on it would be kept."""
+    german = [r for r in labelled if r[2] == "de"]
+    learn = [r for r in labelled if r[2] != "de"] + german[:few]
+    model = language_id.fit(spark.createDataFrame(learn, "id long, text string, lang string"))
+    rnd = random.Random(6)
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(30)]
+    noise += [base64.b64encode(rnd.randbytes(300)).decode() for _ in range(30)]
+    assert np.isfinite(model.usual).all()
+    assert all(language_id.predict(model, noise)[4].to_pylist())
+    genuine = language_id.predict(model, [t for _, t, _ in german[-30:]])
+    assert few == 1 or genuine[0].to_pylist() == ["de"] * 30 and not any(genuine[4].to_pylist())

@@ -43,8 +43,10 @@ MAX_LANGUAGES = 1_000
 SHARPNESS = 12.0
 #: A text is rejected above this multiple of the highest usual cross-entropy, if it has this many letters.
 REJECT_ABOVE, REJECT_LETTERS = 1.35, 20
-#: Calibration documents that a language must have; with fewer, only texts without letters are rejected.
+#: Calibration documents that a language must have; with fewer, all its documents calibrate in turns.
 CALIBRATED_BY = 20
+#: Turns of a language with few documents; each leaves out another part of them.
+FOLDS = 5
 
 
 @cache
@@ -245,14 +247,57 @@ def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
     learned = sorted(counts["lang"].unique())
     index = counts["lang"].map({lang: i for i, lang in enumerate(learned)}).to_numpy()
     models = estimate(learned, index, counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy(np.float64))
-    models.usual = np.full(len(learned), np.inf)
-    high = identify(rows.where("calibrates").select("id", "text", "lang"), models, "id", "text", keep=["lang"])
-    high = high.where(f"lang = lang_pred and n_letters >= {REJECT_LETTERS}").groupBy("lang").agg(F.max("entropy").alias("high"), F.count("*").alias("n"))
-    for r in high.where(F.col("n") >= CALIBRATED_BY).collect():
-        models.usual[learned.index(r["lang"])] = r["high"]
+    models.usual = np.full(len(learned), np.nan)
+    for lang, high, n in _usual(rows.where("calibrates"), models):
+        if n >= CALIBRATED_BY:
+            models.usual[learned.index(lang)] = high
+    few = [lang for lang, usual in zip(learned, models.usual, strict=True) if np.isnan(usual)]
+    if few:
+        _calibrate_in_turns(rows.where(F.col("lang").isin(few)), models, few, counts)
     return models
 
 
+def _usual(rows: DataFrame, models: LanguageModels) -> list[tuple[str, float, int]]:
+    """(lang, highest usual cross-entropy, documents) of the rows (id, lang, text) that are found to be of their language."""
+    found = identify(rows.select("id", "text", "lang"), models, "id", "text", keep=["lang"])
+    found = found.where(f"lang = lang_pred and n_letters >= {REJECT_LETTERS}").groupBy("lang")
+    return [tuple(r) for r in found.agg(F.max("entropy").alias("high"), F.count("*").alias("n")).collect()]
+
+
+def _calibrate_in_turns(rows: DataFrame, models: LanguageModels, few: list[str], counts: pd.DataFrame) -> None:
+    """Sets the usual cross-entropy of languages with few documents; it is always finite.
+
+    The documents are dealt to ``FOLDS`` parts; in turn each is scored by models that have not counted
+    it, beside the models of all other languages.  The result is no lower than what gives the limit
+    of letters drawn by the language's frequencies, which have no order to predict.  A language
+    of which no document can be scored so gets the highest value of the others, if that is higher.
+    """
+    fold = F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(FOLDS))
+    rows = rows.select("id", "lang", "text", fold.alias("fold"))
+    keyed = _gram_counts(rows.select(F.concat(F.col("fold").cast("string"), F.lit(":"), F.col("lang")).alias("lang"), "text")).toPandas()
+    keyed["fold"] = keyed["lang"].str.split(":", n=1).str[0].astype(int)
+    keyed["lang"] = keyed["lang"].str.split(":", n=1).str[1]
+    others = counts[~counts["lang"].isin(few)]
+    usual: dict[str, float] = {}
+    for turn in sorted(keyed["fold"].unique()):
+        own = keyed[keyed["fold"] != turn].groupby(["lang", "gram"], as_index=False)["n"].sum()
+        known = pd.concat([others, own])
+        learned = sorted(known["lang"].unique())
+        if not learned:
+            continue
+        index = known["lang"].map({lang: i for i, lang in enumerate(learned)}).to_numpy()
+        turned = estimate(learned, index, known["gram"].to_numpy().view(np.uint64), known["n"].to_numpy(np.float64))
+        turned.usual = np.zeros(len(learned))
+        for lang, high, _ in _usual(rows.where(F.col("fold") == int(turn)), turned):
+            usual[lang] = max(high, usual.get(lang, 0.0))
+    highest = max([*usual.values(), *models.usual[~np.isnan(models.usual)]], default=0.0)
+    for lang in few:
+        own = keyed[keyed["lang"] == lang]
+        shares = own.groupby(own["gram"].to_numpy() & 0xFFFF)["n"].sum().to_numpy(np.float64)
+        shares = shares / shares.sum()
+        models.usual[models.languages.index(lang)] = max(usual.get(lang, highest), -(shares * np.log(shares)).sum() / REJECT_ABOVE)
+
+
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, kept columns, lang_pred, score, entropy, n_letters, rejected) for every row."""
     keep = keep or []
