@@ -140,6 +140,25 @@ def test_entropy_spans_and_the_allow_list():
     assert kinds == ["assign"]  # a span inside a base span is not told twice
 
 
+@pytest.mark.parametrize(
+    "alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+)
+def test_keys_of_two_kinds_and_short_keys(alphabet):
+    rnd, scan = random.Random(7), secrets.Scanner().scan
+    missed = 0
+    for n in [16, 20, 23, 32, 64] * 40:
+        key = "".join(rnd.choice(alphabet) for _ in range(n))
+        missed += not any(a <= 6 and b >= 4 + n - 2 for _, a, b in scan(f"see {key} here"))
+    assert missed <= 10  # of 200; some of the shortest look like a word with a number
+    assert [s[0] for s in scan("see k3j9x2m8q7w1z5v4b6n0p8r2t7y1h4d6 here")] == ["entropy"]
+
+
+def test_ordinary_words_of_two_kinds_are_no_secrets():
+    words = "getElementsByTagName parseHTMLDocumentFragment Donaudampfschiffahrt some-long-article-title-of-2024 snake_case_identifier_42"
+    words += " https://www.site.org/2024/05/another-long-title/page3 chapter12-section34-paragraph5 Jean-Pierre-de-la-Fontaine 20240115T103000"
+    assert secrets.Scanner().scan(words) == []
+
+
 def test_scan_and_redaction(spark, odd_docs, no_docs):
     got = {(r.doc_id, len(r.spans)) for r in secrets.scan_secrets(odd_docs).collect()}
     assert (2, 0) in got and (3, 0) in got and (None, 0) in got

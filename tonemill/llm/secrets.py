@@ -3,7 +3,8 @@
 Base spans come from three patterns.  Beside them, candidate strings are maximal runs of one
 character class; a window of the class's length slides over each, its symbol counts and the sum
 of ``c log2 c`` are kept up to date by the character that enters and the one that leaves, and
-windows whose entropy reaches the class's threshold are joined to spans.  Runs that the allow
+windows whose entropy reaches the class's threshold are joined to spans.  Shorter windows and those of
+only two kinds of characters count unless they are ordinary words and numbers.  Runs that the allow
 list knows (identifiers in the usual notations, placeholders, alphabets, addresses) and spans inside a base
 span are left out; base spans always stay.
 
@@ -45,7 +46,8 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 class CharacterClass:
     """Candidate strings of one class: the window and the bits per character that make it suspect.
 
-    ``needs`` are patterns of which a suspect window must hold each.
+    ``needs`` are patterns of which a suspect window must hold each.  With ``words`` set, strings of
+    ordinary words and numbers are no candidates either.
     """
 
     name: str
@@ -53,14 +55,25 @@ class CharacterClass:
     window: int
     bits: float
     needs: tuple[str, ...] = ()
+    words: bool = False
 
 
+#: Two of the three kinds digits, upper and lower case.
+TWO_KINDS = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[A-Z].*[a-z]|[a-z].*[A-Z]"
+
 CLASSES = (
     CharacterClass("base64", r"[A-Za-z0-9+/_=-]", 24, 3.9, (r"[0-9]", r"[A-Z]", r"[a-z]")),
     CharacterClass("upper", r"[A-Z0-9]", 20, 3.5, (r"[0-9].*[0-9]", r"[A-Z]")),
     CharacterClass("hex", r"[0-9A-F]", 24, 3.2, (r"[0-9].*[0-9].*[0-9]", r"[A-F]")),
+    CharacterClass("two kinds", r"[A-Za-z0-9+/_=-]", 24, 3.9, (TWO_KINDS,), words=True),
+    CharacterClass("short", r"[A-Za-z0-9+/_=-]", 16, 3.3, (TWO_KINDS,), words=True),
+    CharacterClass("lower", r"[a-z0-9]", 16, 3.0, (r"[0-9]", r"[a-z]"), words=True),
 )
 
+#: Between separators: words, also in camel case, with a number before or after; numbers; very short parts.
+WORD = re.compile(r"[0-9]{0,4}(?:[a-z]*(?:[A-Z][a-z]{2,}|[A-Z]{2,5}[a-z]{3,}|By|Id|In|Is|Of|On|To)*|[A-Z]+)[0-9]{0,8}|[0-9]+|[A-Za-z0-9]{1,3}")
+_BETWEEN = re.compile(r"[+/_=.-]+")
+
 #: Characters that a candidate string may go on with, and whole strings of them that are no secrets.
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 ALLOW = (
@@ -102,6 +115,11 @@ def hot_windows(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     return found
 
 
+def ordinary(token: str) -> bool:
+    """Whether all parts of a token are words or numbers."""
+    return all(WORD.fullmatch(part) for part in _BETWEEN.split(token) if part)
+
+
 class Scanner:
     """Finds the spans of a text: (kind, start, end), sorted by start, then kind."""
 
@@ -120,23 +138,23 @@ class Scanner:
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
         return spans
 
-    def known(self, text: str, start: int, end: int) -> bool:
-        """Whether the allow list has the run, with the characters of tokens around it."""
+    def known(self, text: str, start: int, end: int, words: bool = False) -> bool:
+        """Whether the allow list has the run, with the characters of tokens around it, or it is ordinary words."""
         while start and text[start - 1] in TOKEN:
             start -= 1
         while end < len(text) and text[end] in TOKEN:
             end += 1
-        return bool(self.allow.fullmatch(text, start, end))
+        return bool(self.allow.fullmatch(text, start, end)) or words and ordinary(text[start:end])
 
     def suspects(self, text: str) -> list[tuple[int, int]]:
         found = []
         for kind, run, needs in self.classes:
             for m in run.finditer(text):
                 string = m.group()
-                if not all(n.search(string) for n in needs) or self.known(text, m.start(), m.end()):
+                if not all(n.search(string) for n in needs) or self.known(text, m.start(), m.end(), kind.words):
                     continue
                 for a, b in hot_windows(string, kind.window, kind.bits):
-                    if all(n.search(string, a, b) for n in needs):
+                    if all(n.search(string, a, b) for n in needs) and not (kind.words and ordinary(string[a:b])):
                         found.append((m.start() + a, m.start() + b))
         joined: list[tuple[int, int]] = []
         for a, b in sorted(found):
