@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.llm import byte_bpe, jaccard_join, language_id, mixing, quality_rules, secrets, suffix_dedup, token_files, url_filter, vector_search
+from tonemill.llm import (
+    byte_bpe, jaccard_join, language_id, mixing, projection_passes, quality_rules, scalar_clusters, secrets, spelling_variants, suffix_dedup,
+    token_files, url_filter, vector_search,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +181,68 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+measured AS (SELECT vec_id, v, len(v) AS dims, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS length FROM usable),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM measured a JOIN measured b ON a.dims = b.dims AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.length * b.length) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN degree USING (vec_id)
+"""
+
+
+@query("op11_near_vectors", NEAR_VECTORS_SQL)
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.link_near(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+CENTROIDS, CLUSTER_ROUNDS, CLUSTER_WIDTH, CLUSTER_SCALE, CLUSTER_SEED = 40, 5, 64, 256, "2"
+
+
+def _clusters_sql() -> str:
+    parts = [
+        f"""kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({CLUSTER_SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {CLUSTER_WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"cells AS MATERIALIZED (SELECT vec_id, unnest(range({CLUSTER_WIDTH})) AS d, unnest(v) AS x FROM kept)",
+        f"""first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster FROM kept
+  ORDER BY cluster LIMIT {CENTROIDS})""",
+        "c0 AS MATERIALIZED (SELECT cluster, d, x AS c FROM first JOIN cells USING (vec_id))",
+    ]
+    for i in range(CLUSTER_ROUNDS + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, cluster, distance FROM (
+    SELECT vec_id, cluster, distance, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS nth FROM (
+      SELECT vec_id, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM cells JOIN c{i} USING (d) GROUP BY vec_id, cluster)) WHERE nth = 1)""")
+        if i < CLUSTER_ROUNDS:
+            parts.append(f"""m{i} AS (SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN cells USING (vec_id) GROUP BY cluster, d)""")
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT cluster, d, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{i} LEFT JOIN m{i} USING (cluster, d))""")
+    last = f"a{CLUSTER_ROUNDS}"
+    parts.append(f"named AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{CLUSTER_ROUNDS} GROUP BY cluster)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM {last} JOIN named USING (cluster)"""
+
+
+@query("op12_scalar_clusters", _clusters_sql())
+def op12_scalar_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    assigned, centroids = scalar_clusters.cluster(vectors, CENTROIDS, CLUSTER_ROUNDS, CLUSTER_WIDTH, CLUSTER_SCALE, CLUSTER_SEED)
+    return scalar_clusters.with_inertia(assigned, centroids)
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.counted_words(table(spark, sf_dir, "documents")))
