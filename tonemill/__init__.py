@@ -11,8 +11,10 @@ from tonemill.operators.vectors import sentiment_vectors
 from tonemill.plans.training import (
     FeatureOptions,
     build,
+    build_requests,
     classify,
     classify_combined,
+    classify_requests,
     increment,
     load_model,
     rebuild,
@@ -27,8 +29,10 @@ __all__ = [
     "FeatureOptions",
     "best_of",
     "build",
+    "build_requests",
     "classify",
     "classify_combined",
+    "classify_requests",
     "confusion",
     "ensemble",
     "evaluate",

@@ -19,17 +19,38 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
 
 
 def with_terms(
-    df: DataFrame, tokenizer: str | Callable[[Column], Column] = "words", text: str = "text", name: str = "terms"
+    df: DataFrame, tokenizer: str | Callable[[Column], Column] = "words", text: str = "text", name: str = "terms",
+    lemmas: DataFrame | None = None, key: str = "doc_id",
 ) -> DataFrame:
-    """Add the array of terms of a text; the word array is made once and then reused."""
+    """Add the array of terms of a text; the word array is made once and then reused.
+
+    With a lemma table (word, lemma) the words become lemmas before they are joined to shingles, and keep their order;
+    ``key`` then names a text.  A tokenizer of one's own makes the terms itself, and these are looked up.
+    """
     if callable(tokenizer):
-        return df.withColumn(name, tokenizer(F.col(text)))
+        made = df.withColumn(name, tokenizer(F.col(text)))
+        return made if lemmas is None else with_lemmas(made, lemmas, key, name)
     if tokenizer not in TOKENIZERS:
         raise ValueError(f"unknown tokenizer {tokenizer!r}; choose from {sorted(TOKENIZERS)}")
     made = df.withColumn("_words", words(F.col(text)))
+    if lemmas is not None:
+        made = with_lemmas(made, lemmas, key, "_words")
     return made.withColumn(name, TOKENIZERS[tokenizer](F.col("_words"))).drop("_words")
 
 
+def with_lemmas(df: DataFrame, lemmas: DataFrame, key: str, name: str) -> DataFrame:
+    """The words of an array column replaced by their lemmas, each in its place.
+
+    Rows must differ in ``key``; what is gathered again is one text at a time.
+    """
+    rows = unnest(df, F.col(name), [key], "term", "pos")
+    found = lemmatised(rows, lemmas, [key])
+    placed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_p"))
+    per_text = placed.select(key, F.transform("_p", lambda x: x["term"]).alias("_lemmas"))
+    empty = F.array().cast("array<string>")
+    return df.join(per_text, key, "left").withColumn(name, F.coalesce("_lemmas", empty)).drop("_lemmas")
+
+
 def lemmatised(rows: DataFrame, lemmas: DataFrame, spread: list[str], term: str = "term") -> DataFrame:
     """Replace words by their lemma where the lemma table (word, lemma) has one."""
     named = lemmas.select(F.col("word").alias(term), "lemma")
@@ -88,31 +109,35 @@ def _xlogx(x: Column) -> Column:
 def information_gain(
     df: DataFrame, terms: str = "terms", label: str = "label", by: list[str] | None = None
 ) -> DataFrame:
-    """(by..., term, n_docs, gain) for every term that has a gain among the texts of its group.
+    """(by..., term, n_docs, gain) for every term that has a gain among the texts of its group."""
+    rows = df if by else df.withColumn("_whole", F.lit(0))
+    keys = by or ["_whole"]
+    totals = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).cast("double").alias("n_c"))
+    counts = presence(rows, [*keys, label], terms).groupBy(*keys, "term", label).agg(F.count(F.lit(1)).cast("double").alias("n_tc"))
+    return gains_from_counts(counts, totals, keys, label).select(*(by or []), "term", "n_docs", "gain")
+
+
+def gains_from_counts(counts: DataFrame, totals: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """(by..., term, n_docs, gain) from the texts that hold a term (by..., term, label, n_tc) and all texts (by..., label, n_c).
 
     With counts n the gain is a sum of ``n log2 n`` parts: over the classes, over
     the texts that hold the term, and over those that do not.  A class in which
     a term never occurs adds nothing but its own total, so only counts that
     exist are stored.
     """
-    rows = df if by else df.withColumn("_whole", F.lit(0))
-    keys = by or ["_whole"]
-    totals = store_lookup(rows.groupBy(*keys, label).agg(F.count(F.lit(1)).cast("double").alias("n_c")), "classes")
-    overall = totals.table.groupBy(*keys).agg(
+    totals = store_lookup(totals, "classes")
+    overall = totals.table.groupBy(*by).agg(
         F.sum("n_c").alias("n_all"), F.sum(_xlogx(F.col("n_c"))).alias("classes_part"), F.count(F.lit(1)).alias("n_classes")
     )
-    counts = presence(rows, [*keys, label], terms).groupBy(*keys, "term", label).agg(
-        F.count(F.lit(1)).cast("double").alias("n_tc")
-    )
-    with_total = lookup_join(counts, totals, [*keys, label], "inner", spread=["term"])
+    with_total = lookup_join(counts, totals, [*by, label], "inner", spread=["term"])
     n_tc, n_c = F.col("n_tc"), F.col("n_c")
-    per_term = with_total.groupBy(*keys, "term").agg(
+    per_term = with_total.groupBy(*by, "term").agg(
         F.sum("n_tc").alias("n_t"),
         F.sum(_xlogx(n_tc)).alias("with_part"),
         F.sum(_xlogx(n_c - n_tc) - _xlogx(n_c)).alias("without_change"),
         F.collect_list(F.struct("n_tc", "n_c")).alias("per_class"),  # one entry per class
     )
-    measured = lookup_join(per_term, overall, keys, "inner", spread=["term"])
+    measured = lookup_join(per_term, overall, by, "inner", spread=["term"])
     n_t, n, class_part = F.col("n_t"), F.col("n_all"), F.col("classes_part")
     prior = _xlogx(n) - class_part
     present = _xlogx(n_t) - F.col("with_part")
@@ -123,7 +148,7 @@ def information_gain(
     whole = lambda c: c.cast("decimal(19,0)")
     uneven = F.exists("per_class", lambda x: whole(x["n_tc"]) * whole(n) != whole(n_t) * whole(x["n_c"]))
     tells = uneven | (F.size("per_class") < F.col("n_classes"))
-    return measured.filter(tells).select(*(by or []), "term", n_t.cast("long").alias("n_docs"), gain.alias("gain"))
+    return measured.filter(tells).select(*by, "term", n_t.cast("long").alias("n_docs"), gain.alias("gain"))
 
 
 def ranked_terms(gains: DataFrame, k: int | None = None) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tonemill.operators import bayes, ensemble, evaluate, rows
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES
-from tonemill.plans import queries_text  # noqa: F401  (its oracles are used here)
+from tonemill.plans.queries_text import PRESENCE_BEST, presence_sql  # its oracles are used here as well
 from tonemill.plans import training as plans
 from tonemill.plans.fixtures import (
-    ARGMAX, MEASURES, ORACLES, ROUNDED_MEASURES, TRAINING, documents, gaussian_sql, labelled_texts, lexicon, measures_sql,
+    ARGMAX, LABELS, MEASURES, ORACLES, ROUNDED_MEASURES, TRAINING, documents, gaussian_sql, labelled_texts, lexicon, measures_sql,
     melted, query, training,
 )
 from tonemill.session import durable, scratch
-from tonemill.sources import registry
+from tonemill.sources import registry, requests
 
 CHUNK = 50
 
@@ -217,6 +217,29 @@ def a8_increment(spark, sf):
     return registry.latest_model(spark, path).select("domain", "label", "feature", "n")
 
 
+_BY_SOURCE = f"""WITH {TRAINING}, mine AS (SELECT * FROM train WHERE source >= 'src2'),
+  {gaussian_sql("mine", "vd", ["domain"], ["doc_id", "domain"]).replace("FROM vd", "FROM (SELECT *, lang AS domain FROM vec WHERE source >= 'src2')")},
+  {presence_sql("source < 'src2'", "w_")}
+  SELECT doc_id, domain, TRUE AS use_sentiment_vector, {ARGMAX} AS predicted, round(max(prob), 6) AS prob FROM probs GROUP BY doc_id, domain
+  UNION ALL SELECT doc_id, domain, FALSE, {PRESENCE_BEST} FROM w_pr GROUP BY doc_id, domain"""
+
+
+@query("x2_request_features", _BY_SOURCE)
+def x2_requests(spark, sf):
+    """Requests choose between sentiment vectors and selected words, in training and in scoring; here by their source."""
+    path, wants = scratch(spark, "registry"), F.col("source") >= "src2"
+    texts = labelled_texts(spark, sf, ["lang", "source"])
+    body = F.struct(
+        F.col("lang").alias("domain"), F.array(F.lit("neg"), F.lit("pos")).alias("classes"),
+        F.array(F.struct("text", F.col("label").alias("textClass"))).alias("dataSet"), wants.alias("useSentimentVector"),
+    )
+    rows_, _ = requests.split_requests(texts.select("doc_id", F.to_json(body).alias("value")), keep=["doc_id"])
+    plans.build_requests(rows_, path, 1, plans.FeatureOptions(lexicon=lexicon(spark)))
+    asked = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text", wants.alias("use_sentiment_vector"))
+    answers = plans.classify_requests(asked, path)
+    return answers.select("doc_id", "domain", "use_sentiment_vector", "predicted", F.round("prob", 6).alias("prob"))
+
+
 # ---- shard models -----------------------------------------------------------------------------
 
 _MEMBERS = f"""{TRAINING.replace("lang AS domain FROM vec", "'$DEF' AS domain, source AS model_id FROM vec")},

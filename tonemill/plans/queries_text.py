@@ -13,6 +13,7 @@ from tonemill.plans.fixtures import (
     IS_STOP, LABELS, LEX, SENTENCE_LIST, SENTENCE_SCORES, SENTENCES, WORD_LIST,
     documents, labelled_texts, lexicon, query, table,
 )
+from tonemill.plans import training as plans
 from tonemill.sources.lexicon import POS_COLUMNS
 
 
@@ -318,6 +319,56 @@ def a8_classify(spark, sf):
     return scored.select("doc_id", "predicted", F.round("prob", 6).alias("prob"))
 
 
+# The labelled texts, their words, and Gaussian scores of words that are there (one) or not (zero).
+_LEAST = repr((0.01 / 6) ** 2)
+
+
+def presence_sql(chosen: str = "TRUE", p: str = "") -> str:
+    """CTEs from documents to ``{p}pr`` (doc_id, label, e): models per language of the labelled texts that are chosen.
+
+    ``e`` is the class's probability before division by the sum over classes.
+    """
+    xlx = _xlx
+    return f"""{p}texts AS (SELECT doc_id, lang AS domain, list_distinct({WORD_LIST}) AS words FROM documents WHERE {chosen}),
+  {p}tagged AS (SELECT doc_id, domain, label, unnest(words) AS term FROM {p}texts JOIN lab USING (doc_id)),
+  {p}nc AS (SELECT domain, label, count(*) AS n_c FROM {p}texts JOIN lab USING (doc_id) GROUP BY ALL),
+  {p}whole AS (SELECT domain, sum(n_c) AS n FROM {p}nc GROUP BY domain),
+  {p}cells AS (SELECT t.domain, t.term, c.label, coalesce(n_tc, 0) AS n_tc, n_c FROM (SELECT DISTINCT domain, term FROM {p}tagged) t
+    JOIN {p}nc c USING (domain) LEFT JOIN (SELECT domain, term, label, count(*) AS n_tc FROM {p}tagged GROUP BY ALL) x
+      ON x.domain = t.domain AND x.term = t.term AND x.label = c.label),
+  {p}tells AS (SELECT domain, term FROM (SELECT domain, term, sum(n_tc) AS n_t, list({{'tc': n_tc, 'c': n_c}}) AS parts FROM {p}cells GROUP BY ALL)
+    JOIN {p}whole USING (domain) WHERE len(list_filter(parts, lambda x: x.tc * n <> n_t * x.c)) > 0),
+  {p}moments AS (SELECT domain, term, label, n_tc / n_c AS p, greatest(n_tc / n_c * (1 - n_tc / n_c), {_LEAST}) AS var
+                 FROM {p}cells SEMI JOIN {p}tells USING (domain, term)),
+  {p}base AS (SELECT domain, label, sum(-0.5 * ln(2 * pi() * var) - p * p / (2 * var)) AS absent FROM {p}moments GROUP BY ALL),
+  {p}present AS (SELECT doc_id, label, sum((2 * p - 1) / (2 * var)) AS more
+                 FROM (SELECT doc_id, domain, unnest(words) AS term FROM {p}texts) JOIN {p}moments USING (domain, term) GROUP BY ALL),
+  {p}sc AS (SELECT doc_id, domain, c.label, ln(n_c / n) + coalesce(absent, 0) + coalesce(more, 0) AS score
+            FROM {p}texts JOIN {p}nc c USING (domain) JOIN {p}whole USING (domain) LEFT JOIN {p}base USING (domain, label) LEFT JOIN {p}present USING (doc_id, label)),
+  {p}pr AS (SELECT doc_id, domain, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM {p}sc)"""
+
+
+PRESENCE_BEST = "arg_max(label, (e, CASE WHEN label = 'neg' THEN 1 ELSE 0 END)) AS predicted, round(max(e) / sum(e), 6) AS prob"
+
+
+@query("a7_presence_fit", f"""WITH {LABELS}, {presence_sql()}
+  SELECT domain, label, term AS feature, n_tc AS n FROM cells SEMI JOIN tells USING (domain, term) WHERE n_tc > 0
+  UNION ALL SELECT domain, label, '', n_c FROM nc""")
+def a7_presence_fit(spark, sf):
+    """Selected words of each language, counted once per text."""
+    rows_ = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    return plans.train(rows_, "presence_nb").params.select("domain", "label", "feature", "n")
+
+
+@query("a7_presence_classify", f"WITH {LABELS}, {presence_sql()} SELECT doc_id, domain, {PRESENCE_BEST} FROM pr GROUP BY doc_id, domain")
+def a7_presence_classify(spark, sf):
+    """Models of the selected words of the labelled texts label every document."""
+    rows_ = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    every = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text")
+    scored = plans.classify(every, plans.train(rows_, "presence_nb"))
+    return scored.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
+
+
 @query("a19_char_model", """WITH grams AS (SELECT doc_id, lang, unnest([text[i:i+7] for i in range(1, length(text) - 6)]) AS g FROM documents),
   occ AS (SELECT doc_id, g, count(*) AS c FROM grams GROUP BY ALL),
   model AS (SELECT lang AS label, g, count(*) AS n FROM grams GROUP BY ALL),

@@ -11,17 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.functions.identity import row_digest
-from tonemill.operators import bayes, counts, mllib, neighbours
+from tonemill.operators import bayes, counts, mllib, neighbours, presence
 from tonemill.operators.ensemble import ensemble
 from tonemill.operators.joins import Lookup, as_lookup
 from tonemill.operators.rows import usable_rows, with_domain
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, Tagger, sentiment_vectors
-from tonemill.operators.words import information_gain, term_frequency, with_terms
+from tonemill.operators.words import information_gain, with_terms
 from tonemill.session import durable
 from tonemill.sources.lexicon import prepare_lexicon
 from tonemill.sources.registry import latest_headers, latest_model, load_headers, save_models
 
-LEARNERS = ["gaussian_nb", "multinomial_nb", "nearest", "local", *mllib.ESTIMATORS]
+LEARNERS = ["gaussian_nb", "multinomial_nb", "presence_nb", "nearest", "local", *mllib.ESTIMATORS]
+#: Learners whose models are tables of counts of terms.
+OF_WORDS = ("multinomial_nb", "presence_nb")
 
 
 @dataclass(frozen=True)
@@ -53,13 +55,7 @@ def _vectors(df: DataFrame, features: FeatureOptions, key: str, keep: list[str])
 
 
 def _terms(df: DataFrame, features: FeatureOptions, key: str) -> DataFrame:
-    with_words = with_terms(df, features.tokenizer)
-    if features.lemmas is None:
-        return with_words
-    rows = term_frequency(with_words, [key], lemmas=features.lemmas)
-    repeated = rows.select(key, F.array_repeat("term", F.col("n").cast("int")).alias("_t"))
-    per_text = repeated.groupBy(key).agg(F.flatten(F.collect_list("_t")).alias("terms"))
-    return with_words.drop("terms").join(per_text, key, "left")
+    return with_terms(df, features.tokenizer, lemmas=features.lemmas, key=key)
 
 
 def train(
@@ -78,6 +74,11 @@ def train(
             texts = kept.select("domain").union(words.select("domain")).distinct().withColumn("feature", F.lit(counts.TEXTS))
             stats = stats.join(kept.union(texts), ["domain", "feature"], "left_semi").select("domain", "label", "feature", "n")
         return TextModel(learner, features, params=stats, options=options)
+    if learner == "presence_nb":
+        stats = presence.presence_fit(_terms(rows, features, key), ["domain"])
+        if features.feature_select:
+            stats = presence.select_counts(durable(stats, "presence"), ["domain"])
+        return TextModel(learner, features, params=stats, options=options)
     vectors = _vectors(rows, features, key, ["domain", "label"])
     if learner == "gaussian_nb":
         return TextModel(learner, features, params=bayes.gaussian_fit(vectors, FEATURES, ["domain"]), options=options)
@@ -107,6 +108,8 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     if model.learner == "multinomial_nb":
         words = _terms(rows, model.features, key)
         return counts.count_scores(words, counts.prepare_counts(model.params, ["domain"]), [key], keep=keep)
+    if model.learner == "presence_nb":
+        return presence.presence_scores(_terms(rows, model.features, key), presence.prepare_presence(model.params, ["domain"]), [key], keep=keep)
     vectors = _vectors(rows, model.features, key, ["domain", *keep])
     if model.learner == "gaussian_nb":
         return bayes.classify_vectors(vectors, model.params, FEATURES, FEATURE_WEIGHTS, spread=[key])
@@ -226,7 +229,7 @@ def increment(
     features = features or FeatureOptions()
     spark = df.sparkSession
     stored = latest if latest is not None else latest_model(spark, path, algorithm=learner)
-    if learner == "multinomial_nb":
+    if learner in OF_WORDS:
         stored = stored.select("domain", "label", "feature", "n")
         every = train(df, learner, replace(features, feature_select=False), key)
         new = every.params
@@ -244,3 +247,45 @@ def increment(
         stored.select("domain", "label", "feature", "n", "mean", "m2").unionByName(model.params), ["domain"]
     )
     return save_models(merged, path, learner, generated_on, features=_described(model, path))
+
+
+#: The learner of requests by their ``use_sentiment_vector``.
+REQUESTED = {True: "gaussian_nb", False: "presence_nb"}
+
+
+def build_requests(
+    rows: DataFrame, path: str, generated_on: int, features: FeatureOptions, key: str = "doc_id", increments: bool = False
+) -> DataFrame:
+    """Train on rows of training requests, each row with the features its request asks for.
+
+    Rows are (key, domain, use_sentiment_vector, text, label), as ``split_requests`` gives them.  Both kinds of models
+    are stored beside each other; the answer is the save status of every one.
+    """
+    step = increment if increments else build
+    saved = [
+        step(rows.filter(_asks_for(asked)), path, generated_on, features=features, key=key, learner=learner).withColumn("learner", F.lit(learner))
+        for asked, learner in REQUESTED.items()
+    ]
+    return saved[0].unionByName(saved[1])
+
+
+def classify_requests(rows: DataFrame, path: str, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Label the rows of requests (key, domain, use_sentiment_vector, text) with the newest stored models of their kind.
+
+    The answer is (key, domain, keep..., use_sentiment_vector, predicted, prob); a kind without any model gives null classes.
+    """
+    spark, keep = rows.sparkSession, keep or []
+    columns = [key, "domain", *keep]
+    answers = []
+    for asked, learner in REQUESTED.items():
+        mine = rows.filter(_asks_for(asked))
+        if load_headers(spark, path).filter(F.col("algorithm") == learner).limit(1).count():
+            scored = classify(mine, load_model(spark, path, learner), key, keep)
+        else:
+            scored = with_domain(mine).withColumns({"predicted": F.lit(None).cast("string"), "prob": F.lit(None).cast("double")})
+        answers.append(scored.select(*columns, F.lit(asked).alias("use_sentiment_vector"), "predicted", "prob"))
+    return answers[0].union(answers[1])
+
+
+def _asks_for(asked: bool) -> Column:
+    return F.coalesce(F.col("use_sentiment_vector"), F.lit(True)) == asked
