@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tonemill.operators import bayes, ensemble, evaluate, rows
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES
-from tonemill.plans.queries_text import PRESENCE_BEST, presence_sql  # its oracles are used here as well
+from tonemill.plans.queries_text import MULTINOMIAL, PRESENCE_BEST, presence_sql  # its oracles are used here as well
+from tonemill.plans import composites
 from tonemill.plans import training as plans
 from tonemill.plans.fixtures import (
     ARGMAX, LABELS, MEASURES, ORACLES, ROUNDED_MEASURES, TRAINING, documents, gaussian_sql, labelled_texts, lexicon, measures_sql,
@@ -378,3 +379,74 @@ def x1(spark, sf):
     every = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text")
     answers = plans.classify(every, model)
     return answers.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
+
+
+# ---- composite models of several learners --------------------------------------------------------
+
+# Shards are sources of a language; those that learned the same model count as one.
+_GATHERED = f"""{TRAINING.replace("lang AS domain FROM vec", "lang AS domain, source AS member FROM vec")},
+  params AS (SELECT domain, member, label, feature, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS m2
+             FROM ({melted("train", "domain, member, label")}) GROUP BY ALL),
+  ids AS ({ids_sql("params", "domain, member")}),
+  firsts AS (SELECT domain, min(member) AS member FROM ids GROUP BY domain, model_id),
+  shards AS (SELECT domain, count(*) AS n FROM firsts GROUP BY domain)"""
+
+
+def _gathered_models(spark, sf) -> list[plans.TextModel]:
+    """Sentiment vectors by shard, word counts and selected words, per language."""
+    texts = labelled_texts(spark, sf, ["lang", "source"]).withColumnRenamed("lang", "domain")
+    options = plans.FeatureOptions(lexicon=lexicon(spark))
+    shards = plans.TextModel("gaussian_nb", options, params=durable(plans.train_shards(texts, "source", options), "params"))
+    return [shards, plans.train(texts, "multinomial_nb", plans.FeatureOptions(feature_select=False)), plans.train(texts, "presence_nb")]
+
+
+@query("e4_gather_status", f"""WITH {_GATHERED},
+  steps(step, status, more) AS (VALUES (1, 'CREATED', 1), (2, 'EXISTS', 1), (3, 'CREATED', 2), (4, 'EXISTS', 1))
+  SELECT step, domain, status, n + more AS n_members FROM shards, steps
+  UNION ALL SELECT step, 'nothing yet', 'IGNORED', 0 FROM steps""")
+def e4_status(spark, sf):
+    """Gather, gather the same, gather one member more, and the first set again; a domain without members is passed over."""
+    path, models = scratch(spark, "registry"), _gathered_models(spark, sf)
+    asked = spark.createDataFrame([("nothing yet",)], "domain string")
+    out = None
+    for step, count in enumerate((2, 2, 3, 2), 1):
+        status = composites.gather(models[:count], path, step, domains=asked)
+        part = status.select(F.lit(step).alias("step"), "domain", "status", "n_members")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("e4_gather_classify", f"""WITH {_GATHERED},
+  kept AS (SELECT train.* FROM train SEMI JOIN firsts USING (domain, member)),
+  {gaussian_sql("kept", "vd", ["domain", "member"], ["doc_id", "domain"]).replace("FROM vd", "FROM (SELECT *, lang AS domain FROM vec)")},
+  multi AS ({MULTINOMIAL} SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM pr),
+  words AS (WITH {LABELS}, {presence_sql()} SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM pr),
+  votes AS (SELECT doc_id, label, prob FROM probs UNION ALL SELECT * FROM multi UNION ALL SELECT * FROM words),
+  mixed AS (SELECT doc_id, lang AS domain, label, sum(prob) / any_value(n + 2) AS e
+            FROM votes JOIN documents USING (doc_id) JOIN shards ON shards.domain = lang GROUP BY ALL)
+  SELECT doc_id, domain, arg_max(label, (round(e, 9), CASE WHEN label = 'neg' THEN 1 ELSE 0 END)) AS predicted, round(max(e), 6) AS prob
+  FROM mixed GROUP BY doc_id, domain""")
+def e4_classify(spark, sf):
+    """The composite is stored, loaded by its path and asked for every document."""
+    path = scratch(spark, "registry")
+    composites.gather(_gathered_models(spark, sf), path, 1)
+    every = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text")
+    answers = composites.classify_composite(every, composites.load_composite(spark, path))
+    return answers.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
+
+
+@query("e4_member_errors", f"""WITH {_GATHERED},
+  {gaussian_sql("train", "train", ["domain", "member"], ["doc_id", "domain"])},
+  multi AS ({MULTINOMIAL} SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM pr),
+  votes AS (SELECT doc_id, domain, '0/' || member AS model_id, label, prob FROM probs
+            UNION ALL SELECT doc_id, domain, '1/model', multi.label, prob FROM multi JOIN (SELECT DISTINCT doc_id, domain FROM train) USING (doc_id)),
+  known AS (SELECT doc_id, model_id, domain, list(label) AS labels, sum(power(prob - (v.label = t.truth)::INT, 2)) AS sq, count(*) AS cells, any_value(t.truth) AS truth
+            FROM votes v JOIN (SELECT doc_id, label AS truth FROM train) t USING (doc_id) GROUP BY ALL),
+  errs AS (SELECT domain, model_id, count(*) AS n,
+             sqrt(sum(sq + CASE WHEN list_contains(labels, truth) THEN 0 ELSE 1 END) / sum(cells)) AS root_mean_sq_err FROM known GROUP BY ALL)
+  SELECT domain, model_id, n, round(root_mean_sq_err, 6) AS root_mean_sq_err FROM errs""")
+def e4_best(spark, sf):
+    """Errors of members of two learners on the labelled texts, by which the best is chosen."""
+    texts = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    errors = composites.composite_errors(texts, composites.composite_of(_gathered_models(spark, sf)[:2]))
+    return _rounded(errors, ["root_mean_sq_err"])

@@ -294,7 +294,8 @@ def a8_fit(spark, sf):
     return counts.count_fit(_word_rows(spark, sf), by=["domain"])
 
 
-@query("a8_multinomial_classify", f"""WITH {LABELS}, {_COUNTS},
+# From documents to ``pr`` (doc_id, label, e): multinomial models of the labelled texts, per language.
+MULTINOMIAL = f"""WITH {LABELS}, {_COUNTS},
   v AS (SELECT domain, count(DISTINCT term) AS v FROM tl GROUP BY domain),
   tot AS (SELECT domain, label, sum(n) AS total FROM tl GROUP BY ALL),
   cls AS (SELECT dl.domain, dl.label, coalesce(total, 0) AS total, coalesce(v, 0) AS v,
@@ -308,7 +309,10 @@ def a8_fit(spark, sf):
             LEFT JOIN tl ON tl.domain = k.domain AND tl.term = k.term AND tl.label = cls.label GROUP BY ALL),
   sc AS (SELECT doc_id, cls.label, prior + coalesce(s, 0) AS score FROM rows_ JOIN cls USING (domain)
          LEFT JOIN parts USING (doc_id, label)),
-  pr AS (SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM sc)
+  pr AS (SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM sc)"""
+
+
+@query("a8_multinomial_classify", f"""{MULTINOMIAL}
   SELECT doc_id, arg_max(label, (e, CASE WHEN label = 'neg' THEN 1 ELSE 0 END)) AS predicted,
          round(max(e) / sum(e), 6) AS prob FROM pr GROUP BY doc_id""")
 def a8_classify(spark, sf):

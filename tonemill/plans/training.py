@@ -183,6 +183,13 @@ def _described(model: TextModel, path: str) -> str:
     return json.dumps(said, sort_keys=True)
 
 
+def described_features(spark: SparkSession, path: str, described: str) -> FeatureOptions:
+    """The features that a header describes."""
+    said = json.loads(described)
+    lexicon = as_lookup(spark.read.parquet(f"{path}/lexicons/{said['lexicon']}")) if said["lexicon"] else None
+    return FeatureOptions(lexicon=lexicon, tokenizer=said["tokenizer"], feature_select=said["feature_select"])
+
+
 def load_model(spark: SparkSession, path: str, learner: str = "gaussian_nb", domain: str | None = None) -> TextModel:
     """The newest stored models of a learner, ready for ``classify``, with the features they were trained on."""
     headers = load_headers(spark, path).filter(F.col("algorithm") == learner)
@@ -191,9 +198,7 @@ def load_model(spark: SparkSession, path: str, learner: str = "gaussian_nb", dom
     kinds = [r["features"] for r in latest_headers(headers).select("features").distinct().limit(2).collect()]
     if len(kinds) != 1:
         raise ValueError(f"{'no model' if not kinds else 'models of different features'} of {learner} at {path}; name a domain")
-    said = json.loads(kinds[0])
-    lexicon = as_lookup(spark.read.parquet(f"{path}/lexicons/{said['lexicon']}")) if said["lexicon"] else None
-    options = FeatureOptions(lexicon=lexicon, tokenizer=said["tokenizer"], feature_select=said["feature_select"])
+    options = described_features(spark, path, kinds[0])
     names = ["domain", "label", "feature", "n", *(["mean", "m2"] if learner == "gaussian_nb" else [])]
     return TextModel(learner, options, params=latest_model(spark, path, domain, learner).select(*names))
 
