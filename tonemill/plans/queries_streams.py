@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tonemill.operators import bayes
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentiment_vectors
 from tonemill.plans.fixtures import (
-    ARGMAX, LABELS, TRAINING, WORD_LIST, documents, gaussian_sql, labelled_texts, lexicon, melted, query, training,
+    ARGMAX, LABELS, TRAINING, WORD_LIST, documents, gaussian_sql, labelled_texts, lexicon, melted, query, training, with_labels,
 )
+from tonemill.plans import training as plans
 from tonemill.plans.queries_ingest import _FLAT, flat_text
 from tonemill.session import durable, scratch
 from tonemill.sources import requests
@@ -106,6 +107,49 @@ def t5(spark, sf):
     return answers.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
 
 
+def _swapped(train: str, rows_: str, p: str) -> str:
+    first = f"{p}train AS (SELECT * FROM train WHERE {train}), {p}vd AS (SELECT *, lang AS domain FROM vec WHERE {rows_})"
+    return f"""{first}, {gaussian_sql(p + "train", p + "vd", ["domain"], ["doc_id", "domain"], p)}"""
+
+
+@query("t5_refreshed_model", f"""WITH {TRAINING}, {_swapped("source < 'src2'", "source < 'src2'", "a_")}, {_swapped("TRUE", "source >= 'src2'", "b_")}
+  SELECT doc_id, domain, {ARGMAX} AS predicted, round(max(prob), 6) AS prob
+  FROM (SELECT doc_id, domain, label, prob FROM a_probs UNION ALL SELECT doc_id, domain, label, prob FROM b_probs) GROUP BY doc_id, domain""")
+def t5_refreshed(spark, sf):
+    """One running query: the model is replaced between its two micro-batches, and the second one is scored with the new model."""
+    path, registry_path = scratch(spark, "inbox"), scratch(spark, "registry")
+    out, checkpoint = scratch(spark, "answers"), scratch(spark, "progress")
+    texts = labelled_texts(spark, sf, ["lang", "source"]).withColumnRenamed("lang", "domain")
+    options, early = plans.FeatureOptions(lexicon=lexicon(spark)), F.col("source") < "src2"
+    plans.build(texts.filter(early), registry_path, 1, features=options)
+    docs = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text", "source")
+    for part in (early, ~early):
+        docs.filter(part).drop("source").repartition(4, "doc_id").write.mode("append").parquet(path)
+    scorer, calls = learning.RegistryScorer(spark, registry_path), []
+
+    def score(batch: DataFrame) -> DataFrame:
+        if calls:  # somebody trains again while the stream runs
+            plans.rebuild(texts, registry_path, 2, features=options)
+        calls.append(1)
+        return scorer(batch)
+
+    stream = streams.file_stream(spark, path, "doc_id long, domain string, text string", files_per_trigger=4)
+    learning.score_stream(stream, score, out, checkpoint, flush=True).awaitTermination()
+    answers = learning.read_batches(spark, out, "doc_id long, domain string, predicted string, prob double")
+    return answers.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
+
+
+@query("t1_compacted_snapshots", f"WITH {LABELS}, {_COUNTED} SELECT domain, label, feature, n FROM tl")
+def t1_compacted(spark, sf):
+    """A snapshot per micro-batch, merged to a base after every second one and when the query ends."""
+    stream = streams.file_stream(spark, _inbox(spark, sf), ROW_SCHEMA, files_per_trigger=1)
+    out, checkpoint = scratch(spark, "snapshots"), scratch(spark, "progress")
+    query_ = learning.train_words(stream, out, checkpoint, flush=True, compact_every=2, snapshot_at_end=True)
+    query_.awaitTermination()
+    learning.stop_training(query_)
+    return learning.snapshot_counts(spark, out)
+
+
 @query("s8_message_stream", f"""WITH {LABELS} SELECT lang AS domain, label, md5(text) AS digest, count(*) AS n
   FROM documents JOIN lab USING (doc_id) GROUP BY ALL""")
 def s8(spark, sf):
@@ -121,6 +165,26 @@ def s8(spark, sf):
     return taken.groupBy("domain", "label", F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_NOT_ROWS = """CASE WHEN label IS NOT NULL THEN NULL WHEN lang = 'en' THEN 'no JSON object' WHEN lang = 'de' THEN 'no rows' ELSE 'row has no text or no class' END"""
+
+
+@query("s8_message_rejects", f"""WITH {LABELS} SELECT {_NOT_ROWS} AS reason, count(*) AS n FROM documents LEFT JOIN lab USING (doc_id) GROUP BY ALL""")
+def s8_rejects(spark, sf):
+    """Messages of all documents; those without a label make messages that cannot be used, in ways told by their language."""
+    path, checkpoint = scratch(spark, "messages"), scratch(spark, "progress")
+    out, aside = scratch(spark, "rows"), scratch(spark, "rejects")
+    docs = with_labels(spark, sf, documents(spark, sf).select("doc_id", "lang", "text"), "left")
+    row = F.array(F.struct("text", F.col("label").alias("textClass")))
+    whole = F.to_json(F.struct(F.col("lang").alias("domain"), row.alias("dataSet")))
+    bare = F.to_json(F.struct(F.col("lang").alias("domain"), F.slice(row, 1, 0).alias("dataSet")))
+    unusable = F.when(F.col("lang") == "en", F.concat(F.lit("= "), F.md5("text"))).when(F.col("lang") == "de", bare).otherwise(whole)
+    docs.select(F.when(F.col("label").isNotNull(), whole).otherwise(unusable).alias("value")).repartition(4).write.text(path)
+    lines = streams.raw_messages(spark, path, files_per_trigger=2)
+    learning.store_messages(lines, out, aside, checkpoint, flush=True).awaitTermination()
+    taken = spark.read.parquet(f"{out}/batch=*").select(F.lit(None).cast("string").alias("reason"))
+    return taken.union(spark.read.parquet(f"{aside}/batch=*").select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 _JOBS = f"""WITH {LABELS} SELECT CASE WHEN lang = 'es' THEN '$DEF' ELSE lang END AS domain, label, md5({_FLAT}) AS digest,
   count(*) AS n FROM documents JOIN lab USING (doc_id) GROUP BY ALL"""
 

@@ -43,7 +43,7 @@ class TextModel:
 
     learner: str
     features: FeatureOptions
-    params: DataFrame | None = None
+    params: DataFrame | Lookup | counts.CountModel | None = None
     fitted: Any = None
     options: dict = field(default_factory=dict)
 
@@ -107,9 +107,9 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     rows = with_domain(df)
     if model.learner == "multinomial_nb":
         words = _terms(rows, model.features, key)
-        return counts.count_scores(words, counts.prepare_counts(model.params, ["domain"]), [key], keep=keep)
+        return counts.count_scores(words, prepare_model(model).params, [key], keep=keep)
     if model.learner == "presence_nb":
-        return presence.presence_scores(_terms(rows, model.features, key), presence.prepare_presence(model.params, ["domain"]), [key], keep=keep)
+        return presence.presence_scores(_terms(rows, model.features, key), prepare_model(model).params, [key], keep=keep)
     vectors = _vectors(rows, model.features, key, ["domain", *keep])
     if model.learner == "gaussian_nb":
         return bayes.classify_vectors(vectors, model.params, FEATURES, FEATURE_WEIGHTS, spread=[key])
@@ -128,6 +128,17 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     return answers
 
 
+def prepare_model(model: TextModel) -> TextModel:
+    """The model with its parameters in the stored scoring form, to ask it several times; one that has it already stays."""
+    if not isinstance(model.params, DataFrame):
+        return model
+    if model.learner == "multinomial_nb":
+        return replace(model, params=counts.prepare_counts(model.params, ["domain"]))
+    if model.learner == "presence_nb":
+        return replace(model, params=presence.prepare_presence(model.params, ["domain"]))
+    return replace(model, params=bayes.prepare_members(model.params, FEATURES, FEATURE_WEIGHTS))
+
+
 def _lazy_answers(asked: DataFrame, trained: DataFrame, model: TextModel, key: str, keep: list[str]) -> DataFrame:
     """Answers from the training rows of one domain."""
     if model.learner == "local":

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonemill.functions.identity import model_ids, registry_key
+from tonemill.functions.identity import model_ids, registry_key, row_digest
 from tonemill.session import durable
 
 HEADER_SCHEMA = (
@@ -149,6 +149,17 @@ def latest_model(spark: SparkSession, path: str, domain: str | None = None, algo
     return params.join(newest, ["domain", "model_id"], "left_semi")
 
 
+def models_version(spark: SparkSession, path: str, algorithm: str) -> str | None:
+    """A text that changes whenever another set of models is the newest; None while there is none.
+
+    It is made of the headers alone: no parameters are read.
+    """
+    newest = latest_headers(load_headers(spark, path).filter(F.col("algorithm") == algorithm))
+    cells = row_digest([F.col("registry_key"), F.col("model_id"), F.col("generated_on").cast("string")])
+    row = newest.agg(F.sum(cells).cast("string").alias("digest"), F.count(F.lit(1)).alias("n")).first()
+    return f"{row['n']}-{row['digest']}" if row["n"] else None
+
+
 def export_json(params: DataFrame) -> DataFrame:
     """One JSON document per parameter row, for export as text."""
     return params.select("domain", F.to_json(F.struct(*params.columns)).alias("value"))

@@ -26,6 +26,17 @@ def file_stream(
     return reader.load(path)
 
 
+def raw_messages(
+    spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None,
+    files_per_trigger: int = DEFAULT_FILES_PER_TRIGGER,
+) -> DataFrame:
+    """(value): training messages as they come, lines of text files or the values of a Kafka topic."""
+    if kafka:
+        raw = spark.readStream.format("kafka").options(**kafka).load()
+        return raw.select(F.col("value").cast("string").alias("value"))
+    return file_stream(spark, path, "value string", "text", files_per_trigger)
+
+
 def message_stream(
     spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None,
     files_per_trigger: int = DEFAULT_FILES_PER_TRIGGER,
@@ -34,13 +45,9 @@ def message_stream(
 
     Messages are lines of text files, or the values of a Kafka topic when its
     options are given.  The domain is a column, so one stream serves all models.
+    ``store_messages`` keeps what is no usable row as well.
     """
-    if kafka:
-        raw = spark.readStream.format("kafka").options(**kafka).load()
-        lines = raw.select(F.col("value").cast("string").alias("value"))
-    else:
-        lines = file_stream(spark, path, "value string", "text", files_per_trigger)
-    return parse_requests(lines)
+    return parse_requests(raw_messages(spark, path, kafka, files_per_trigger))
 
 
 def trigger_stream(
