@@ -17,6 +17,8 @@ result.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -46,28 +48,28 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 class CharacterClass:
     """Candidate strings of one class: the window and the bits per character that make it suspect.
 
-    ``needs`` are patterns of which a suspect window must hold each.  With ``words`` set, strings of
-    ordinary words and numbers are no candidates either.
+    A suspect window must hold so many digits, upper and lower case letters, and so many of these three kinds.
+    With ``words`` set, strings of ordinary words and numbers are no candidates either.
     """
 
     name: str
     run: str
     window: int
     bits: float
-    needs: tuple[str, ...] = ()
+    digits: int = 0
+    upper: int = 0
+    lower: int = 0
+    kinds: int = 0
     words: bool = False
 
 
-#: Two of the three kinds digits, upper and lower case.
-TWO_KINDS = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[A-Z].*[a-z]|[a-z].*[A-Z]"
-
 CLASSES = (
-    CharacterClass("base64", r"[A-Za-z0-9+/_=-]", 24, 3.9, (r"[0-9]", r"[A-Z]", r"[a-z]")),
-    CharacterClass("upper", r"[A-Z0-9]", 20, 3.5, (r"[0-9].*[0-9]", r"[A-Z]")),
-    CharacterClass("hex", r"[0-9A-F]", 24, 3.2, (r"[0-9].*[0-9].*[0-9]", r"[A-F]")),
-    CharacterClass("two kinds", r"[A-Za-z0-9+/_=-]", 24, 3.9, (TWO_KINDS,), words=True),
-    CharacterClass("short", r"[A-Za-z0-9+/_=-]", 16, 3.3, (TWO_KINDS,), words=True),
-    CharacterClass("lower", r"[a-z0-9]", 16, 3.0, (r"[0-9]", r"[a-z]"), words=True),
+    CharacterClass("base64", r"[A-Za-z0-9+/_=-]", 24, 3.9, digits=1, upper=1, lower=1),
+    CharacterClass("upper", r"[A-Z0-9]", 20, 3.5, digits=2, upper=1),
+    CharacterClass("hex", r"[0-9A-F]", 24, 3.2, digits=3, upper=1),
+    CharacterClass("two kinds", r"[A-Za-z0-9+/_=-]", 24, 3.9, kinds=2, words=True),
+    CharacterClass("short", r"[A-Za-z0-9+/_=-]", 16, 3.3, kinds=2, words=True),
+    CharacterClass("lower", r"[a-z0-9]", 16, 3.0, digits=1, lower=1, words=True),
 )
 
 #: Between separators: words, also in camel case, with a number before or after; numbers; very short parts.
@@ -75,7 +77,7 @@ WORD = re.compile(r"[0-9]{0,4}(?:[a-z]*(?:[A-Z][a-z]{2,}|[A-Z]{2,5}[a-z]{3,}|By|
 _BETWEEN = re.compile(r"[+/_=.-]+")
 
 #: Characters that a candidate string may go on with, and whole strings of them that are no secrets.
-TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"(?i).*(example|placeholder|changeme|your[-_]?(key|token|secret)|dummy|redacted).*",
@@ -120,11 +122,36 @@ def ordinary(token: str) -> bool:
     return all(WORD.fullmatch(part) for part in _BETWEEN.split(token) if part)
 
 
+class Tokens:
+    """The tokens of a text, each judged once however many candidate strings it holds."""
+
+    def __init__(self, text: str, allow: re.Pattern):
+        self.text, self.allow = text, allow
+        self.bounds = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.bounds]
+        self.allowed: dict[int, bool] = {}
+        self.plain: dict[int, bool] = {}
+
+    def known(self, start: int, words: bool) -> bool:
+        """Whether the allow list has the token around the position, or it is ordinary words."""
+        number = bisect.bisect_right(self.starts, start) - 1
+        a, b = self.bounds[number]
+        if number not in self.allowed:
+            self.allowed[number] = bool(self.allow.fullmatch(self.text, a, b))
+        if words and not self.allowed[number] and number not in self.plain:
+            self.plain[number] = ordinary(self.text[a:b])
+        return self.allowed[number] or words and self.plain[number]
+
+
 class Scanner:
-    """Finds the spans of a text: (kind, start, end), sorted by start, then kind."""
+    """Finds the spans of a text: (kind, start, end), sorted by start, then kind.
+
+    The time grows with the length of the text, whatever it is made of: runs are counted once for all
+    windows, tokens are judged once, and base spans are looked up in their order.
+    """
 
     def __init__(self, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
-        self.classes = [(c, re.compile(f"{c.run}{{{c.window},}}"), [re.compile(n, re.DOTALL) for n in c.needs]) for c in classes]
+        self.classes = [(c, re.compile(f"{c.run}{{{c.window},}}"), _needs(c)) for c in classes]
         self.allow = re.compile("|".join(f"(?:{a})" for a in self._hoisted(allow)), re.DOTALL)
 
     @staticmethod
@@ -138,24 +165,21 @@ class Scanner:
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
         return spans
 
-    def known(self, text: str, start: int, end: int, words: bool = False) -> bool:
-        """Whether the allow list has the run, with the characters of tokens around it, or it is ordinary words."""
-        while start and text[start - 1] in TOKEN:
-            start -= 1
-        while end < len(text) and text[end] in TOKEN:
-            end += 1
-        return bool(self.allow.fullmatch(text, start, end)) or words and ordinary(text[start:end])
-
     def suspects(self, text: str) -> list[tuple[int, int]]:
-        found = []
+        found: list[tuple[int, int]] = []
+        tokens = Tokens(text, self.allow)
+        hot: dict[tuple[int, int, int, float], list[tuple[int, int]]] = {}  # classes may share runs and windows
         for kind, run, needs in self.classes:
             for m in run.finditer(text):
-                string = m.group()
-                if not all(n.search(string) for n in needs) or self.known(text, m.start(), m.end(), kind.words):
+                start, end = m.span()
+                if not _holds(text, start, end, needs, kind.kinds) or tokens.known(start, kind.words):
                     continue
-                for a, b in hot_windows(string, kind.window, kind.bits):
-                    if all(n.search(string, a, b) for n in needs) and not (kind.words and ordinary(string[a:b])):
-                        found.append((m.start() + a, m.start() + b))
+                key = (start, end, kind.window, kind.bits)
+                if key not in hot:
+                    hot[key] = hot_windows(m.group(), kind.window, kind.bits)
+                for a, b in hot[key]:
+                    if _holds(text, start + a, start + b, needs, kind.kinds) and not (kind.words and ordinary(text[start + a : start + b])):
+                        found.append((start + a, start + b))
         joined: list[tuple[int, int]] = []
         for a, b in sorted(found):
             if joined and a <= joined[-1][1]:
@@ -166,11 +190,30 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         spans = self.base(text)
-        held = [(a, b) for _, a, b in spans]
-        spans += [("entropy", a, b) for a, b in self.suspects(text) if not any(x <= a and b <= y for x, y in held)]
+        held = sorted((a, b) for _, a, b in spans)
+        starts = [a for a, _ in held]
+        reach = list(itertools.accumulate((b for _, b in held), max))  # how far any span begun by then goes
+        for a, b in self.suspects(text):
+            before = bisect.bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                spans.append(("entropy", a, b))
         return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+_KINDS = {"digits": "[0-9]", "upper": "[A-Z]", "lower": "[a-z]"}
+_ANY = {name: re.compile(one) for name, one in _KINDS.items()}
+
+
+def _needs(kind: CharacterClass) -> list[re.Pattern]:
+    """Patterns that find so many characters of each kind; none of them reads a character twice."""
+    wanted = [(one, getattr(kind, name)) for name, one in _KINDS.items() if getattr(kind, name)]
+    return [re.compile(f"[^{one[1:-1]}]*".join([one] * count)) for one, count in wanted]
+
+
+def _holds(string: str, a: int, b: int, needs: list[re.Pattern], kinds: int) -> bool:
+    return all(n.search(string, a, b) for n in needs) and (not kinds or sum(k.search(string, a, b) is not None for k in _ANY.values()) >= kinds)
+
+
 SPANS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 )
