@@ -181,3 +181,21 @@ def test_the_best_member_is_gathered_alone(spark, texts, models, tmp_path):
         assert r.root_mean_sq_err == pytest.approx(min(e.root_mean_sq_err for e in errors if e.domain == r.domain))
     with pytest.raises(ValueError):
         composites.gather(models, path, 1, "best")
+
+
+def test_heavy_terms_do_not_move(spark):
+    """A word that is a third of all terms, on the way beyond the broadcast: equal answers, and it is in the head."""
+    rows = [(i, "d", " ".join(["hot"] * 10 + [f"w{(i * 7 + k) % 40}" for k in range(15)] + [f"own{i}"] * (i % 4)), "ab"[i % 2]) for i in range(60)]
+    texts = spark.createDataFrame([*rows, (90, "d", "", "a"), (91, "d", "hot", "b")], "doc_id long, domain string, text string, label string")
+    answer = lambda learner: {r.doc_id: (r.predicted, round(r.prob, 9)) for r in plans.classify(texts, plans.train(texts, learner, plans.FeatureOptions(feature_select=False))).collect()}
+    want = {name: answer(name) for name in plans.OF_WORDS}
+    spark.conf.set("spark.tonemill.broadcastRows", "30")
+    try:
+        for name in plans.OF_WORDS:
+            prepared = plans.prepare_model(plans.train(texts, name, plans.FeatureOptions(feature_select=False))).params
+            heads = [r.term for r in prepared.terms.head.collect()]
+            assert not prepared.terms.small and "hot" in heads and len(heads) <= 30
+            assert prepared.terms.head.count() + prepared.terms.tail.count() == prepared.terms.table.count()
+            assert answer(name) == want[name]
+    finally:
+        spark.conf.unset("spark.tonemill.broadcastRows")

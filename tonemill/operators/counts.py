@@ -19,6 +19,8 @@ from tonemill.operators.joins import Lookup, lookup_join, store_lookup
 from tonemill.session import durable
 
 TEXTS = ""
+#: How often a term was met in training.
+MET = "_met"
 
 
 def count_fit(df: DataFrame, terms: str = "terms", by: list[str] | None = None, label: str = "label") -> DataFrame:
@@ -101,10 +103,10 @@ def prepare_counts(
         for i, name in enumerate(labels)
     ]
     seen = stored.filter(F.col("feature") != TEXTS)
-    terms = seen.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), *gains)
+    terms = seen.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), F.sum("n").alias(MET), *gains)
     table = class_table(stored, by, alpha, prior)
     classes = store_lookup(table, "classes") if by else _constant(table)
-    return CountModel(labels, store_lookup(terms, "terms"), classes, by, alpha, known_only)
+    return CountModel(labels, store_lookup(terms, "terms", MET), classes, by, alpha, known_only)
 
 
 def _constant(table: DataFrame) -> Column:
@@ -133,12 +135,7 @@ def count_scores(
     by, keep, labels = model.by, keep or [], model.labels
     floor = math.log(model.alpha)
     rows = df.select(*key, *by, *keep, F.explode_outer(terms).alias("term"))
-    joined = lookup_join(rows, model.terms, [*by, "term"], "left", spread=key)
-    counted = F.col("_known" if model.known_only else "term").isNotNull()
-    summed = joined.groupBy(*key, *by, *keep).agg(
-        F.count(F.when(counted, 1)).alias("_n"),
-        *[F.coalesce(F.sum(f"_g{i}"), F.lit(0.0)).alias(f"_g{i}") for i in range(len(labels))],
-    )
+    summed = _gains_by_text(rows, model, key, keep)
     if isinstance(model.classes, Lookup):
         with_classes = lookup_join(summed, model.classes, by, "left", spread=key)
     else:
@@ -161,6 +158,33 @@ def count_scores(
     return pick_class(staged).select(*key, *by, *keep, "dist", "predicted", "prob")
 
 
+def _gains_by_text(rows: DataFrame, model: CountModel, key: list[str], keep: list[str]) -> DataFrame:
+    """(key..., by..., keep..., _n, _g0...): counted terms of each text and what they add to each class.
+
+    Terms beyond a broadcast meet their rows in two steps.  The head of the terms met most often in training is
+    broadcast, and what it adds is summed up where the text is read; only terms that it does not have, once per text with their
+    number, are shuffled to the tail.  So a frequent term, be it a third of all, never moves.
+    """
+    by, known_only, lookup = model.by, model.known_only, model.terms
+    gains = [f"_g{i}" for i in range(len(model.labels))]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    if lookup.head is None:
+        joined = lookup_join(rows, lookup, [*by, "term"], "left", spread=key)
+        counted = F.col("_known" if known_only else "term").isNotNull()
+        return joined.groupBy(*key, *by, *keep).agg(F.count(F.when(counted, 1)).alias("_n"), *[total(g).alias(g) for g in gains])
+    met = rows.join(F.broadcast(lookup.head), [*by, "term"], "left")
+    missed = F.when(F.col("_known").isNull(), F.col("term"))
+    in_place = met.groupBy(*key, *by, *keep, missed.alias("term")).agg(F.count("_known").alias("_n"), F.count("term").alias("_all"), *[total(g).alias(g) for g in gains])
+    # The one row of a text without a missed term is dealt by its text, so that these rows do not meet.
+    own = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    dealt = in_place.select(*key, *by, *keep, F.col("term").isNotNull().alias("_missed"), F.coalesce("term", own).alias("term"), "_n", "_all", *gains)
+    tail = lookup.tail.select(*by, "term", F.lit(True).alias("_missed"), "_known", *[F.col(g).alias(f"_t{g}") for g in gains])
+    both = dealt.join(tail, [*by, "term", "_missed"], "left")
+    counted = F.when(F.col("_missed"), F.when(F.col("_known").isNotNull() | F.lit(not known_only), F.col("_all")).otherwise(0)).otherwise(F.col("_n"))
+    added = [total(F.when(F.col("_missed"), F.col("_all") * F.coalesce(f"_t{g}", F.lit(0.0))).otherwise(F.col(g))).alias(g) for g in gains]
+    return both.groupBy(*key, *by, *keep).agg(F.sum(counted).alias("_n"), *added)
+
+
 # The character model of the language classifier.
 CHAR_ORDER = 8
 CHAR_ALPHA = 0.5

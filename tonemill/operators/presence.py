@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonemill.operators.counts import TEXTS, CountModel, class_names, count_fit, count_scores
+from tonemill.operators.counts import MET, TEXTS, CountModel, class_names, count_fit, count_scores
 from tonemill.operators.joins import lookup_join, store_lookup
 from tonemill.operators.words import gains_from_counts
 from tonemill.session import durable
@@ -57,10 +57,10 @@ def prepare_presence(stats: DataFrame, by: list[str]) -> CountModel:
     cells = lookup_join(stored.filter(~is_text), sizes, [*by, "label"], "inner", spread=["feature"])
     p = F.col("n") / F.col("n_c")
     var = F.greatest(p * (1 - p), F.lit(LEAST_VARIANCE))
-    cells = cells.select(*by, "label", "feature", p.alias("p"), var.alias("var"))
+    cells = cells.select(*by, "label", "feature", "n", p.alias("p"), var.alias("var"))
     correction = (2 * F.col("p") - 1) / (2 * F.col("var")) - UNSEEN_PRESENT
     gains = [F.coalesce(F.sum(F.when(F.col("label") == name, correction)), F.lit(0.0)).alias(f"_g{i}") for i, name in enumerate(labels)]
-    terms = store_lookup(cells.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), *gains), "terms")
+    terms = store_lookup(cells.groupBy(*by, F.col("feature").alias("term")).agg(F.lit(1).alias("_known"), F.sum("n").alias(MET), *gains), "terms", MET)
 
     seen = cells.groupBy(*by, "label").agg(F.sum(_absent(F.col("p"), F.col("var")) - UNSEEN_ABSENT).alias("seen"))
     known = terms.table.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("v"))
