@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tonemill.functions import text
 from tonemill.functions.identity import domain_list, domain_or_default
-from tonemill.operators import bayes, evaluate, mllib, neighbours, rows
+from tonemill.operators import bayes, evaluate, increments, mllib, neighbours, rows
 from tonemill.operators.joins import lookup_join
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentence_scores, sentiment_vectors
 from tonemill.plans import training as training_plans
@@ -451,3 +451,83 @@ def a10(spark, sf):
     model = mllib.fit_estimator(made, ["a", "t", "q"], "tree", maxDepth=1, seed=1)
     impurity = 1 - F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda s, p: s + p * p)
     return model.transform(made).agg(F.round(F.avg(impurity), 6).alias("gini"))
+
+
+# ---- learners that go on from a stored model -------------------------------------------------------
+
+_W = increments.BIN_WIDTH
+_XLX = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
+
+
+def _entropy_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} + {b} > 0 THEN log2({a} + {b}) - ({_XLX.format(a)} + {_XLX.format(b)}) / ({a} + {b}) ELSE 0 END)"
+
+
+_FIRST_SPLIT = f"""{TRAINING},
+  binned AS (SELECT domain, feature, CAST(floor(x / {_W}) AS BIGINT) AS bin, count(*) FILTER (label = 'neg') * 1.0 AS a, count(*) FILTER (label = 'pos') * 1.0 AS b
+             FROM ({melted("train", "domain, label")}) GROUP BY ALL),
+  sides AS (SELECT domain, feature, bin, sum(a) OVER w AS la, sum(b) OVER w AS lb, sum(a) OVER p AS ta, sum(b) OVER p AS tb FROM binned
+            WINDOW w AS (PARTITION BY domain, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY domain, feature)),
+  cuts AS (SELECT domain, feature, (bin + 1) * {_W} AS cut, ta + tb AS n, (ta > 0)::INT + (tb > 0)::INT AS kinds,
+             round({_entropy_sql("ta", "tb")} - ((la + lb) * {_entropy_sql("la", "lb")} + (ta + tb - la - lb) * {_entropy_sql("(ta - la)", "(tb - lb)")}) / (ta + tb), 9) AS gain
+           FROM sides WHERE ta + tb - la - lb > 0),
+  per AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY domain, feature ORDER BY gain DESC, cut) = 1),
+  led AS (SELECT *, coalesce(lead(gain) OVER o, 0) AS second, row_number() OVER o AS nth FROM per WINDOW o AS (PARTITION BY domain ORDER BY gain DESC, feature)),
+  best AS (SELECT *, log2(greatest(kinds, 2)) * sqrt(ln({1 / increments.DELTA}) / (2 * n)) AS bound FROM led WHERE nth = 1),
+  judged AS (SELECT *, gain > 0 AND (gain - second > bound OR bound < {increments.TIE}) AS splits FROM best)"""
+
+
+@query("a10_hoeffding_split", f"""WITH {_FIRST_SPLIT}
+  SELECT domain, feature, cut, abs(gain) AS gain, abs(second) AS second, CAST(n AS BIGINT) AS n, round(bound, 6) AS bound, splits FROM judged""")
+def a10_hoeffding(spark, sf):
+    """The best first split of the sentiment vectors of each language, and whether the rows seen are enough to make it."""
+    rows_ = training(spark, sf).withColumn("node", F.lit(1).cast("long"))
+    found = increments.split_candidates(durable(increments.leaf_counts(rows_, FEATURES), "tree-counts"), ["neg", "pos"])
+    return found.select("domain", "feature", "cut", "gain", "second", "n", F.round("bound", 6).alias("bound"), "splits")
+
+
+@query("a10_hoeffding_root", f"""WITH {_FIRST_SPLIT}
+  SELECT domain, CAST(sum(n) AS BIGINT) AS n_texts, any_value(feature) AS feature, any_value(cut) AS cut FROM judged WHERE splits GROUP BY domain
+  UNION ALL SELECT domain, CAST(n AS BIGINT), NULL, NULL FROM judged WHERE NOT splits""")
+def a10_root(spark, sf):
+    """Trees learned by name, stored and loaded again: the texts they have seen and the split at their root."""
+    path = scratch(spark, "registry")
+    texts = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
+    training_plans.build(texts, path, 1, "hoeffding_tree", training_plans.FeatureOptions(lexicon=lexicon(spark)))
+    params = training_plans.load_model(spark, path, "hoeffding_tree").params
+    seen = params.filter("feature = ''").groupBy("domain").agg(F.sum("n").alias("n_texts"))
+    root = params.filter("label = '' AND feature LIKE '1|%'").select("domain", F.substring("feature", 3, 100).alias("feature"), F.col("mean").alias("cut"))
+    return seen.join(root, "domain", "left")
+
+
+def _svm_sql(rounds: int, penalty: float) -> str:
+    """Weights per language after some rounds of subgradient steps, written out round by round."""
+    dims = [*FEATURES, "bias"]
+    margin = lambda i: " + ".join(f"w{i}.{f} * t.{f}" for f in dims)
+    parts = [f"{TRAINING}, t AS (SELECT domain, CASE label WHEN 'pos' THEN 1.0 ELSE -1.0 END AS y, {', '.join(FEATURES)}, 1.0 AS bias FROM train)",
+             "n AS (SELECT domain, count(*) AS rows_ FROM t GROUP BY domain)", f"w0 AS (SELECT domain, {', '.join(f'0.0::DOUBLE AS {f}' for f in dims)} FROM n)"]
+    for i in range(rounds):
+        step = f"(1.0 / ({penalty} * {i + 1}))"
+        pulls = ", ".join(f"sum(y * t.{f}) AS {f}" for f in dims)
+        parts.append(f"g{i} AS (SELECT t.domain, {pulls} FROM t JOIN w{i} ON t.domain = w{i}.domain WHERE y * ({margin(i)}) < 1 GROUP BY t.domain)")
+        after = ", ".join(f"(1 - {step} * {penalty}) * w{i}.{f} + {step} * coalesce(g{i}.{f}, 0) / rows_ AS {f}" for f in dims)
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT w{i}.domain, {after} FROM w{i} JOIN n ON n.domain = w{i}.domain LEFT JOIN g{i} ON g{i}.domain = w{i}.domain)")
+    rows_ = " UNION ALL ".join(f"SELECT domain, '{f}' AS feature, round({f}, 6) + 0.0 AS weight FROM w{rounds}" for f in dims)
+    return f"WITH {', '.join(parts)} {rows_}"
+
+
+@query("a9_pegasos_svm", _svm_sql(8, 0.1))
+def a9_pegasos(spark, sf):
+    """Weights of the class ``pos`` for the sentiment vectors of every language, all languages in the same jobs."""
+    params = increments.svm_fit(training(spark, sf), FEATURES, rounds=8, penalty=0.1)
+    found = params.filter("label = 'pos' AND feature <> ''")
+    return found.select("domain", "feature", (F.round("mean", 6) + 0.0).alias("weight"))
+
+
+@query("a9_pegasos_increment", _svm_sql(6, 0.1))
+def a9_pegasos_increment(spark, sf):
+    """Two rounds, then four more that go on from the stored weights, are six rounds."""
+    made = durable(training(spark, sf), "training")
+    stored = increments.svm_fit(made, FEATURES, rounds=2, penalty=0.1)
+    params = increments.svm_fit(made, FEATURES, stored, rounds=4, penalty=0.1).filter("label = 'pos' AND feature <> ''")
+    return params.select("domain", "feature", (F.round("mean", 6) + 0.0).alias("weight"))

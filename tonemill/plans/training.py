@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.functions.identity import row_digest
-from tonemill.operators import bayes, counts, mllib, neighbours, presence
+from tonemill.operators import bayes, counts, increments, mllib, neighbours, presence
 from tonemill.operators.ensemble import ensemble
 from tonemill.operators.joins import Lookup, as_lookup
 from tonemill.operators.rows import usable_rows, with_domain
@@ -21,7 +21,7 @@ from tonemill.session import durable
 from tonemill.sources.lexicon import prepare_lexicon
 from tonemill.sources.registry import latest_headers, latest_model, load_headers, save_models
 
-LEARNERS = ["gaussian_nb", "multinomial_nb", "presence_nb", "nearest", "local", *mllib.ESTIMATORS]
+LEARNERS = ["gaussian_nb", "multinomial_nb", "presence_nb", *increments.LEARNERS, "nearest", "local", *mllib.ESTIMATORS]
 #: Learners whose models are tables of counts of terms.
 OF_WORDS = ("multinomial_nb", "presence_nb")
 
@@ -82,6 +82,8 @@ def train(
     vectors = _vectors(rows, features, key, ["domain", "label"])
     if learner == "gaussian_nb":
         return TextModel(learner, features, params=bayes.gaussian_fit(vectors, FEATURES, ["domain"]), options=options)
+    if learner in increments.LEARNERS:
+        return TextModel(learner, features, params=increments.LEARNERS[learner][0](vectors, FEATURES, **options), options=options)
     vectors = durable(vectors, "training-vectors")
     if learner in ("nearest", "local"):
         return TextModel(learner, features, fitted=vectors, options=options)
@@ -113,6 +115,8 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
     vectors = _vectors(rows, model.features, key, ["domain", *keep])
     if model.learner == "gaussian_nb":
         return bayes.classify_vectors(vectors, model.params, FEATURES, FEATURE_WEIGHTS, spread=[key])
+    if model.learner in increments.LEARNERS:
+        return bayes.pick_class(increments.LEARNERS[model.learner][1](vectors, model.params, FEATURES))
     vectors = durable(vectors, "scoring-vectors")
     lazy = model.learner in ("nearest", "local")
     known = domains_of(model.fitted) if lazy else sorted(model.fitted)
@@ -130,7 +134,7 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
 
 def prepare_model(model: TextModel) -> TextModel:
     """The model with its parameters in the stored scoring form, to ask it several times; one that has it already stays."""
-    if not isinstance(model.params, DataFrame):
+    if not isinstance(model.params, DataFrame) or model.learner in increments.LEARNERS:
         return model
     if model.learner == "multinomial_nb":
         return replace(model, params=counts.prepare_counts(model.params, ["domain"]))
@@ -185,7 +189,7 @@ def _described(model: TextModel, path: str) -> str:
     if not isinstance(f.tokenizer, str) or f.tagger is not None or f.lemmas is not None:
         raise ValueError("tokenizers and taggers given as functions, and lemma tables, cannot be stored with a model")
     said: dict[str, Any] = {"tokenizer": f.tokenizer, "feature_select": f.feature_select, "lexicon": None}
-    if model.learner == "gaussian_nb":
+    if model.learner not in OF_WORDS:
         prepared = f.lexicon if isinstance(f.lexicon, Lookup) else prepare_lexicon(f.lexicon)
         table = prepared.table
         cells = F.sum(row_digest([F.col(c).cast("string") for c in sorted(table.columns)]))
@@ -210,7 +214,7 @@ def load_model(spark: SparkSession, path: str, learner: str = "gaussian_nb", dom
     if len(kinds) != 1:
         raise ValueError(f"{'no model' if not kinds else 'models of different features'} of {learner} at {path}; name a domain")
     options = described_features(spark, path, kinds[0])
-    names = ["domain", "label", "feature", "n", *(["mean", "m2"] if learner == "gaussian_nb" else [])]
+    names = ["domain", "label", "feature", "n", *([] if learner in OF_WORDS else ["mean", "m2"])]
     return TextModel(learner, options, params=latest_model(spark, path, domain, learner).select(*names))
 
 
@@ -256,6 +260,10 @@ def increment(
             new = new.join(known, ["domain", "feature"], "left_semi").select("domain", "label", "feature", "n").unionByName(first)
         merged = counts.merge_counts(stored.unionByName(new), ["domain"])
         return save_models(merged, path, learner, generated_on, features=_described(every if not features.feature_select else replace(every, features=features), path))
+    if learner in increments.LEARNERS:
+        vectors = _vectors(with_domain(usable_rows(df)), features, key, ["domain", "label"])
+        params = increments.LEARNERS[learner][0](vectors, FEATURES, stored if stored.limit(1).count() else None)
+        return save_models(params, path, learner, generated_on, features=_described(TextModel(learner, features), path))
     if learner != "gaussian_nb":
         raise ValueError(f"{learner} cannot be trained by increments")
     model = train(df, learner, features, key)
