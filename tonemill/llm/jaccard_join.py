@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonemill.llm.components import label_components
 from tonemill.llm.shingles import shingle_sets
@@ -294,13 +295,27 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(found, run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row; see the module for what is linked."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _carried_on(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after more links: only components that the new links touch are labelled again."""
+    names = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    between = found.join(names("a"), "a", "left").join(names("b"), "b", "left")
+    ends = durable(between.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")), "jaccard-links")
+    merged = label_components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    new = ends.select(F.col("a").alias("node"), F.col("x").alias("label")).union(ends.select("b", "y")).where("node = label")
+    every = labels.union(new).distinct()
+    changed = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left")
+    return durable(changed.select("node", F.coalesce("lower", "label").alias("label")), "jaccard-labels")
+
+
+def _labelled_sets(rows: DataFrame, tie_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """((id, n, key) of every text, (node, label, id) of every set with its smallest id) of rows (id, text).
+
+    With ``tie_ids`` the sets of one id are linked, and texts without an id take no part.
+    """
+    spark = rows.sparkSession
     info = durable(describe(rows), "jaccard-sets")
     per_text = info.where("piece is null").select("id", "n", "key", "digest", "sig")
-    sets = per_text.where("id is not null and key is not null")
+    sets = per_text.where("key is not null" + (" and id is not null" if tie_ids else ""))
     nodes = durable(sets.select(F.col("key").alias("node"), "digest", "n", "sig").distinct(), "jaccard-nodes")
     if nodes.groupBy("node").count().where("count > 1").limit(1).count():
         raise ValueError("two sets have the same 64-bit name; change the digest")
@@ -309,14 +324,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Common shingles are dealt by their sets as well; nothing waits for all their rows to meet.
     deal = F.when(F.col("common"), F.xxhash64("h", "key")).otherwise(F.col("h"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = prefixes(rows.where("id is not null"), sketch_of(info)).repartition(parts, deal).sortWithinPartitions("h", "key")
+    found = prefixes(rows.where("id is not null") if tie_ids else rows, sketch_of(info)).repartition(parts, deal).sortWithinPartitions("h", "key")
     listed = durable(shared_only(found).withColumnRenamed("key", "node"), "jaccard-prefixes")
 
-    # An id that comes with several texts ties their sets together.
-    repeated = sets.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("id", "a")
-    tied = sets.join(repeated, "id").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    links = durable(tied, "jaccard-links")
-    labels = label_components(links)
+    if tie_ids:  # an id that comes with several texts ties their sets together
+        repeated = sets.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("id", "a")
+        tied = sets.join(repeated, "id").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+        labels = label_components(durable(tied, "jaccard-links"))
+    else:
+        labels = spark.createDataFrame([], "node long, label long")
 
     texts = durable(_texts_of(rows, firsts.join(listed.select("node").distinct(), "node")), "jaccard-texts")
     turn = 0
@@ -328,17 +344,51 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             made = _trial_pairs(labelled, turn) if turn else _star_pairs(labelled, F.struct("n", "node"))
         pairs = durable(_plausible(made, nodes.select("node", "n", "sig")), "jaccard-pairs")
         found = durable(_verified(pairs, texts), "jaccard-found")
-        links = links.union(found)
-        labels = label_components(links)
+        labels = _carried_on(labels, found)
         if turn < 0:
             turn = None
         else:  # go on drawing while it pays, then compare all that is left
             turn = turn + 1 if found.count() > WORTH * pairs.count() else -1
+    return per_text.select("id", "n", "key"), firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
 
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row; see the module for what is linked."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    per_text, named = _labelled_sets(rows, tie_ids=True)
     # A component is named after the smallest id of any of its texts.
-    named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_set = named.join(names, "label").select(F.col("node").alias("key"), "component_id")
     answer = per_text.join(by_set, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return answer.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row for each group of linked texts: that of the smallest id, then of the smallest text.
+
+    Texts decide, not ids: rows of one id stay apart unless their texts are linked, and of equal rows one stays.  A row
+    with a null id, or without any word, is linked with nothing and stays.  Columns must be comparable.
+    """
+    ids, texts = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = docs.select(ids.alias("id"), texts.alias("text")).where("id is not null")
+    # Without ties an id is needed for naming only; the texts of one id are sets of their own.
+    per_text, named = _labelled_sets(rows, tie_ids=False)
+    labelled = per_text.where("key is not null").join(named.select(F.col("node").alias("key"), "label"), "key")
+    crowded = labelled.groupBy("label").agg(F.count("*").alias("rows")).where("rows > 1").select("label")
+    crowded = durable(named.join(crowded, "label").select(F.col("node").alias("_set"), F.col("label").alias("_group")), "jaccard-crowded")
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ids.alias("_id"), texts.alias("_words"))
+    schema = T.StructType([*whole.select("_row").schema.fields, T.StructField("_id", T.LongType()), T.StructField("_set", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            keys = [_key(_digest(s)) for s in shingle_sets(_texts(batch, 2))]
+            keys = [None if i is None else k for i, k in zip(batch.column(1).to_pylist(), keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["_row", "_id", "_set"])
+
+    marked = lookup_join(map_batches(whole, run, schema), crowded, ["_set"], "left", spread=["_id"])
+    alone = marked.where("_group is null").select("_row.*")
+    least = F.min(F.struct("_id", F.col(f"_row.`{text_col}`").alias("_text"), "_row")).alias("_least")
+    first = marked.where("_group is not null").groupBy("_group").agg(least).select("_least._row.*")
+    return alone.union(first)
