@@ -155,3 +155,60 @@ def test_learners_by_name_through_the_registry(spark, tmp_path):
         assert model.params.filter("feature = ''").agg(F.sum("n")).first()[0] == 60
         assert {r.predicted for r in plans.classify(df, model, keep=["label"]).filter("label = 'pos'").collect()} <= {"pos", "neg"}
     assert all(r.predicted == r.label for r in plans.classify(df, model, keep=["label"]).collect())
+
+
+def test_nominal_and_numeric_attributes_against_plain_bayes(spark):
+    from tonemill.operators import mixed
+
+    rnd = random.Random(9)
+    rows = [(i, "d" if i % 3 else "e", rnd.gauss(i % 2, 1.0), rnd.choice("abc") if i % 5 else None, str(rnd.randrange(2 + i % 2)), "ny"[i % 2]) for i in range(120)]
+    schema = "doc_id long, domain string, x double, c string, k string, label string"
+    df = spark.createDataFrame(rows, schema)
+    stats = mixed.mixed_fit(df, ["x"], ["c", "k"], ["domain"])
+    halves = mixed.mixed_fit(df.filter("doc_id < 50"), ["x"], ["c", "k"], ["domain"]).unionByName(mixed.mixed_fit(df.filter("doc_id >= 50"), ["x"], ["c", "k"], ["domain"]))
+    asked = spark.createDataFrame([(1, "d", 0.3, "a", "1", ""), (2, "d", 0.9, None, "2", ""), (3, "e", -1.0, "never", None, ""), (4, "none", 0.0, "a", "0", "")], schema)
+    for model in (stats, mixed.merge_mixed(halves, ["domain"])):
+        got = {r.doc_id: r for r in mixed.mixed_classify(asked, model, ["x"], ["c", "k"], ["domain"], spread=["doc_id"]).collect()}
+        assert got[4].predicted is None and len(got) == 4
+        for i, d, x, c, k, _ in asked.collect()[:3]:
+            scores = {}
+            mine = [r for r in rows if r[1] == d]
+            moments = {y: np.array([r[2] for r in mine if r[5] == y]) for y in "ny"}
+            floor = max(m.var() for m in moments.values()) * bayes.VARIANCE_FLOOR
+            for y in "ny":
+                var = moments[y].var() + floor
+                score = math.log(len(moments[y]) / len(mine)) - 0.5 * math.log(2 * math.pi * var) - (x - moments[y].mean()) ** 2 / (2 * var)
+                for place, value in ((3, c), (4, k)):
+                    if value is not None:
+                        known = [r[place] for r in mine if r[place] is not None]
+                        own = [r[place] for r in mine if r[place] is not None and r[5] == y]
+                        score += math.log((own.count(value) + 1) / (len(own) + len(set(known))))
+                scores[y] = math.exp(score)
+            assert {s.label: s.prob for s in got[i].dist} == {y: pytest.approx(scores[y] / sum(scores.values())) for y in "ny"}
+
+
+def test_only_the_newest_versions_are_read(spark, tmp_path):
+    from tonemill.sources import registry
+
+    path = str(tmp_path / "registry")
+    made = lambda v, domain: spark.createDataFrame([(domain, "a", "x", 3, float(v), 1.0), (domain, "b", "x", 4, 2.0 * v, 1.0)], "domain string, label string, feature string, n long, mean double, m2 double")
+    for v in range(1, 6):
+        registry.save_models(made(v, "d/1 =%$").unionByName(made(v + 10, "other")), path, "gaussian_nb", v)
+    newest = registry.latest_model(spark, path)
+    assert {(r.domain, r.label): r["mean"] for r in newest.collect()} == {("d/1 =%$", "a"): 5.0, ("d/1 =%$", "b"): 10.0, ("other", "a"): 15.0, ("other", "b"): 30.0}
+    assert len({f.rsplit("/", 1)[0] for f in newest.inputFiles()}) == 2
+    assert registry.latest_model(spark, path, domain="other").count() == 2
+    assert registry.latest_model(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_an_observed_load_counts_what_it_stores(spark, tmp_path):
+    from tonemill.operators import evaluate
+
+    lines = spark.createDataFrame([(f"{i}",) for i in range(10)], "value string")
+    split = lambda d: d.withColumn("reason", F.when(F.col("value") > "6", "too large"))
+    kept, rejected, audit = evaluate.observed_load(lines, split, str(tmp_path / "whole"))
+    assert (kept.count(), rejected.count()) == (7, 3) and tuple(audit.first()) == (10, 7, 3, 0, False)
+    lossy = lambda d: split(d).filter("value <> '2'")
+    assert tuple(evaluate.observed_load(lines, lossy, str(tmp_path / "cut"))[2].first()) == (10, 6, 3, 1, True)
+    nothing = evaluate.observed_load(lines.limit(0), split, str(tmp_path / "none"))
+    assert tuple(nothing[2].first()) == (0, 0, 0, 0, False) and nothing[0].count() == 0

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonemill.functions.identity import DEFAULT_DOMAIN
 from tonemill.operators.bayes import classify_vectors, gaussian_fit, merge_gaussian
@@ -141,3 +144,25 @@ def line_audit(n_read: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataF
     one = sizes[0].join(sizes[1], "_k").join(sizes[2], "_k").drop("_k")
     lost = F.col("n_read") - F.col("n_kept") - F.col("n_rejected")
     return one.withColumn("n_lost", lost).withColumn("differs", lost != 0)
+
+
+def observed_load(lines: DataFrame, split: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept rows, rejected rows, audit) of a load whose counts are taken while it is written.
+
+    ``split`` turns lines into rows with a ``reason`` where one is rejected.  The lines are read once: they are counted
+    before the split, its rows after it, and both kinds are stored in the same job.  The audit is like that of ``line_audit``.
+    """
+    spark = lines.sparkSession
+    before, after = Observation(), Observation()
+    rows = split(lines.observe(before, F.count(F.lit(1)).alias("n_read")))
+    rejected = F.col("reason").isNotNull()
+    counted = rows.observe(after, F.count_if(~rejected).alias("n_kept"), F.count_if(rejected).alias("n_rejected"))
+    counted.withColumn("_rejected", rejected).write.mode("overwrite").partitionBy("_rejected").parquet(path)
+    n = before.get | after.get
+    lost = n["n_read"] - n["n_kept"] - n["n_rejected"]
+    audit = spark.createDataFrame(
+        [(n["n_read"], n["n_kept"], n["n_rejected"], lost, lost != 0)], "n_read long, n_kept long, n_rejected long, n_lost long, differs boolean"
+    )
+    schema = T.StructType([*rows.schema.fields, T.StructField("_rejected", T.BooleanType())])
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.filter(~F.col("_rejected")).drop("_rejected", "reason"), stored.filter("_rejected").drop("_rejected"), audit

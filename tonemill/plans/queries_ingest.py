@@ -113,6 +113,18 @@ def a17_lines(spark, sf):
     return audit("whole", bad).union(audit("cut", bad.limit(0))).select("load", "n_read", "n_kept", "n_rejected", "n_lost", "differs")
 
 
+@query("a17_observed_audit", f"""WITH {_LINES}, n AS (SELECT count(*) AS n_read, count(*) FILTER (labelled OR lang = 'fr') AS n_kept FROM lines)
+  SELECT 'whole' AS load, n_read, n_kept, n_read - n_kept AS n_rejected, 0 AS n_lost, false AS differs FROM n UNION ALL
+  SELECT 'cut', n_read, n_kept, 0, n_read - n_kept, n_read <> n_kept FROM n""")
+def a17_observed(spark, sf):
+    """The same loads, counted while they are stored; the second one throws away what it cannot use."""
+    lines = spark.read.text(write_lines(spark, sf)).select("value")
+    whole = lambda d: corpus.split_lines(d, corpus.parse_format("sentence score"))
+    cut = lambda d: whole(d).filter("reason is null")
+    audits = [evaluate.observed_load(lines, split, scratch(spark, "load"))[2].withColumn("load", F.lit(name)) for name, split in (("whole", whole), ("cut", cut))]
+    return audits[0].union(audits[1]).select("load", "n_read", "n_kept", "n_rejected", "n_lost", "differs")
+
+
 @query("j2_score_mapping", """SELECT doc_id, CASE quality WHEN 0 THEN 'poor' ELSE '1' END AS label FROM labels""")
 def j2(spark, sf):
     """A code outside the map stays as it is."""

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from tonemill.functions import text
 from tonemill.functions.identity import domain_list, domain_or_default
-from tonemill.operators import bayes, evaluate, increments, mllib, neighbours, rows
+from tonemill.operators import bayes, evaluate, increments, mixed, mllib, neighbours, rows
 from tonemill.operators.joins import lookup_join
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentence_scores, sentiment_vectors
 from tonemill.plans import training as training_plans
 from tonemill.plans.fixtures import (
     LABELS, LEX, MEASURES, NB, ROUNDED_MEASURES, SENTENCE_SCORES, SENTENCES, TRAINING, VECTORS, WORD_LIST,
-    documents, labelled_texts, labels, lexicon, measures_sql, melted, query, table, training, vectors,
+    ARGMAX, documents, gaussian_sql, labelled_texts, labels, lexicon, measures_sql, melted, query, table, training, vectors,
 )
 from tonemill.session import durable, scratch
 from tonemill.sources.lexicon import (
@@ -531,3 +531,25 @@ def a9_pegasos_increment(spark, sf):
     stored = increments.svm_fit(made, FEATURES, rounds=2, penalty=0.1)
     params = increments.svm_fit(made, FEATURES, stored, rounds=4, penalty=0.1).filter("label = 'pos' AND feature <> ''")
     return params.select("domain", "feature", (F.round("mean", 6) + 0.0).alias("weight"))
+
+
+_NOMINAL = f"""{TRAINING}, {gaussian_sql("train", "vd", ["domain"], ["doc_id", "domain", "source"]).replace("FROM vd", "FROM (SELECT *, lang AS domain FROM vec)")},
+  vals AS (SELECT domain, label, source, count(*) AS n FROM train GROUP BY ALL),
+  kinds AS (SELECT domain, count(DISTINCT source) AS v FROM train GROUP BY domain),
+  sized AS (SELECT domain, label, count(*) AS n_c FROM train GROUP BY ALL),
+  joint AS (SELECT doc_id, ll.domain, ll.label, score + ln((coalesce(n, 0) + 1.0) / (n_c + v)) AS score FROM ll JOIN kinds ON kinds.domain = ll.domain
+           JOIN sized ON sized.domain = ll.domain AND sized.label = ll.label
+           LEFT JOIN vals ON vals.domain = ll.domain AND vals.label = ll.label AND vals.source = ll.source),
+  mixed AS (SELECT doc_id, domain, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM joint)"""
+
+
+@query("r8_nominal_bayes", f"""WITH {_NOMINAL}
+  SELECT doc_id, domain, arg_max(label, (e, CASE WHEN label = 'neg' THEN 1 ELSE 0 END)) AS predicted, round(max(e) / sum(e), 6) AS prob
+  FROM mixed GROUP BY doc_id, domain""")
+def r8_bayes(spark, sf):
+    """Sentiment vectors and, as a nominal attribute, the source of a text; every document is labelled."""
+    made = durable(training(spark, sf, keep=["source"]), "training")
+    stats = mixed.mixed_fit(made, FEATURES, ["source"], ["domain"])
+    every = vectors(spark, sf, ["lang", "source"]).withColumnRenamed("lang", "domain")
+    scored = mixed.mixed_classify(every, stats, FEATURES, ["source"], ["domain"], FEATURE_WEIGHTS, spread=["doc_id"])
+    return scored.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))

@@ -138,15 +138,50 @@ def complete_headers(headers: DataFrame, params: DataFrame) -> DataFrame:
     return headers.join(read, ["domain", "model_id"]).filter(F.col("_read") == F.col("n_params")).drop("_read")
 
 
+def model_folder(spark: SparkSession, path: str, domain: str, model_id: str) -> str:
+    """The folder of one model's parameters, with names escaped as the writer does."""
+    part = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    return f"{path}/params/{part('domain', domain)}/{part('model_id', model_id)}"
+
+
+def read_models(spark: SparkSession, path: str, models: list[tuple[str, str]]) -> DataFrame:
+    """The parameters of some models (domain, id): their folders are listed and read, and no others."""
+    jvm, conf, folders = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for domain, model_id in models:
+        at = jvm.org.apache.hadoop.fs.Path(model_folder(spark, path, domain, model_id))
+        if at.getFileSystem(conf).exists(at):
+            folders.append(at.toString())
+    if not folders:
+        return spark.createDataFrame([], PARAM_SCHEMA)
+    reader = spark.read.schema(PARAM_SCHEMA).option("ignoreCorruptFiles", "true").option("basePath", f"{path}/params")
+    return reader.parquet(*folders)
+
+
 def latest_model(spark: SparkSession, path: str, domain: str | None = None, algorithm: str | None = None) -> DataFrame:
-    """Parameters of the newest complete model of each registry key, or of one domain."""
-    headers, params = load_headers(spark, path), load_models(spark, path)
+    """Parameters of the newest complete model of each registry key, or of one domain.
+
+    A header says how many parameters its model has.  The newest model of each key is read and counted; only where
+    one is not whole is the one before it tried, so what is read does not grow with the versions stored.
+    """
+    headers = load_headers(spark, path)
     if domain is not None:
-        headers, params = headers.filter(F.col("domain") == domain), params.filter(F.col("domain") == domain)
+        headers = headers.filter(F.col("domain") == domain)
     if algorithm is not None:
         headers = headers.filter(F.col("algorithm") == algorithm)
-    newest = latest_headers(complete_headers(headers, params)).select("domain", "model_id").distinct()
-    return params.join(newest, ["domain", "model_id"], "left_semi")
+    ordered = headers.groupBy("registry_key").agg(F.sort_array(F.collect_set(F.struct("generated_on", "model_id", "domain", "n_params")), asc=False).alias("versions"))
+    newest = {r["registry_key"]: r["newest"] for r in ordered.select("registry_key", F.col("versions")[0].alias("newest")).collect()}  # one per model in use
+    sound: list[tuple[str, str]] = []
+    depth = 0
+    while newest:
+        asked = sorted({(v["domain"], v["model_id"]) for v in newest.values()})
+        counted = read_models(spark, path, asked).groupBy("domain", "model_id").agg(F.count(F.lit(1)).alias("n")).collect()
+        found = {(r["domain"], r["model_id"]): r["n"] for r in counted}
+        whole = {key for key, v in newest.items() if found.get((v["domain"], v["model_id"])) == v["n_params"]}
+        sound += [(newest[key]["domain"], newest[key]["model_id"]) for key in whole]
+        broken, depth = [key for key in newest if key not in whole], depth + 1
+        before = ordered.filter(F.col("registry_key").isin(broken)).select("registry_key", F.try_element_at("versions", F.lit(depth + 1)).alias("newest"))
+        newest = {r["registry_key"]: r["newest"] for r in before.filter("newest is not null").collect()} if broken else {}
+    return read_models(spark, path, sorted(set(sound)))
 
 
 def models_version(spark: SparkSession, path: str, algorithm: str) -> str | None:
