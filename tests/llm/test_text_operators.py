@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -251,3 +252,28 @@ def test_a_language_with_few_documents_rejects_unfit_text(spark, labelled, few):
     assert all(language_id.predict(model, noise)[4].to_pylist())
     genuine = language_id.predict(model, [t for _, t, _ in german[-30:]])
     assert few == 1 or genuine[0].to_pylist() == ["de"] * 30 and not any(genuine[4].to_pylist())
+
+
+@pytest.mark.parametrize("part", ["a", "aA1.", "abcdefghijklmnopqrst1.", "token=aB3dE5fG7hJ9kL1mN3pQ ", "0123456789abcdef", "aB3+", "password  "])
+def test_secret_scan_takes_time_in_proportion(part):
+    """Eight times the text takes about eight times as long, not sixty-four."""
+    scanner = secrets.Scanner()
+    times = []
+    for size in (40_000, 320_000):
+        text = part * (size // len(part))
+        started = time.perf_counter()
+        scanner.scan(text)
+        times.append(time.perf_counter() - started)
+    assert times[1] < 30 * times[0] + 0.2
+
+
+def test_a_language_of_few_documents_is_learned(spark):
+    english = [(i, f"the quick brown fox number {i} jumps over the lazy dog and runs away from here", "en") for i in range(60)]
+    german = [(k, "der schnelle braune Fuchs springt heute wieder über den faulen Hund und läuft davon", "de") for k in range(1000, 1020)]
+    for one in german:
+        rows = spark.createDataFrame([*english, one], "id long, text string, lang string")
+        drawn = rows.where("lang = 'de'").where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0).count()
+        if drawn:  # its only document is one to calibrate with
+            assert language_id.fit(rows).languages == ["de", "en"]
+            return
+    raise AssertionError("no document is drawn to calibrate")

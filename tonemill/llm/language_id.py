@@ -28,6 +28,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,17 @@ from tonemill.llm.workers import map_batches
 
 ORDER = 4
 UNKNOWN = "und"
+#: The share of calibration documents whose cross-entropy is usual; a single odd one does not set the limit.
+USUAL_SHARE = 0.995
+#: Characters, and rows of any kind, that are scored at a time.
+SCORED_AT_ONCE = 150_000
+ROWS_AT_ONCE = 1_000
 #: Parameter: languages that models may be fitted for.
 MAX_LANGUAGES = 1_000
 #: How sharply a lower cross-entropy per character raises the score.
 SHARPNESS = 12.0
-#: A text is rejected above this multiple of the highest usual cross-entropy, if it has this many letters.
-REJECT_ABOVE, REJECT_LETTERS = 1.35, 20
+#: A text is rejected above this multiple of the usual cross-entropy, if it has this many letters.
+REJECT_ABOVE, REJECT_LETTERS = 1.7, 20
 #: Calibration documents that a language must have; with fewer, all its documents calibrate in turns.
 CALIBRATED_BY = 20
 #: Turns of a language with few documents; each leaves out another part of them.
@@ -140,7 +146,7 @@ class LanguageModels:
         total = np.zeros((len(texts), len(self.languages)))
         count = np.zeros(len(texts), np.int64)
         letters = np.zeros(len(texts), np.int64)
-        for a, b in in_groups(texts, 500_000):
+        for a, b in in_groups(texts, SCORED_AT_ONCE):
             grams, owner, n = gram_stream(texts[a:b])
             logs = self.log_probs(grams)
             for k in range(len(self.languages)):
@@ -236,11 +242,12 @@ def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
     share = F.lit(0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1_000_000, -(-sample_docs * 1_000_000 // sizes[lang]))).otherwise(share)
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1_000_000))
     rows = rows.withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0).where(draw < share)
     counts: pd.DataFrame = _gram_counts(rows.where("not calibrates").select("lang", "text")).toPandas()
-    if not len(counts):  # so few documents that all of them calibrate
-        counts = _gram_counts(rows.select("lang", "text")).toPandas()
+    uncounted = sorted(set(languages) - set(counts["lang"]))
+    if uncounted:  # so few documents that all of them calibrate
+        counts = pd.concat([counts, _gram_counts(rows.where(F.col("lang").isin(uncounted)).select("lang", "text")).toPandas()])
     if not len(counts):
         return LanguageModels([])
     counts = counts.sort_values(["lang", "gram"])
@@ -258,10 +265,10 @@ def fit(labelled: DataFrame, sample_docs: int = 2_000) -> LanguageModels:
 
 
 def _usual(rows: DataFrame, models: LanguageModels) -> list[tuple[str, float, int]]:
-    """(lang, highest usual cross-entropy, documents) of the rows (id, lang, text) that are found to be of their language."""
+    """(lang, high quantile of the cross-entropy, documents) of the rows (id, lang, text) that are found to be of their language."""
     found = identify(rows.select("id", "text", "lang"), models, "id", "text", keep=["lang"])
     found = found.where(f"lang = lang_pred and n_letters >= {REJECT_LETTERS}").groupBy("lang")
-    return [tuple(r) for r in found.agg(F.max("entropy").alias("high"), F.count("*").alias("n")).collect()]
+    return [tuple(r) for r in found.agg(F.percentile_approx("entropy", USUAL_SHARE, 10_000).alias("high"), F.count("*").alias("n")).collect()]
 
 
 def _calibrate_in_turns(rows: DataFrame, models: LanguageModels, few: list[str], counts: pd.DataFrame) -> None:
@@ -316,6 +323,21 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     return map_batches(rows, run, schema)
 
 
+def without_rejected(docs: DataFrame, models: LanguageModels, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the models do not reject, as they are; each row goes to a worker once, whatever its columns."""
+    place = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                rejected = predict(shared.value, [t or "" for t in part.column(place).to_pylist()])[-1]
+                yield part.filter(pc.invert(rejected))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def predict(model: LanguageModels, texts: list[str]) -> list[pa.Array]:
     """Language, score, entropy, letters and rejection of each text."""
     n = len(texts)
@@ -343,8 +365,12 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def learnable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, text, lang) of the rows that models may be fitted on."""
+    return docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+
 def train_and_identify(docs: DataFrame, sample_docs: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """Fit on the rows that are not held out, then predict every row; adds ``held_out``."""
-    learn = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = identify(docs, fit(learn, sample_docs), id_col, text_col, keep)
+    found = identify(docs, fit(learnable(docs, id_col, text_col, lang_col), sample_docs), id_col, text_col, keep)
     return found.withColumn("held_out", held_out(F.col(id_col)))
