@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tonemill.llm import byte_bpe, jaccard_join, language_id, mixing, secrets
 from tonemill.llm.queries import MIX_BLOCK_CHARS, MIX_WEIGHTS
-from tonemill.operators.joins import lookup_join
 from tonemill.session import durable
 
 #: No SQL: trained models, redaction by entropy and byte-level BPE are tested against brute force.
@@ -21,25 +20,12 @@ ORACLE_SQL = None
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject; text without a letter is rejected."""
-    # The whole row travels as one column, so its names cannot meet those of the answer.
-    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    found = language_id.train_and_identify(rows, keep=["row"])
-    return found.where(~F.col("rejected")).select("row.*")
+    return language_id.without_rejected(docs, language_id.fit(language_id.learnable(docs)))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near equality, the one of the smallest id; a null id is always kept.
-
-    Rows that repeat an id are one document; the one of the smallest text hash stays.
-    """
-    linked = jaccard_join.link_components(docs)
-    others = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = lookup_join(docs, others, ["doc_id"], "left_anti")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return kept.select(docs.columns)
-    named, nameless = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    first = named.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), F.struct(*docs.columns).alias("row"))).alias("m"))
-    return first.select("m.row.*").union(nameless.select(docs.columns))
+    """Of documents linked by near equality, the one of the smallest id; a null id is always kept."""
+    return jaccard_join.keep_one_per_component(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    coded = byte_bpe.encode_and_decode(docs, ranks)
     listed = F.array_join("ids", " ").cast("binary")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), "ids"
