@@ -196,17 +196,21 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, bytes) for every row, as ``decode(encode(...))`` gives them, by one worker and one database per task."""
+    """(id, ids, bytes) for every row, as ``decode(encode(...))`` gives them, by one worker and one database per task.
+
+    The database goes with its task, so that workers that live on for other stages do not hold it.
+    """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = database(path)
+        bpe = BpeDatabase(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in in_groups(texts):
                 ids, lengths = encode_texts(texts[a:b], bpe.memory, bpe.encode_pieces)
                 found = bpe.decode(ids, lengths)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _list_array(ids, lengths), pa.array(found, pa.binary())], names=[id_col, "ids", "bytes"])
+        bpe.con.close()
 
     return map_batches(rows, run, schema)

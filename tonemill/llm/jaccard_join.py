@@ -378,12 +378,14 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     crowded = labelled.groupBy("label").agg(F.count("*").alias("rows")).where("rows > 1").select("label")
     crowded = durable(named.join(crowded, "label").select(F.col("node").alias("_set"), F.col("label").alias("_group")), "jaccard-crowded")
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ids.alias("_id"), texts.alias("_words"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ids.alias("_id"))
+    place = docs.columns.index(text_col)
     schema = T.StructType([*whole.select("_row").schema.fields, T.StructField("_id", T.LongType()), T.StructField("_set", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            keys = [_key(_digest(s)) for s in shingle_sets(_texts(batch, 2))]
+            words = pa.RecordBatch.from_arrays([batch.column(0).flatten()[place]], names=["text"])  # the row holds its text once
+            keys = [_key(_digest(s)) for s in shingle_sets(_texts(words, 0))]
             keys = [None if i is None else k for i, k in zip(batch.column(1).to_pylist(), keys, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["_row", "_id", "_set"])
 
