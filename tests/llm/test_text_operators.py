@@ -56,6 +56,16 @@ def test_memory_is_bounded():
     assert len(memory.young) + len(memory.old) <= 40
 
 
+def test_pieces_looked_up_in_order_give_the_same_ids():
+    texts = ["", "a b a c", " ".join(f"w{i}" for i in range(50)), "a w3 w49 z" * 3, ""]
+    make = lambda found: [np.array([len(p), ord(p[0])], "<i4").tobytes() for p in found]
+    plain, ordered = pretokens.Memory(size=10), pretokens.Memory(size=10)
+    for _ in range(3):  # the generations change in between
+        want, got = pretokens.encode_texts(texts, plain, make), pretokens.encode_in_order(texts, ordered, make)
+        assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist()
+    assert pretokens.encode_in_order([], ordered, make)[1].tolist() == []
+
+
 def test_bpe_round_trip(odd_docs, odd_rows, reference):
     coded = byte_bpe.decode(byte_bpe.encode(odd_docs, RANKS), RANKS)
     assert coded.columns == ["doc_id", "ids", "bytes"]

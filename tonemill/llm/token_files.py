@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonemill.llm.pretokens import Memory, encode_texts, in_groups
+from tonemill.llm.pretokens import Memory, encode_in_order, in_groups
 from tonemill.llm.workers import map_batches
 from tonemill.session import durable, scratch
 
@@ -202,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end_id:
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     writer = Writer(store.open_output_stream(f"{base}/{name}"))
-                ids, lengths = encode_texts(texts[a:b], tool.memory, tool.encode_pieces)
+                ids, lengths = encode_in_order(texts[a:b], tool.memory, tool.encode_pieces)
                 at = 0
                 for key, n in zip(keys[a:b], lengths.tolist(), strict=True):
                     writer.add(key, np.append(ids[at : at + n], end_id).astype(np.uint32))
