@@ -107,6 +107,36 @@ def test_local_models(spark, block_rows):
             assert c.prob == pytest.approx(want[r.doc_id][c.label], abs=1e-6)
 
 
+@pytest.mark.parametrize("block_rows", [5, 1000])
+def test_local_models_of_domains(spark, block_rows):
+    """Every domain as if it were alone, in the same jobs; a query without a domain of training rows has no class."""
+    rng = np.random.default_rng(12)
+    made = {
+        d: [(100 * i + j, *rng.normal(loc=(j % 2) * (i + 1), size=2).round(1).tolist(), "pn"[j % 2]) for j in range(n)]
+        for i, (d, n) in enumerate([("a", 30), ("b", 9)])
+    }
+    rows = [(d, *r) for d, part in made.items() for r in part]
+    schema = "domain string, doc_id long, x double, y double, label string"
+    train = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame([*rows, ("c", 900, 0.0, 0.0, "p"), (None, 901, 0.0, 0.0, "p")], schema)
+    got = neighbours.classify_local(asked, train, FEATURES, block_rows=block_rows, by="domain", keep=["domain", "label"]).collect()
+    want = {i: probs for part in made.values() for i, probs in local_brute(part, part).items()}
+    assert sorted(r.doc_id for r in got) == sorted([*want, 900, 901])
+    for r in got:
+        if r.doc_id >= 900:
+            assert r.predicted is None
+            continue
+        for c in r.dist:
+            assert c.prob == pytest.approx(want[r.doc_id][c.label], abs=1e-6)
+
+
+def test_queries_of_one_domain_are_cut_into_many_blocks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = neighbours._rows_per_piece(spark, 100_000, 1, 20_000)
+    assert 100_000 / few > 3 * cores or few == neighbours.QUERY_STEP
+    assert neighbours._rows_per_piece(spark, 10**9, 10**4, 20_000) == 20_000
+
+
 def test_local_model_of_equal_rows(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0, "a"), (2, 1.0, 2.0, "b")], "doc_id long, x double, y double, label string")
     got = neighbours.classify_local(df, df, FEATURES).collect()

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import unnest
@@ -87,6 +87,17 @@ def _pieces(sizes: dict[int, int], rows: int) -> Column:
     return F.create_map(*[F.lit(x) for group, n in sizes.items() for x in (group, max(1, -(-n // rows)))])
 
 
+def _rows_per_piece(spark: SparkSession, asked: int, blocks: int, most: int) -> int:
+    """Queries that go to one block: ``most``, or fewer where a few ``blocks`` of training rows would leave cores idle."""
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    return min(most, max(QUERY_STEP, -(-asked * blocks // wanted)))
+
+
+def _dealt(rows: DataFrame, place: list[str]) -> DataFrame:
+    """Rows by their block; blocks are few and small on disk but costly, so their partitions are not to be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
+
+
 def _pivots(train: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
     """A fixed, bounded set of training points, chosen by the hash of their id."""
     rows = train.orderBy(F.xxhash64(key), key).select(vector).limit(n).collect()
@@ -165,7 +176,8 @@ def nearest_rows(
     asked = durable(asked.withColumn("_v", visits("q_vec")).select("q_id", "q_vec", "_v.home", "_v.cells"))
     homes = {r["home"]: r["count"] for r in asked.groupBy("home").count().collect()}
     per_cell = _pieces({int(c["cell"]): c["n"] for c in cells}, block_rows)
-    per_home = _pieces(homes, block_rows)
+    n_asked = sum(homes.values())
+    per_home = _pieces(homes, _rows_per_piece(spark, n_asked, -(-n_train // block_rows), block_rows))
     # Queries of one home visit much the same cells, so a block of them meets few blocks of rows.
     piece = F.pmod(F.xxhash64("q_id"), per_home[F.col("home")])
     grouped = asked.withColumn("q_block", F.concat_ws("-", F.col("home"), piece))
@@ -200,7 +212,7 @@ def nearest_rows(
         return pa.table(columns, schema=found_schema)
 
     place = ["cell", "split", "q_block"]
-    close = block.groupBy(*place).cogroup(asked_of.groupBy(*place)).applyInArrow(meet, out)
+    close = _dealt(block, place).groupBy(*place).cogroup(_dealt(asked_of, place).groupBy(*place)).applyInArrow(meet, out)
     return top_neighbours(close, k, key)
 
 
@@ -226,15 +238,23 @@ def classify_nearest(
     return vote(nearest_rows(queries, train, k, key, vector, label, skip_self), key)
 
 
-def _scales(train: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Scale = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _scales(train: DataFrame, features: list[str]) -> dict[str, Scale]:
+    """Per domain the lowest value, the width and the mean of every feature."""
     aggs = []
     for f in features:
         aggs += [F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"), F.avg(f).alias(f"mid_{f}")]
-    row = train.agg(*aggs).first()
-    lo = np.array([row[f"lo_{f}"] for f in features], dtype=np.float64)
-    hi = np.array([row[f"hi_{f}"] for f in features], dtype=np.float64)
-    mid = np.array([row[f"mid_{f}"] for f in features], dtype=np.float64)
-    return lo, np.where(hi > lo, hi - lo, 1.0), mid
+    found = {}
+    for row in train.groupBy("_domain").agg(*aggs).collect():
+        lo, hi, mid = (np.array([row[f"{kind}_{f}"] for f in features], dtype=np.float64) for kind in ("lo", "hi", "mid"))
+        found[row["_domain"]] = lo, np.where(hi > lo, hi - lo, 1.0), mid
+    return found
+
+
+def _sizes(rows: DataFrame) -> dict[str, int]:
+    return {r["_domain"]: r["count"] for r in rows.groupBy("_domain").count().collect()}
 
 
 def classify_local(
@@ -245,6 +265,8 @@ def classify_local(
     label: str = "label",
     weights: dict[str, float] | None = None,
     block_rows: int = BLOCK_ROWS,
+    by: str | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Locally weighted naive Bayes: a small model per query, fitted to distance-weighted rows.
 
@@ -253,47 +275,60 @@ def classify_local(
     therefore follow from plain sums of ``d``, ``d x`` and ``d x^2``, which add up
     over blocks, and one pass is enough although ``D`` is known only at the end.
     Equal rows are joined into one with a count, on both sides.
+
+    With a column ``by`` queries meet the training rows of their own domain only.  It is part of every key, so
+    any number of domains takes the same jobs; the ranges and sizes of the domains, one row each, reach the
+    driver.  A query whose domain is null or has no training rows gets a null class.
     """
-    train, queries = durable(train.select(label, *features)), durable(queries.select(key, *features))
-    if train.isEmpty():
+    spark = train.sparkSession
+    domain = F.lit("") if by is None else F.col(by).cast("string")
+    train = durable(train.select(domain.alias("_domain"), label, *features).filter("_domain is not null"))
+    queries = durable(queries.select(key, *(keep or []), domain.alias("_domain"), *features))
+    scales = _scales(train, features)
+    if not scales:
         raise ValueError("no training rows")
-    lo, width, mid = _scales(train, features)
     wide = len(features)
-    distinct_train = train.groupBy(F.col(label).cast("string").alias("label"), *features).agg(
+    distinct_train = train.groupBy("_domain", F.col(label).cast("string").alias("label"), *features).agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
     distinct_train = durable(distinct_train)
-    distinct_query = durable(queries.select(*features).distinct().withColumn("q_vec", F.array(*features)))
-    n_train, n_query = distinct_train.count(), distinct_query.count()
-    train_blocks, query_blocks = -(-n_train // block_rows), max(1, -(-n_query // block_rows))
-    spread = F.xxhash64(*features)
+    known = queries.filter(F.col("_domain").isin(list(scales)))
+    distinct_query = durable(known.select("_domain", *features).distinct().withColumn("q_vec", F.array(*features)))
+    n_train, n_query = _sizes(distinct_train), _sizes(distinct_query)
+    train_blocks = _pieces(n_train, block_rows)[F.col("_domain")]
+    n_blocks = sum(-(-n // block_rows) for n in n_train.values())
+    query_rows = _rows_per_piece(spark, sum(n_query.values()), n_blocks, block_rows)
+    query_blocks = _pieces(n_query or {"": 0}, query_rows)[F.col("_domain")]
+    place = ["_domain", "t_block", "q_block"]
     block = (
-        distinct_train.withColumn("t_block", F.pmod(F.xxhash64("label", *features), F.lit(train_blocks)))
+        distinct_train.withColumn("t_block", F.pmod(F.xxhash64("label", *features), train_blocks).cast("int"))
         .withColumn("vec", F.array(*features))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .select("t_block", "q_block", "label", "vec", "n")
+        .withColumn("q_block", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
+        .select(*place, "label", "vec", "n")
     )
     asked = (
-        distinct_query.withColumn("q_block", F.pmod(spread, F.lit(query_blocks)).cast("int"))
-        .withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(train_blocks - 1).cast("long"))))
-        .select("t_block", "q_block", "q_vec")
+        distinct_query.withColumn("q_block", F.pmod(F.xxhash64(*features), query_blocks).cast("int"))
+        .withColumn("t_block", F.explode(F.sequence(F.lit(0), train_blocks - 1)))
+        .select(*place, "q_vec")
     )
     vector = pa.list_(pa.float64())
     sums_schema = pa.schema(
-        [("q_vec", vector), ("label", pa.string()), ("far", pa.float64()), ("n", pa.float64()), ("d", pa.float64())]
+        [("_domain", pa.string()), ("q_vec", vector), ("label", pa.string()), ("far", pa.float64()), ("n", pa.float64()), ("d", pa.float64())]
         + [(c, vector) for c in ("x", "dx", "x2", "dx2")]
     )
     schema = (
-        "q_vec array<double>, label string, far double, n double, d double, "
+        "_domain string, q_vec array<double>, label string, far double, n double, d double, "
         "x array<double>, dx array<double>, x2 array<double>, dx2 array<double>"
     )
 
     def lists(matrix: np.ndarray) -> pa.Array:
         return pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), matrix.shape[1]).cast(vector)
 
-    def meet(points: pa.Table, asking: pa.Table) -> pa.Table:
+    def meet(group: tuple, points: pa.Table, asking: pa.Table) -> pa.Table:
         if not len(points) or not len(asking):
             return sums_schema.empty_table()
+        name_of = group[0].as_py()
+        lo, width, mid = scales[name_of]
         raw, every = _column_matrix(asking["q_vec"]), _column_matrix(points["vec"])
         names, counts = np.array(points["label"].to_pylist(), dtype=object), np.asarray(points["n"])
         cut = []
@@ -311,19 +346,20 @@ def classify_local(
                 d = np.sqrt(d)
                 ones = np.ones((len(part), 1))
                 columns = [
-                    lists(asked_rows), pa.array([name] * len(part)), pa.array(d.max(1)),
+                    pa.array([name_of] * len(part)), lists(asked_rows), pa.array([name] * len(part)), pa.array(d.max(1)),
                     pa.array(ones[:, 0] * n.sum()), pa.array(d @ n), lists(ones * nx.sum(0)), lists(d @ nx),
                     lists(ones * nx2.sum(0)), lists(d @ nx2),
                 ]
                 cut.append(pa.table(columns, schema=sums_schema))
         return pa.concat_tables(cut).combine_chunks()
 
-    parts = block.groupBy("t_block", "q_block").cogroup(asked.groupBy("t_block", "q_block")).applyInArrow(meet, schema)
+    parts = _dealt(block, place).groupBy(*place).cogroup(_dealt(asked, place).groupBy(*place)).applyInArrow(meet, schema)
+    parts = parts.withColumn("q", F.struct("_domain", "q_vec"))
     sums = [F.max("far").alias("far"), F.sum("n").alias("n"), F.sum("d").alias("d")]
     for c in ("x", "dx", "x2", "dx2"):
         sums += [F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(wide)]
-    per_class = parts.groupBy("q_vec", "label").agg(*sums)
-    reach = F.max("far").over(Window.partitionBy("q_vec"))
+    per_class = parts.groupBy("q", "label").agg(*sums)
+    reach = F.max("far").over(Window.partitionBy("q"))
     # A query at distance 0 from every row weighs all of them alike.
     per_unit = F.when(F.col("_far") > 0, F.lit(1.0) / F.col("_far")).otherwise(0.0)
 
@@ -331,18 +367,19 @@ def classify_local(
         return F.lit(1.0001) * F.col(plain) - F.col("_u") * F.col(by_distance)
 
     total = per_class.withColumn("_far", reach).withColumn("_u", per_unit).withColumn("_w", weighted("n", "d"))
+    middles = F.create_map(*[x for d, scale in scales.items() for x in (F.lit(d), F.array(*[F.lit(float(m)) for m in scale[2]]))])
     columns = []
     for i, f in enumerate(features):
         mean = weighted(f"x{i}", f"dx{i}") / F.col("_w")
         square = weighted(f"x2{i}", f"dx2{i}") / F.col("_w")
         columns += [
-            (mean + F.lit(float(mid[i]))).alias(f"{f}_mean"),
+            (mean + middles[F.col("q._domain")][i]).alias(f"{f}_mean"),
             F.greatest(square - mean * mean, F.lit(0.0)).alias(f"{f}_var"),
         ]
-    local = total.select("q_vec", "label", F.col("_w").alias("n"), *columns)
-    packed = pack_classes(local, features, ["q_vec"], weights or {}).withColumn("member", F.lit("local"))
-    members = pack_members(packed, "q_vec", "member")
-    rows = members.select("*", *[F.col("q_vec")[i].alias(f) for i, f in enumerate(features)])
-    answers = pick_class(average_votes(member_distributions(rows, features))).drop("q_vec")
-    keyed = queries.select(key, *features)
-    return lookup_join(keyed, answers, features, "left", spread=[key]).select(key, "dist", "predicted", "prob")
+    local = total.select("q", "label", F.col("_w").alias("n"), *columns)
+    packed = pack_classes(local, features, ["q"], weights or {}).withColumn("member", F.lit("local"))
+    members = pack_members(packed, "q", "member")
+    rows = members.select("*", "q._domain", *[F.col("q.q_vec")[i].alias(f) for i, f in enumerate(features)])
+    answers = pick_class(average_votes(member_distributions(rows, features))).drop("q")
+    answered = lookup_join(queries, answers, ["_domain", *features], "left", spread=[key])
+    return answered.select(key, *(keep or []), "dist", "predicted", "prob")

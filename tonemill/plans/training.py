@@ -117,15 +117,18 @@ def classify(df: DataFrame, model: TextModel, key: str = "doc_id", keep: list[st
         return bayes.classify_vectors(vectors, model.params, FEATURES, FEATURE_WEIGHTS, spread=[key])
     if model.learner in increments.LEARNERS:
         return bayes.pick_class(increments.LEARNERS[model.learner][1](vectors, model.params, FEATURES))
+    if model.learner == "local":
+        shown = list(dict.fromkeys(["domain", *keep]))
+        return neighbours.classify_local(vectors, model.fitted, FEATURES, key, weights=FEATURE_WEIGHTS, by="domain", keep=shown)
     vectors = durable(vectors, "scoring-vectors")
-    lazy = model.learner in ("nearest", "local")
+    lazy = model.learner == "nearest"
     known = domains_of(model.fitted) if lazy else sorted(model.fitted)
     answers = vectors.filter(~F.col("domain").isin(known)).withColumn("predicted", F.lit(None).cast("string"))
     for domain in known:
         asked = vectors.filter(F.col("domain") == domain)
         if lazy:
             trained = model.fitted.filter(F.col("domain") == domain)
-            part = _lazy_answers(asked, trained, model, key, keep)
+            part = _nearest_answers(asked, trained, model, key)
         else:
             part = mllib.apply_estimator(model.fitted[domain], asked)
         answers = answers.unionByName(part, allowMissingColumns=True)
@@ -143,10 +146,8 @@ def prepare_model(model: TextModel) -> TextModel:
     return replace(model, params=bayes.prepare_members(model.params, FEATURES, FEATURE_WEIGHTS))
 
 
-def _lazy_answers(asked: DataFrame, trained: DataFrame, model: TextModel, key: str, keep: list[str]) -> DataFrame:
-    """Answers from the training rows of one domain."""
-    if model.learner == "local":
-        return neighbours.classify_local(asked, trained, FEATURES, key, weights=FEATURE_WEIGHTS)
+def _nearest_answers(asked: DataFrame, trained: DataFrame, model: TextModel, key: str) -> DataFrame:
+    """The class of the nearest training rows of one domain."""
     as_vector = lambda d: d.withColumn("vector", F.array(*FEATURES))
     voted = neighbours.classify_nearest(as_vector(asked), as_vector(trained), model.options.get("k", 1), key)
     return asked.join(voted, key)
