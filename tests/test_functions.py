@@ -101,3 +101,16 @@ def test_model_id_ignores_row_order_and_splits(spark):
 
     assert ids(rows, 1) == ids(rows[::-1], 4)
     assert ids(rows, 1) != ids(rows[:1], 1)
+
+
+def test_model_id_ignores_the_noise_of_sums(spark):
+    # The squares of three rows, added up in two orders: a tie of six decimals but for its noise.
+    def id_of(m2):
+        df = spark.createDataFrame([("en", "a", "neg", "x", 3, 0.1, m2)], "domain string, algorithm string, label string, feature string, n long, mean double, m2 double")
+        return identity.model_ids(df, ["domain", "algorithm"], ["label", "feature"], ["n", "mean", "m2"]).first()["model_id"]
+
+    assert id_of(0.010212499999999998) == id_of(0.010212500000000001) == id_of(0.0102125)
+    assert id_of(-0.010212499999999998) == id_of(-0.010212500000000001)
+    assert id_of(0.010212) != id_of(0.0102125)
+    # A large number a little below a tie is none.
+    assert id_of(472758.3335784875) == id_of(472758.333578)

@@ -24,8 +24,14 @@ def registry_key(algorithm: Column, domain: Column, combiner: Column) -> Column:
     return F.concat_ws("-", algorithm, domain, combiner)
 
 
-def _fixed_point(value: Column) -> Column:
-    return F.coalesce(F.round(value, 6).cast("decimal(28,6)").cast("string"), F.lit("-"))
+# Sums of the same rows in another order differ by less than this share.
+ORDER_NOISE = 1e-14
+
+
+def _fixed_point(value: Column, summed: bool = False) -> Column:
+    """Six decimals as text.  A sum that is a tie but for its noise goes away from zero, as an exact tie does."""
+    exact = value * F.lit(1 + ORDER_NOISE) if summed else value
+    return F.coalesce(F.round(exact, 6).cast("decimal(28,6)").cast("string"), F.lit("-"))
 
 
 def row_digest(columns: list[Column]) -> Column:
@@ -40,7 +46,8 @@ def model_ids(params: DataFrame, keys: list[str], texts: list[str], numbers: lis
     The digests of the parameter rows are summed, which combines map-side and
     never gathers a model in one place.
     """
-    cells = [F.col(c) for c in texts] + [_fixed_point(F.col(c)) for c in numbers]
+    kinds = dict(params.dtypes)
+    cells = [F.col(c) for c in texts] + [_fixed_point(F.col(c), kinds[c] == "double") for c in numbers]
     summed = params.groupBy(*keys).agg(
         F.sum(row_digest(cells)).alias("body"), F.count(F.lit(1)).alias("n_params")
     )
