@@ -217,3 +217,16 @@ def test_a_very_common_vector(spark, monkeypatch):
     got = search(table)
     assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
     assert {r for r in got if r[0] == 60} == {r for r in want if r[0] == 60}
+
+
+def test_similar_sets_share_a_band(spark):
+    """Sets that agree in a band are compared before whole lists are; unlike ones share none."""
+    near = " ".join(f"w{i}" for i in range(150))
+    texts = spark.createDataFrame([(1, near), (2, near.replace("w70 ", "x ")), (3, " ".join(f"y{i}" for i in range(150))), (4, "")], "node long, text string")
+    nodes = spark.createDataFrame([(1, 146), (2, 146), (3, 146), (4, 0)], "node long, n long")
+    bands = {}
+    for r in jaccard_join._bands(texts, nodes).collect():
+        bands.setdefault(r.node, set()).add(r.h)
+        assert (r.n, r.pos) == (146, 0)
+    assert set(bands) == {1, 2, 3} and all(len(b) == 16 for b in bands.values())
+    assert bands[1] & bands[2] and not bands[3] & (bands[1] | bands[2])

@@ -13,7 +13,9 @@ order that all texts share gives the same links; the sketch keeps common passage
 
 Groups are never expanded into pairs.  First every set is compared with one pivot per shared
 shingle; links make components.  Then, in turns, sets outside the largest component of a
-shingle's list are compared with a few of its members, as long as that finds links.  What remains
+list are compared with a few of its members, as long as that finds links: first in lists of sets that
+agree in a band (the least shingles of four hash ranges; similar sets likely share one of the sixteen, unlike ones
+hardly any), then in the lists of prefix shingles.  What remains
 are pairs of different components that share a prefix shingle; these are all compared, and
 since most members of a large group are in one component by then, few are left.  Only connectedness is asked for, so
 pairs inside a component need no comparison.
@@ -30,7 +32,8 @@ its component is null.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ from tonemill.session import durable
 SKETCH, PIECE = 1 << 20, 1 << 12
 #: Hash ranges of the suffix filter.
 RANGES = 64
+#: Hash ranges whose least shingles make one band.
+BAND = 4
 #: Members drawn of a list's largest component per turn, the most that a set outside it is compared
 #: with in one turn, and the share of such comparisons that must find a link for another turn to be made.
 DRAWS, TRIALS, WORTH = 6, 32, 0.02
@@ -295,6 +300,30 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(found, run, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
 
 
+def _bands(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(h, node, n, pos): a row for each band of a set that has a shingle; to be used like prefix rows."""
+    factor = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            sets = shingle_sets(_texts(batch, 1))
+            least = np.full((len(sets), RANGES), np.iinfo(np.uint64).max, np.uint64)
+            for row, s in zip(least, sets, strict=True):
+                _, first = np.unique(s >> np.uint64(58), return_index=True)  # a set is sorted
+                row[(s[first] >> np.uint64(58)).astype(np.int64)] = s[first]
+            by_band = least.reshape(len(sets), RANGES // BAND, BAND)
+            h = np.broadcast_to(np.arange(RANGES // BAND, dtype=np.uint64), by_band.shape[:2]).copy()
+            for i in range(BAND):
+                h = (h ^ by_band[:, :, i]) * factor
+                h ^= h >> np.uint64(29)
+            filled = (by_band != np.iinfo(np.uint64).max).any(2)
+            keys = np.broadcast_to(batch.column(0).to_numpy()[:, None], filled.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(h[filled].view(np.int64)), pa.array(keys[filled])], names=["h", "node"])
+
+    found = map_batches(texts, run, "h long, node long")
+    return found.join(nodes.select("node", "n"), "node").select("h", "node", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+
+
 def _carried_on(labels: DataFrame, found: DataFrame) -> DataFrame:
     """The labels after more links: only components that the new links touch are labelled again."""
     names = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
@@ -335,20 +364,22 @@ def _labelled_sets(rows: DataFrame, tie_ids: bool) -> tuple[DataFrame, DataFrame
         labels = spark.createDataFrame([], "node long, label long")
 
     texts = durable(_texts_of(rows, firsts.join(listed.select("node").distinct(), "node")), "jaccard-texts")
-    turn = 0
-    while turn is not None:
-        labelled = listed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn < 0:
-            made = _all_pairs(labelled)
-        else:
-            made = _trial_pairs(labelled, turn) if turn else _star_pairs(labelled, F.struct("n", "node"))
+    bands = durable(_bands(texts, nodes), "jaccard-bands")
+
+    def linked(rows: DataFrame, pairs_of: Callable[[DataFrame], DataFrame], labels: DataFrame) -> tuple[DataFrame, bool]:
+        """The labels after the pairs made from rows, and whether enough of these were links."""
+        made = pairs_of(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
         pairs = durable(_plausible(made, nodes.select("node", "n", "sig")), "jaccard-pairs")
         found = durable(_verified(pairs, texts), "jaccard-found")
-        labels = _carried_on(labels, found)
-        if turn < 0:
-            turn = None
-        else:  # go on drawing while it pays, then compare all that is left
-            turn = turn + 1 if found.count() > WORTH * pairs.count() else -1
+        return _carried_on(labels, found), found.count() > WORTH * pairs.count()
+
+    labels, _ = linked(listed, lambda rows: _star_pairs(rows, F.struct("n", "node")), labels)
+    for lists in (bands, listed):  # go on drawing while it pays, then compare all that is left
+        turn, pays = 0, True
+        while pays:
+            turn += 1
+            labels, pays = linked(lists, partial(_trial_pairs, turn=turn), labels)
+    labels, _ = linked(listed, _all_pairs, labels)
     return per_text.select("id", "n", "key"), firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
