@@ -149,6 +149,17 @@ def test_counts_do_not_depend_on_the_join(spark, texts, request):
     assert run() == small and len(small) == len(TEXTS)
 
 
+def test_char_scores_in_one_shuffle_are_those_of_the_stored_model(spark):
+    lines = [(1, "a", "the quick brown fox"), (2, "b", "der schnelle Fuchs, schnelle"), (3, "a", "the quick red fox"), (4, "b", "kurz"), (5, "a", None), (6, None, "the quick Fuchs")]
+    made = counts.with_char_grams(spark.createDataFrame(lines, "doc_id long, label string, text string"))
+    model = counts.prepare_char_model(counts.count_fit(made.filter("label is not null")))
+    scores = lambda rows: {r.doc_id: (r.predicted, [(c.label, round(c.prob, 9)) for c in r.dist]) for r in rows.collect()}
+    among = counts.char_scores_among(made, ["doc_id"])
+    assert scores(among) == scores(counts.count_scores(made, model, ["doc_id"])) and among.count() == 6
+    # The answers come from stored sums by text: runs are not shuffled a second time.
+    assert "Generate" not in among._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_constant_features_and_ties(spark):
     rows = spark.createDataFrame(
         [(1, "d", "b", 1.0), (2, "d", "a", 1.0)], "doc_id long, domain string, label string, x double"

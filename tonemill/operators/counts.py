@@ -140,6 +140,11 @@ def count_scores(
         with_classes = lookup_join(summed, model.classes, by, "left", spread=key)
     else:
         with_classes = summed.withColumn("classes", model.classes)
+    return _scored(with_classes, labels, floor).select(*key, *by, *keep, "dist", "predicted", "prob")
+
+
+def _scored(summed: DataFrame, labels: list[str], floor: float) -> DataFrame:
+    """Add ``dist``, ``predicted`` and ``prob`` to rows (_n, _g0..., classes)."""
     gain_by_class = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.col(f"_g{i}"))])
 
     def score(c: Column) -> Column:
@@ -150,12 +155,12 @@ def count_scores(
         )
 
     staged = (
-        with_classes.withColumn("_gains", gain_by_class)
+        summed.withColumn("_gains", gain_by_class)
         .withColumn("_s", F.transform("classes", score))
         .withColumn("_e", raised_scores(F.col("_s"), top_of(F.col("_s"), "score")))
         .withColumn("dist", scaled(F.col("_e"), sum_of(F.col("_e"), "prob")))
     )
-    return pick_class(staged).select(*key, *by, *keep, "dist", "predicted", "prob")
+    return pick_class(staged)
 
 
 def _gains_by_text(rows: DataFrame, model: CountModel, key: list[str], keep: list[str]) -> DataFrame:
@@ -199,3 +204,40 @@ def with_char_grams(df: DataFrame, order: int = CHAR_ORDER, text: str = "text",
 def prepare_char_model(stats: DataFrame) -> CountModel:
     """Summed log-likelihood under each class's n-gram counts, without class priors."""
     return prepare_counts(stats, alpha=CHAR_ALPHA, prior=False, known_only=False)
+
+
+def char_scores_among(df: DataFrame, key: list[str], label: str = "label", terms: str = "terms", keep: list[str] | None = None) -> DataFrame:
+    """The answers of a character model that is trained on those of the rows that have a class, for all rows.
+
+    The model has nearly as many runs as the texts and is asked for every one of them, so it is not laid out as a table
+    that the texts meet again: each run of each text is shuffled once, to where all its like are counted by class, and what
+    these counts add is summed up there by text.
+    """
+    keep = keep or []
+    names = sorted(r["_l"] for r in df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_l")).distinct().collect())
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    runs = df.select(*key, *[c for c in keep if c != label], F.col(label).alias("_label"), F.explode_outer(terms).alias("term"))
+    # The one row of a text without a run is dealt by its text, so that these rows do not meet.
+    runs = runs.withColumn("_own", F.when(F.col("term").isNull(), F.xxhash64(*key)))
+    alike = Window.partitionBy("term", "_own")
+    counted = runs.withColumns({f"_c{i}": F.count(F.when(F.col("_label") == name, F.col("term"))).over(alike) for i, name in enumerate(names)})
+    first = F.col("term").isNotNull() & (F.row_number().over(alike.orderBy("term")) == 1)
+    known = F.lit(False)
+    for i in range(len(names)):
+        known = known | (F.col(f"_c{i}") > 0)
+    floor = math.log(CHAR_ALPHA)
+    gains = {f"_g{i}": F.log(F.col(f"_c{i}") + F.lit(CHAR_ALPHA)) - floor for i in range(len(names))}
+    shown = [*key, *[c for c in keep if c != label], "_label"]
+    per_text = counted.withColumn("_first", first).withColumn("_known", known).withColumns(gains).groupBy(*shown).agg(
+        F.count("term").alias("_n"), F.count_if(F.col("_first") & F.col("_known")).alias("_new"),
+        *[F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col(g))), F.lit(0.0)).alias(g) for g in gains],
+    )
+    stored = durable(per_text, "char-scores")
+    sizes = {r["_label"]: r for r in stored.groupBy("_label").agg(total("_n").alias("n"), total("_new").alias("v")).collect()}  # one per class
+    v = sum(r["v"] for r in sizes.values())
+    classes = [
+        F.struct(F.lit(i).alias("label_idx"), F.lit(name).alias("label"), F.lit(0.0).alias("prior"), F.lit(math.log(sizes[name]["n"] + CHAR_ALPHA * v)).alias("log_total"))
+        for i, name in enumerate(names)
+    ]
+    answers = _scored(stored.withColumn("classes", F.array(*classes)), names, floor)
+    return answers.withColumn(label, F.col("_label")).select(*key, *keep, "dist", "predicted", "prob")

@@ -391,9 +391,7 @@ def a7_presence_classify(spark, sf):
 def a19(spark, sf):
     """Language of every document by its character runs of length eight."""
     docs = documents(spark, sf).select("doc_id", "lang", "text")
-    made = counts.with_char_grams(docs)
-    stats = counts.count_fit(made.withColumnRenamed("lang", "label"))
-    scored = counts.count_scores(made, counts.prepare_char_model(stats), ["doc_id"], keep=["lang"])
+    scored = counts.char_scores_among(counts.with_char_grams(docs), ["doc_id"], "lang", keep=["lang"])
     return scored.select("doc_id", "lang", "predicted", F.round("prob", 6).alias("prob"))
 
 
