@@ -69,6 +69,22 @@ def test_class_directories(spark, tmp_path):
     assert corpus.class_dir_files(spark, str(root)).count() == 2
 
 
+def test_class_directories_are_listed_once_each(spark, tmp_path):
+    root = tmp_path / "corpus"
+    for where in ("pos", "neg", "pos/corpus/deep", "pos/corpus/pos"):
+        (root / where).mkdir(parents=True)
+    for where in ("pos/a", "pos/b", "neg/c", "neg/d", "neg/e"):
+        (root / where).write_text(where)
+    (root / "pos/corpus/deep/f").write_text("too deep")
+    (root / "pos/corpus/pos/g").write_text("too deep")
+    found, files = corpus.read_class_dirs(spark, str(root)), corpus.class_dir_files(spark, str(root))
+    assert {(r.label, r.text) for r in found.collect()} == {(w[:3], w) for w in ("pos/a", "pos/b", "neg/c", "neg/d", "neg/e")}
+    assert {r.file[-5:] for r in files.collect()} == {"pos/a", "pos/b", "neg/c", "neg/d", "neg/e"}
+    for df in (found, files):
+        relation = df._jdf.queryExecution().analyzed().collectLeaves().head().relation()
+        assert relation.location().rootPaths().size() == 2  # the classes, not their files
+
+
 def test_json_requests(spark):
     payloads = [
         '{"domain":"m","classes":["neg","pos"],"dataSet":[{"text":"a","textClass":"pos"},{"text":"b","textClass":""},'

@@ -83,21 +83,37 @@ def _path_part(path: Column, from_end: int) -> Column:
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
+def _in_class_dirs(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """(..., label, file): what a reader finds in the files directly in the sub-directories of ``root``.
+
+    The directories are listed, one call each; naming every file by a pattern would make each of them a path to
+    look up and to list on its own.  Files elsewhere below ``root`` do not count.
+    """
+    root = root.rstrip("/")
+    reader = spark.read.format(kind).option("recursiveFileLookup", "true")
+    found = (reader.option("wholetext", "true") if kind == "text" else reader).load(f"{root}/*")
+    file = F.col("_metadata.file_path")
+    top = root.rsplit("/", 1)[-1]
+    # Names that a directory below a class has in common with ``root`` are told apart by their depth.
+    path = F.regexp_replace(file, "^[^/]*:(//[^/]*)?", "")
+    deep = F.size(F.split(path, "/")) == _path_of(spark, root).count("/") + 3
+    return found.select("*", _path_part(file, 2).alias("label"), file.alias("file")).filter(deep & (_path_part(file, 3) == top))
+
+
+def _path_of(spark: SparkSession, path: str) -> str:
+    """The whole path without its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath()
+
+
 def read_class_dirs(spark: SparkSession, root: str) -> DataFrame:
     """(text, label, file): one row per file of each sub-directory, whose name is the class.
 
     Files are read whole and decoded in one piece; empty files give no row.
     """
-    found = spark.read.text(f"{root.rstrip('/')}/*/*", wholetext=True).select(
-        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file")
-    )
-    top = root.rstrip("/").rsplit("/", 1)[-1]
-    return found.select("text", _path_part(F.col("file"), 2).alias("label"), "file").filter(
-        _path_part(F.col("file"), 3) == top
-    )
+    return _in_class_dirs(spark, root, "text").select(F.col("value").alias("text"), "label", "file")
 
 
 def class_dir_files(spark: SparkSession, root: str) -> DataFrame:
-    """(file): every file below the class directories, by name only."""
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*")
-    return files.select(F.col("path").alias("file"))
+    """(file): every file in the class directories, by name only."""
+    return _in_class_dirs(spark, root, "binaryFile").select("file")
