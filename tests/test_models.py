@@ -10,7 +10,7 @@ from tonemill.operators import bayes, counts, ensemble, evaluate, mllib
 from tonemill.operators.joins import lookup_join, store_lookup
 from tonemill.operators.rows import argmax_rows, chunks, class_index, most_recent, numbered
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentiment_vectors
-from tonemill.operators.words import information_gain, lemmatised, vocabulary, with_terms
+from tonemill.operators.words import information_gain, lemmatised, presence_vectors, vocabulary, with_terms
 from tonemill.plans import training as plans
 from tonemill.plans.fixtures import lexicon, lexicon_lines
 from tonemill.sources.lexicon import by_term, score_lexicon
@@ -160,6 +160,22 @@ def test_char_scores_in_one_shuffle_are_those_of_the_stored_model(spark):
     assert "Generate" not in among._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_frequent_terms_of_a_large_vocabulary_do_not_move(spark, request):
+    lines = [(i, " ".join(["the", "of", "and", f"w{i % 40}", f"v{i}"][: 1 + i % 5])) for i in range(200)]
+    texts = with_terms(spark.createDataFrame(lines, "doc_id long, text string"))
+    vocab = vocabulary(texts.filter("doc_id % 3 > 0"))
+    got = lambda rows: {(r.doc_id, r.term) for r in rows.collect()}
+    whole = got(presence_vectors(texts, vocab, ["doc_id"]))
+    known = {r.term for r in vocab.collect()}
+    assert whole == {(i, t) for i, line in lines for t in line.split() if t in known}
+    request.getfixturevalue("only_shuffles")
+    spark.conf.set("spark.tonemill.broadcastRows", "20")
+    split = presence_vectors(texts, vocab, ["doc_id"])
+    assert got(split) == whole
+    # Only the rows without a term of the broadcast head are joined by a shuffle.
+    assert "_met" in split._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_constant_features_and_ties(spark):
     rows = spark.createDataFrame(
         [(1, "d", "b", 1.0), (2, "d", "a", 1.0)], "doc_id long, domain string, label string, x double"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemill.functions.text import char_windows, prefixes, shingles, unnest, word_ngrams, words
 from tonemill.operators.joins import lookup_join, store_lookup
+from tonemill.session import durable
 
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
@@ -98,8 +100,21 @@ def vocabulary(batch: DataFrame, terms: str = "terms", min_docs: int = 1) -> Dat
 
 
 def presence_vectors(df: DataFrame, vocab: DataFrame, key: list[str], terms: str = "terms") -> DataFrame:
-    """Long form of the word vectors: (key..., term) for every known term a text holds."""
-    return lookup_join(presence(df, key, terms), vocab.select("term"), ["term"], "left_semi", spread=key)
+    """Long form of the word vectors: (key..., term) for every known term a text holds.
+
+    A vocabulary beyond a broadcast meets the texts in two steps: the head of the terms that are in most texts is
+    broadcast, and only terms that it does not have are shuffled to the tail.
+    """
+    weight = "n_docs" if "n_docs" in vocab.columns else None
+    lookup = store_lookup(vocab.select("term", *([weight] if weight else [])), "vocabulary", weight)
+    rows = presence(df, key, terms)
+    if lookup.head is None:
+        return lookup_join(rows, replace(lookup, table=lookup.table.select("term")), ["term"], "left_semi", spread=key)
+    head = lookup.head.select("term", F.lit(True).alias("_met"))
+    # Stored, so that the texts are not cut into words again for the terms that were not met.
+    stored = durable(rows.join(F.broadcast(head), "term", "left").select(*key, "term", "_met"), "presence")
+    met, missed = stored.filter("_met"), stored.filter("_met is null").drop("_met")
+    return met.drop("_met").union(missed.join(lookup.tail.select("term"), "term", "left_semi").select(*key, "term"))
 
 
 def _xlogx(x: Column) -> Column:
