@@ -11,7 +11,7 @@ from tonemill.operators.joins import lookup_join
 from tonemill.operators.vectors import sentence_scores
 from tonemill.plans.fixtures import (
     IS_STOP, LABELS, LEX, SENTENCE_LIST, SENTENCE_SCORES, SENTENCES, WORD_LIST,
-    documents, labelled_texts, lexicon, query, table,
+    documents, labelled_texts, lexicon, placed, query, table,
 )
 from tonemill.plans import training as plans
 from tonemill.sources.lexicon import POS_COLUMNS
@@ -179,7 +179,8 @@ _LEMMA_ROWS = ", ".join(f"('{w}', '{m}')" for w, m in _LEMMAS)
   FROM toks LEFT JOIN lemmas USING (term) GROUP BY ALL""")
 def a4_lemma(spark, sf):
     lemmas = spark.sql(f"SELECT * FROM VALUES {_LEMMA_ROWS} AS t(word, lemma)")
-    return words.term_frequency(words.with_terms(documents(spark, sf)), ["doc_id"], lemmas=lemmas)
+    docs = placed(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return words.term_frequency(words.with_terms(docs), ["doc_id"], lemmas=lemmas)
 
 
 @query("a4_joined_terms", f"""SELECT doc_id, md5(string_agg(term, ' ' ORDER BY first_pos)) AS digest FROM (
