@@ -28,3 +28,13 @@ def test_words_of_placed_texts_are_counted_in_place(spark, pieces):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan
     assert rows_of(made) == rows_of(driver.queries()["a4_lemma_frequency"](spark, SF))
+
+
+def test_inboxes_of_larger_tables_have_more_files(spark, pieces):
+    from tonemill.plans import queries_streams
+
+    inbox = queries_streams._inbox(spark, pieces)
+    files = spark.read.parquet(inbox).inputFiles()
+    assert len(files) > 24  # four files, however large the table, made four tasks
+    assert -(-len(files) // queries_streams._share(spark, inbox, 2)) == 2
+    assert rows_of(driver.queries()["t5_stream_scoring"](spark, pieces)) == rows_of(driver.queries()["t5_stream_scoring"](spark, SF))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonemill.operators import bayes
 from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentiment_vectors
 from tonemill.plans.fixtures import (
-    ARGMAX, LABELS, TRAINING, WORD_LIST, documents, gaussian_sql, labelled_texts, lexicon, melted, query, training, with_labels,
+    ARGMAX, LABELS, TRAINING, WORD_LIST, documents, gaussian_sql, labelled_texts, lexicon, melted, query, table, training, with_labels,
 )
 from tonemill.plans import training as plans
 from tonemill.plans.queries_ingest import _FLAT, flat_text
@@ -20,11 +20,25 @@ from tonemill.streaming import training as learning
 ROW_SCHEMA = "doc_id long, domain string, text string, label string"
 
 
+#: Micro-batches in which the streams take in what is there, at most.
+BATCHES = 4
+
+
+def _pieces(spark, sf) -> int:
+    """Files of an inbox: each core has one in every micro-batch, and a larger table has more of them, not larger ones."""
+    return BATCHES * max(spark.sparkContext.defaultParallelism, table(spark, sf, "documents").rdd.getNumPartitions())
+
+
+def _share(spark, path: str, batches: int) -> int:
+    """Files per trigger that make ``batches`` micro-batches of the files of an inbox."""
+    return -(-len(spark.read.text(path).inputFiles()) // batches)
+
+
 def _inbox(spark, sf) -> str:
     """Labelled rows as files that arrive over several micro-batches."""
     path = scratch(spark, "inbox")
     rows = labelled_texts(spark, sf, ["lang"]).select("doc_id", F.col("lang").alias("domain"), "text", "label")
-    rows.repartition(4, "doc_id").write.parquet(path)
+    rows.repartition(_pieces(spark, sf), "doc_id").write.parquet(path)
     return path
 
 
@@ -37,7 +51,8 @@ _COUNTED = f"""toks AS (SELECT doc_id, unnest({WORD_LIST}) AS term FROM document
 @query("t1_stream_word_training", f"WITH {LABELS}, {_COUNTED} SELECT domain, label, feature, n FROM tl")
 def t1(spark, sf):
     """Counts kept as stream state over several micro-batches equal the counts of one batch."""
-    stream = streams.file_stream(spark, _inbox(spark, sf), ROW_SCHEMA, files_per_trigger=2)
+    inbox = _inbox(spark, sf)
+    stream = streams.file_stream(spark, inbox, ROW_SCHEMA, files_per_trigger=_share(spark, inbox, 2))
     out, checkpoint = scratch(spark, "snapshots"), scratch(spark, "progress")
     learning.train_words(stream, out, checkpoint, flush=True).awaitTermination()
     return learning.snapshot_counts(spark, out)
@@ -51,7 +66,8 @@ _STATS = f"""{TRAINING}, long AS ({melted("train", "domain, label")})
 @query("t1_stream_vector_training", f"WITH {_STATS}")
 def t1_vectors(spark, sf):
     """The merged increments of several micro-batches equal one batch."""
-    stream = streams.file_stream(spark, _inbox(spark, sf), ROW_SCHEMA, files_per_trigger=2)
+    inbox = _inbox(spark, sf)
+    stream = streams.file_stream(spark, inbox, ROW_SCHEMA, files_per_trigger=_share(spark, inbox, 2))
     out, checkpoint = scratch(spark, "increments"), scratch(spark, "progress")
     learning.train_vectors(stream, lexicon(spark), out, checkpoint, flush=True).awaitTermination()
     merged = learning.merged_increments(spark, out)
@@ -61,7 +77,8 @@ def t1_vectors(spark, sf):
 @query("t2_snapshots", f"WITH {LABELS}, {_COUNTED} SELECT 1 AS after_first, 1 AS after_second, count(*) AS n_rows, sum(n)::BIGINT AS n FROM tl")
 def t2(spark, sf):
     """Two runs with nothing new between them: the idle run writes no snapshot."""
-    stream = streams.file_stream(spark, _inbox(spark, sf), ROW_SCHEMA)
+    inbox = _inbox(spark, sf)
+    stream = streams.file_stream(spark, inbox, ROW_SCHEMA, files_per_trigger=_share(spark, inbox, 1))
     out, checkpoint = scratch(spark, "snapshots"), scratch(spark, "progress")
     seen = []
     for _ in range(2):
@@ -79,7 +96,8 @@ def t2(spark, sf):
 @query("t3_flush", f"""WITH {LABELS} SELECT lang AS domain, label, count(*) AS n FROM documents JOIN lab USING (doc_id) GROUP BY ALL""")
 def t3(spark, sf):
     """All pending rows are in the model when the flush ends."""
-    stream = streams.file_stream(spark, _inbox(spark, sf), ROW_SCHEMA, files_per_trigger=1)
+    inbox = _inbox(spark, sf)
+    stream = streams.file_stream(spark, inbox, ROW_SCHEMA, files_per_trigger=_share(spark, inbox, BATCHES))
     out, checkpoint = scratch(spark, "snapshots"), scratch(spark, "progress")
     learning.train_words(stream, out, checkpoint, flush=True).awaitTermination()
     return learning.snapshot_counts(spark, out).filter(F.col("feature") == "").select("domain", "label", "n")
@@ -92,7 +110,7 @@ def t5(spark, sf):
     """New documents arrive as a stream and meet the stored models."""
     path, out, checkpoint = scratch(spark, "inbox"), scratch(spark, "answers"), scratch(spark, "progress")
     docs = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text")
-    docs.repartition(4, "doc_id").write.parquet(path)
+    docs.repartition(_pieces(spark, sf), "doc_id").write.parquet(path)
     stats = durable(bayes.gaussian_fit(training(spark, sf), FEATURES, ["domain"]), "params")
     model, words = bayes.prepare_members(stats, FEATURES, FEATURE_WEIGHTS), lexicon(spark)
 
@@ -101,7 +119,7 @@ def t5(spark, sf):
         scored = bayes.classify_vectors(vectors, model, FEATURES, spread=["doc_id"])
         return scored.select("doc_id", "domain", "predicted", "prob")
 
-    stream = streams.file_stream(spark, path, "doc_id long, domain string, text string", files_per_trigger=2)
+    stream = streams.file_stream(spark, path, "doc_id long, domain string, text string", files_per_trigger=_share(spark, path, 2))
     learning.score_stream(stream, score, out, checkpoint, flush=True).awaitTermination()
     answers = learning.read_batches(spark, out, "doc_id long, domain string, predicted string, prob double")
     return answers.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
@@ -123,17 +141,19 @@ def t5_refreshed(spark, sf):
     options, early = plans.FeatureOptions(lexicon=lexicon(spark)), F.col("source") < "src2"
     plans.build(texts.filter(early), registry_path, 1, features=options)
     docs = documents(spark, sf).select("doc_id", F.col("lang").alias("domain"), "text", "source")
+    first = 0
     for part in (early, ~early):
-        docs.filter(part).drop("source").repartition(4, "doc_id").write.mode("append").parquet(path)
+        docs.filter(part).drop("source").repartition(_pieces(spark, sf), "doc_id").write.mode("append").parquet(path)
+        first = first or _share(spark, path, 1)  # the first micro-batch is the first part
     scorer, calls = learning.RegistryScorer(spark, registry_path), []
 
     def score(batch: DataFrame) -> DataFrame:
-        if calls:  # somebody trains again while the stream runs
+        if len(calls) == 1:  # somebody trains again while the stream runs
             plans.rebuild(texts, registry_path, 2, features=options)
         calls.append(1)
         return scorer(batch)
 
-    stream = streams.file_stream(spark, path, "doc_id long, domain string, text string", files_per_trigger=4)
+    stream = streams.file_stream(spark, path, "doc_id long, domain string, text string", files_per_trigger=first)
     learning.score_stream(stream, score, out, checkpoint, flush=True).awaitTermination()
     answers = learning.read_batches(spark, out, "doc_id long, domain string, predicted string, prob double")
     return answers.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
@@ -142,7 +162,8 @@ def t5_refreshed(spark, sf):
 @query("t1_compacted_snapshots", f"WITH {LABELS}, {_COUNTED} SELECT domain, label, feature, n FROM tl")
 def t1_compacted(spark, sf):
     """A snapshot per micro-batch, merged to a base after every second one and when the query ends."""
-    stream = streams.file_stream(spark, _inbox(spark, sf), ROW_SCHEMA, files_per_trigger=1)
+    inbox = _inbox(spark, sf)
+    stream = streams.file_stream(spark, inbox, ROW_SCHEMA, files_per_trigger=_share(spark, inbox, BATCHES))
     out, checkpoint = scratch(spark, "snapshots"), scratch(spark, "progress")
     query_ = learning.train_words(stream, out, checkpoint, flush=True, compact_every=2, snapshot_at_end=True)
     query_.awaitTermination()
@@ -157,8 +178,8 @@ def s8(spark, sf):
     path, out, checkpoint = scratch(spark, "messages"), scratch(spark, "rows"), scratch(spark, "progress")
     texts = labelled_texts(spark, sf, ["lang"])
     one = F.array(F.struct(F.col("text"), F.col("label").alias("textClass")))
-    requests.to_requests(texts, "lang", ["neg", "pos"], one, []).repartition(4).write.text(path)
-    rows = streams.message_stream(spark, path, files_per_trigger=2)
+    requests.to_requests(texts, "lang", ["neg", "pos"], one, []).repartition(_pieces(spark, sf)).write.text(path)
+    rows = streams.message_stream(spark, path, files_per_trigger=_share(spark, path, 2))
     writer = rows.writeStream.format("parquet").option("path", out)
     learning.start(writer, checkpoint, flush=True).awaitTermination()
     taken = spark.read.parquet(out)
@@ -178,8 +199,8 @@ def s8_rejects(spark, sf):
     whole = F.to_json(F.struct(F.col("lang").alias("domain"), row.alias("dataSet")))
     bare = F.to_json(F.struct(F.col("lang").alias("domain"), F.slice(row, 1, 0).alias("dataSet")))
     unusable = F.when(F.col("lang") == "en", F.concat(F.lit("= "), F.md5("text"))).when(F.col("lang") == "de", bare).otherwise(whole)
-    docs.select(F.when(F.col("label").isNotNull(), whole).otherwise(unusable).alias("value")).repartition(4).write.text(path)
-    lines = streams.raw_messages(spark, path, files_per_trigger=2)
+    docs.select(F.when(F.col("label").isNotNull(), whole).otherwise(unusable).alias("value")).repartition(_pieces(spark, sf)).write.text(path)
+    lines = streams.raw_messages(spark, path, files_per_trigger=_share(spark, path, 2))
     learning.store_messages(lines, out, aside, checkpoint, flush=True).awaitTermination()
     taken = spark.read.parquet(f"{out}/batch=*").select(F.lit(None).cast("string").alias("reason"))
     return taken.union(spark.read.parquet(f"{aside}/batch=*").select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
