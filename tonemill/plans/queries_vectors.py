@@ -14,7 +14,7 @@ from tonemill.operators.vectors import FEATURE_WEIGHTS, FEATURES, sentence_score
 from tonemill.plans import training as training_plans
 from tonemill.plans.fixtures import (
     LABELS, LEX, MEASURES, NB, ROUNDED_MEASURES, SENTENCE_SCORES, SENTENCES, TRAINING, VECTORS, WORD_LIST,
-    ARGMAX, documents, gaussian_sql, labelled_texts, labels, lexicon, measures_sql, melted, query, table, training, vectors,
+    ARGMAX, documents, gaussian_sql, labelled_texts, labels, lexicon, measures_sql, melted, query, table, training, vectors, with_labels,
 )
 from tonemill.session import durable, scratch
 from tonemill.sources.lexicon import (
@@ -548,8 +548,7 @@ _NOMINAL = f"""{TRAINING}, {gaussian_sql("train", "vd", ["domain"], ["doc_id", "
   FROM mixed GROUP BY doc_id, domain""")
 def r8_bayes(spark, sf):
     """Sentiment vectors and, as a nominal attribute, the source of a text; every document is labelled."""
-    made = durable(training(spark, sf, keep=["source"]), "training")
-    stats = mixed.mixed_fit(made, FEATURES, ["source"], ["domain"])
-    every = vectors(spark, sf, ["lang", "source"]).withColumnRenamed("lang", "domain")
+    every = durable(vectors(spark, sf, ["lang", "source"]), "vectors").withColumnRenamed("lang", "domain")
+    stats = mixed.mixed_fit(with_labels(spark, sf, every), FEATURES, ["source"], ["domain"])
     scored = mixed.mixed_classify(every, stats, FEATURES, ["source"], ["domain"], FEATURE_WEIGHTS, spread=["doc_id"])
     return scored.select("doc_id", "domain", "predicted", F.round("prob", 6).alias("prob"))
