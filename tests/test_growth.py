@@ -38,3 +38,15 @@ def test_inboxes_of_larger_tables_have_more_files(spark, pieces):
     assert len(files) > 24  # four files, however large the table, made four tasks
     assert -(-len(files) // queries_streams._share(spark, inbox, 2)) == 2
     assert rows_of(driver.queries()["t5_stream_scoring"](spark, pieces)) == rows_of(driver.queries()["t5_stream_scoring"](spark, SF))
+
+
+def test_a_saved_model_is_trained_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tonemill.sources import registry
+
+    # Parameters that come out otherwise whenever they are computed again.
+    params = spark.range(6).select(F.lit("d").alias("domain"), F.lit("a").alias("label"), F.col("id").cast("string").alias("feature"), F.lit(1).cast("long").alias("n"), F.expr("CAST(substring(uuid(), 1, 1) < '8' AS DOUBLE) + CAST(conv(substring(uuid(), 1, 6), 16, 10) AS DOUBLE)").alias("mean"), F.lit(0.0).alias("m2"))
+    status = registry.save_models(params, str(tmp_path), "gaussian_nb", 1).first()
+    again = registry.headers_of(registry.load_models(spark, str(tmp_path)).drop("model_id"), "gaussian_nb").first()
+    assert status["model_id"] == again["model_id"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ params AS (SELECT domain, version, label, feature, count(*) AS n, avg(x) AS mean
 headers AS ({ids_sql("params", "domain, version")})"""
 
 
-def versions(spark, sf) -> DataFrame:
-    """(domain, version, ...): a model of every chunk of the labelled texts of a language."""
-    made = durable(training(spark, sf), "training")
+def versions(spark, sf, made: DataFrame | None = None) -> DataFrame:
+    """(domain, version, ...): a model of every chunk of the labelled texts of a language, which may be ``made`` already."""
+    made = durable(training(spark, sf), "training") if made is None else made
     chunked = rows.chunks(made, CHUNK, ["domain"], "doc_id").withColumnRenamed("chunk", "version")
     return durable(bayes.gaussian_fit(chunked, FEATURES, ["domain", "version"]), "params")
 
@@ -162,9 +164,9 @@ def j6_equal(spark, sf):
   SELECT domain, model_id, label, feature, n, round(mean, 6) AS mean FROM params JOIN headers USING (domain, version) WHERE version = 0""")
 def a11_back(spark, sf):
     """A first model, another one, and the first again: the first is the newest."""
-    path = scratch(spark, "registry")
-    first = versions(spark, sf).filter(F.col("version") == 0).drop("version")
-    other = bayes.gaussian_fit(training(spark, sf), FEATURES, ["domain"])
+    path, made = scratch(spark, "registry"), durable(training(spark, sf), "training")
+    first = versions(spark, sf, made).filter(F.col("version") == 0).drop("version")
+    other = bayes.gaussian_fit(made, FEATURES, ["domain"])
     for time, params in enumerate((first, other, first), 1):
         registry.save_models(params, path, "gaussian_nb", time)
     newest = registry.latest_model(spark, path)
@@ -393,11 +395,12 @@ _GATHERED = f"""{TRAINING.replace("lang AS domain FROM vec", "lang AS domain, so
 
 
 def _gathered_models(spark, sf) -> list[plans.TextModel]:
-    """Sentiment vectors by shard, word counts and selected words, per language."""
+    """Sentiment vectors by shard, word counts and selected words, per language; trained once, however often they are gathered."""
     texts = labelled_texts(spark, sf, ["lang", "source"]).withColumnRenamed("lang", "domain")
     options = plans.FeatureOptions(lexicon=lexicon(spark))
-    shards = plans.TextModel("gaussian_nb", options, params=durable(plans.train_shards(texts, "source", options), "params"))
-    return [shards, plans.train(texts, "multinomial_nb", plans.FeatureOptions(feature_select=False)), plans.train(texts, "presence_nb")]
+    shards = plans.TextModel("gaussian_nb", options, params=plans.train_shards(texts, "source", options))
+    made = [shards, plans.train(texts, "multinomial_nb", plans.FeatureOptions(feature_select=False)), plans.train(texts, "presence_nb")]
+    return [replace(model, params=durable(model.params, "params")) for model in made]
 
 
 @query("e4_gather_status", f"""WITH {_GATHERED},

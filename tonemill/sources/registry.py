@@ -98,6 +98,8 @@ def save_models(
     newest of its key gets another header with the new time, and so is the newest again.
     """
     spark, keys = params.sparkSession, keys or ["domain"]
+    # Ids, sizes and the rows themselves are taken from one table: training is not repeated for each.
+    params = durable(params, "params")
     headers = headers_of(params, algorithm, combiner, features, keys)
     made_on = generated_on if isinstance(generated_on, Column) else F.lit(generated_on)
     timed = headers.withColumn("generated_on", made_on.cast("long"))
