@@ -216,3 +216,14 @@ def test_export(spark):
     params = spark.createDataFrame([("d", "pos", "f", 3, 0.5, 1.0)], PARAMS)
     value = registry.export_json(params).select(F.get_json_object("value", "$.mean")).first()[0]
     assert float(value) == 0.5
+
+
+def test_each_step_of_the_payload_parser_is_taken_once(spark):
+    df = spark.createDataFrame([(0, 'text,class\n"a",x\n'), (1, "bare")], "id int, payload string")
+    # A payload that is made by an expression, so that steps and sources can be merged into one.
+    made = df.select("id", F.translate("payload", "\t", " ").alias("payload"))
+    rows, rejects = requests.parse_payloads(made, "payload", ["id"])
+    for out in (rows, rejects, requests.payload_row_rejects(made, "payload", ["id"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and plan.count("from_csv(") <= 2
+    assert [r.id for r in rows.collect()] == [0] and [r.id for r in rejects.collect()] == [1]

@@ -71,19 +71,26 @@ _ROW = "text string, label string"
 _TABLE_JSON = "data array<struct<values:array<string>>>"
 
 
-def payload_form(payload: Column) -> Column:
-    """ARFF by its ``@relation`` head, JSON by its brace, CSV by a header of two fields or more."""
-    head = F.regexp_replace(payload, r"^(?:\s*+(?:%[^\n]*+\n)?)*+", "")
-    first_line = F.split(head, "\n")[0]
+def _first_line(payload: Column) -> Column:
+    """The line that follows blanks and ``%`` lines; what comes after it is not read."""
+    return F.regexp_extract(payload, r"^(?:\s*+(?:%[^\n]*+\n)?)*+([^\n]*+)", 1)
+
+
+def _form_of(first_line: Column) -> Column:
     return (
-        F.when(payload.isNull(), REJECT)
-        .when(F.lower(head).startswith("@relation"), ARFF)
-        .when(head.startswith("{") | head.startswith("["), JSON)
+        F.when(first_line.isNull(), REJECT)
+        .when(F.lower(F.substring(first_line, 1, len("@relation"))) == "@relation", ARFF)
+        .when(first_line.startswith("{") | first_line.startswith("["), JSON)
         .when(first_line.contains(","), CSV)
         .otherwise(REJECT)
     )
 
 
+def payload_form(payload: Column) -> Column:
+    """ARFF by its ``@relation`` head, JSON by its brace, CSV by a header of two fields or more."""
+    return _form_of(_first_line(payload))
+
+
 def _class_first_arff(lines: Column) -> Column:
     declared = F.filter(lines, lambda x: F.lower(F.trim(x)).startswith("@attribute"))
     return ~F.lower(F.trim(F.get(declared, F.lit(0)))).rlike(r"string\s*$")
@@ -103,15 +110,18 @@ def parse_payloads(df: DataFrame, payload: str = "payload", keep: list[str] | No
     rows = unnest(parsed, usable, [*keep, "form"], "_r").select(
         *keep, "form", F.col("_r.row_no").alias("row_no"), F.col("_r.text").alias("text"), F.col("_r.label").alias("label")
     )
-    none = F.coalesce(F.size(usable), F.lit(0)) <= 0
-    return rows, parsed.filter(none).select(*keep, "form", payload)
+    # A payload without a usable row leaves null here.  A test of the array itself would be pushed below the steps of
+    # the parser, each of which it would then repeat wherever the next one names it.
+    first = parsed.select(*keep, "form", payload, F.explode_outer(F.slice(usable, 1, 1)).alias("_r"))
+    return rows, first.filter("_r is null").drop("_r")
 
 
 def payload_row_rejects(df: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """(keep..., form, row_no, text, label) of the unusable rows of payloads that have usable ones."""
     keep = keep or []
-    parsed = _parsed_payloads(df, payload, keep).filter(F.exists("_all", _usable))
-    rows = unnest(parsed, F.filter("_all", lambda x: ~_usable(x)), [*keep, "form"], "_r")
+    parsed = _parsed_payloads(df, payload, keep)
+    others = F.when(F.exists("_all", _usable), F.filter("_all", lambda x: ~_usable(x)))
+    rows = unnest(parsed, others, [*keep, "form"], "_r")
     return rows.select(*keep, "form", "_r.row_no", "_r.text", "_r.label")
 
 
@@ -122,11 +132,14 @@ def _usable(row: Column) -> Column:
 def _parsed_payloads(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Payloads with their form and ``_all``, the array of (row_no, text, label) of all their rows."""
     trimmed = lambda lines: F.transform(lines, lambda x: F.rtrim(x, F.lit("\r")))
-    form = payload_form(F.col(payload))
     # A line break inside quotes does not end a record of a CSV payload.
-    records = F.regexp_extract_all(F.col(payload), F.lit(r'((?:[^"\n]|"(?:[^"]|"")*+")++)'), 1)
-    lines = F.when(F.col("form") == CSV, trimmed(records)).otherwise(trimmed(F.split(payload, "\n")))
-    formed = df.select(*keep, payload).withColumn("form", form).withColumn("_lines", lines)
+    records = F.regexp_extract_all(F.col(payload), F.lit(r'((?:[^"\n]++|"(?:[^"]++|"")*+")++)'), 1)
+    # Only these two forms are read line by line.
+    lines = F.when(F.col("form") == CSV, trimmed(records)).when(F.col("form") == ARFF, trimmed(F.split(payload, "\n")))
+    formed = (
+        df.select(*keep, payload).withColumn("_first", _first_line(F.col(payload)))
+        .withColumn("form", _form_of(F.col("_first"))).withColumn("_lines", lines)
+    )
     is_data = lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("%") & ~F.trim(x).startswith("@")
     header = F.split(F.lower(F.get("_lines", F.lit(0))), ",")
     data = (
@@ -143,15 +156,16 @@ def _parsed_payloads(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
         "_json", F.when(F.col("form") == JSON, body)
     )
 
-    def fields(line: Column, no: Column, options: dict) -> Column:
-        r = F.from_csv(line, _ROW, options)
+    made = lambda text, label, no: F.struct(no.alias("row_no"), text.alias("text"), label.alias("label"))
+
+    def placed(r: Column, no: Column) -> Column:
         text = F.when(F.col("_class_first"), r["label"]).otherwise(r["text"])
-        label = F.when(F.col("_class_first"), r["text"]).otherwise(r["label"])
-        return F.struct(no.alias("row_no"), text.alias("text"), label.alias("label"))
+        return made(text, F.when(F.col("_class_first"), r["text"]).otherwise(r["label"]), no)
 
-    made = lambda text, label, no: F.struct(no.alias("row_no"), text.alias("text"), label.alias("label"))
-    arff = F.transform("_data", lambda x, i: fields(x, i, {"quote": "'", "escape": "\\"}))
-    csv = F.transform("_data", lambda x, i: fields(x, i, {"quote": '"', "escape": '"', "multiLine": "true"}))
+    # Every line is parsed once, then its fields are put in their places.
+    fields = lambda options: F.transform(F.transform("_data", lambda x: F.from_csv(x, _ROW, options)), placed)
+    arff = fields({"quote": "'", "escape": "\\"})
+    csv = fields({"quote": '"', "escape": '"', "multiLine": "true"})
     requests_ = F.transform("_json.dataSet", lambda d, i: made(d["text"], d["textClass"], i))
     tables = F.transform("_json.data", lambda d, i: made(F.get(d["values"], F.lit(0)), F.get(d["values"], F.lit(1)), i))
     every = F.when(F.col("form") == ARFF, arff).when(F.col("form") == CSV, csv).when(F.col("form") == JSON, F.coalesce(requests_, tables))
