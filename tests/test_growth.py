@@ -50,3 +50,30 @@ def test_a_saved_model_is_trained_once(spark, tmp_path):
     status = registry.save_models(params, str(tmp_path), "gaussian_nb", 1).first()
     again = registry.headers_of(registry.load_models(spark, str(tmp_path)).drop("model_id"), "gaussian_nb").first()
     assert status["model_id"] == again["model_id"]
+
+
+def test_only_labelled_texts_are_cut_into_words(spark, pieces):
+    from tonemill.plans import fixtures
+
+    made = fixtures.training(spark, pieces)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("LeftSemi") > plan.rindex("Generate ")  # the joins with the labels stand below the words
+    spark.conf.set("spark.tonemill.broadcastRows", "0")
+    try:
+        placed = fixtures.training(spark, pieces)
+        moved = {r["doc_id"]: tuple(round(r[f], 9) for f in fixtures.FEATURES) for r in placed.collect()}
+    finally:
+        spark.conf.unset("spark.tonemill.broadcastRows")
+    assert moved == {r["doc_id"]: tuple(round(r[f], 9) for f in fixtures.FEATURES) for r in made.collect()}
+    assert len(moved) == spark.read.parquet(f"{SF}/labels.parquet").count()
+
+
+def test_files_of_many_models_are_written_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tonemill.sources import registry
+
+    params = spark.range(40).select(F.lit("d").alias("domain"), F.col("id").alias("version"), F.lit("a").alias("label"), F.lit("f").alias("feature"), F.lit(1).cast("long").alias("n"), F.col("id").cast("double").alias("mean"), F.lit(0.0).alias("m2"))
+    registry.save_models(params, str(tmp_path), "gaussian_nb", 1, keys=["domain", "version"])
+    tasks = {Path(f).name.split("-")[1] for f in registry.load_models(spark, str(tmp_path)).inputFiles()}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,9 +123,16 @@ def vectors(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) ->
 
 
 def training(spark: SparkSession, sf_dir: str, domain: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """Labelled sentiment vectors: only ids and scores meet the labels, never the texts."""
+    """Labelled sentiment vectors: only texts that have a label are cut into words.
+
+    The ids of a label table beyond a broadcast are met by placing the texts by their id, once; their sentences then
+    stay in place, and moving a text costs far less than looking up its words.
+    """
     names = list(dict.fromkeys([domain, *(keep or [])]))
-    rows = with_labels(spark, sf_dir, vectors(spark, sf_dir, names))
+    known = as_lookup(labels(spark, sf_dir))
+    ids = replace(known, table=known.table.select("doc_id"))
+    texts = lookup_join(documents(spark, sf_dir).select("doc_id", *names, "text"), ids, ["doc_id"], "left_semi")
+    rows = lookup_join(sentiment_vectors(texts, lexicon(spark), keep=names), known, ["doc_id"], "inner")
     return rows.withColumn("domain", F.col(domain))
 
 

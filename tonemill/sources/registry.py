@@ -112,10 +112,12 @@ def save_models(
     rows = body.select("model_id", "label", "feature", "n", "mean", "m2", "domain", "n_params").dropDuplicates(
         ["domain", "model_id", "label", "feature"]
     )
-    # As many files as a model needs, however many tasks there are.
+    # As many files as a model needs, however many tasks there are.  Models are few bytes but a file each, so that
+    # their partitions are not to be merged: one task would write the files of thousands.
     files = F.ceil(F.col("n_params") / ROWS_PER_FILE)
     part = F.pmod(F.xxhash64("label", "feature"), files)
-    writer = rows.repartition("domain", "model_id", part).drop("n_params").write
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.repartition(tasks, "domain", "model_id", part).drop("n_params").write
     writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("domain", "model_id").parquet(f"{path}/params")
     columns = [f.split()[0] for f in HEADER_SCHEMA.split(", ")]
