@@ -77,3 +77,28 @@ def test_files_of_many_models_are_written_by_many_tasks(spark, tmp_path):
     registry.save_models(params, str(tmp_path), "gaussian_nb", 1, keys=["domain", "version"])
     tasks = {Path(f).name.split("-")[1] for f in registry.load_models(spark, str(tmp_path)).inputFiles()}
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+@pytest.mark.parametrize("learner", ["nearest", "local"])
+def test_texts_that_are_trained_on_and_asked_are_cut_into_words_once(spark, monkeypatch, learner):
+    from tonemill.plans import queries_vectors, training
+
+    plain, cut = training.sentiment_vectors, []
+    monkeypatch.setattr(training, "sentiment_vectors", lambda *a: cut.append(1) or plain(*a))
+    answered = queries_vectors._by_domain(spark, SF, learner).select("doc_id", "predicted").collect()
+    assert len(cut) == 1
+    texts = queries_vectors.labelled_texts(spark, SF, ["lang"]).withColumnRenamed("lang", "domain")
+    options = training.FeatureOptions(lexicon=queries_vectors.lexicon(spark))
+    apart = training.classify(texts, training.train(texts, learner, options)).select("doc_id", "predicted")
+    assert sorted(answered) == sorted(apart.collect())
+
+
+def test_a_row_without_a_text_is_asked_and_not_trained_on(spark):
+    from tonemill.plans import fixtures, training
+
+    rows = spark.createDataFrame([(1, "d", "a", "the idiot"), (2, "d", "b", None)], "doc_id long, domain string, label string, text string")
+    options = training.FeatureOptions(lexicon=fixtures.lexicon(spark))
+    made = training.with_vectors(rows, options, keep=["label"])
+    model = training.train(made, "nearest", options)
+    assert [r.doc_id for r in model.fitted.collect()] == [1]
+    assert {r.doc_id: r.predicted for r in training.classify(made, model).collect()} == {1: "a", 2: "a"}

@@ -149,3 +149,16 @@ def test_no_row_of_pairs_in_the_plan(spark):
     df = spark.createDataFrame([(i, [float(i)], "a") for i in range(10)], SCHEMA)
     plan = neighbours.nearest_rows(df, df, 2)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_equal_rows_count_as_often_as_they_can_be_near(spark):
+    rows = [(i, [0.0, 1.0], "a" if i % 2 else "b") for i in range(200)] + [(1000, [3.0, 1.0], "c")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    kept = neighbours._first_of_equal(df, "id", "vector", 3)
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 1000]
+    for skip_self in (True, False):
+        got = neighbours.nearest_rows(df, df, 2, skip_self=skip_self).orderBy("id", "rank").collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.id, []).append(r.neighbour)
+        assert found == brute(rows, rows, 2, skip_self)

@@ -104,6 +104,15 @@ def _pivots(train: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
     return np.array([r[vector] for r in rows], dtype=np.float64)
 
 
+def _first_of_equal(rows: DataFrame, key: str, vector: str, n: int) -> DataFrame:
+    """Of rows with equal vectors the ``n`` of the smallest ids; each task keeps as many before it shuffles.
+
+    Equally near rows go by their id, so the other ones are never among the ``n`` nearest.
+    """
+    window = Window.partitionBy(vector).orderBy(key)
+    return rows.withColumn("_nth", F.row_number().over(window)).filter(F.col("_nth") <= n).drop("_nth")
+
+
 def nearest_rows(
     queries: DataFrame,
     train: DataFrame,
@@ -120,10 +129,13 @@ def nearest_rows(
     each query an upper bound for its k-th distance, and by the triangle
     inequality only cells that can lie within that bound are visited.  A cell that
     holds many rows is split over several blocks, and so are the queries, so a
-    crowded cell becomes more blocks and not a larger one.
+    crowded cell becomes more blocks and not a larger one.  Rows with equal vectors
+    count as often as they can be among the nearest.
     """
     spark = train.sparkSession
-    train, queries = durable(train.select(key, vector, label)), durable(queries.select(key, vector))
+    wanted = k + 1 if skip_self else k
+    train = durable(_first_of_equal(train.select(key, vector, label), key, vector, wanted))
+    queries = durable(queries.select(key, vector))
     n_train = train.count()
     out = f"{key} long, neighbour long, label string, dist2 double"
     if n_train == 0 or queries.isEmpty():
@@ -151,7 +163,6 @@ def nearest_rows(
     sizes = np.array([c["n"] for c in cells])
     low = np.array([c["low"] for c in cells])
     high = np.array([c["high"] for c in cells])
-    wanted = k + 1 if skip_self else k
 
     @F.pandas_udf("struct<home:int,cells:array<int>>")
     def visits(values: pd.Series) -> pd.DataFrame:

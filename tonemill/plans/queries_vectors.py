@@ -380,8 +380,9 @@ _LOCAL_BY_DOMAIN = (
 
 def _by_domain(spark, sf, learner: str) -> DataFrame:
     texts = labelled_texts(spark, sf, ["lang"]).withColumnRenamed("lang", "domain")
-    model = training_plans.train(texts, learner, training_plans.FeatureOptions(lexicon=lexicon(spark)))
-    return training_plans.classify(texts, model)
+    options = training_plans.FeatureOptions(lexicon=lexicon(spark))
+    made = training_plans.with_vectors(texts, options, keep=["label"])
+    return training_plans.classify(made, training_plans.train(made, learner, options))
 
 
 @query("x1_local_by_domain", f"""WITH {_LOCAL_BY_DOMAIN}

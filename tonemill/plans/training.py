@@ -49,11 +49,23 @@ class TextModel:
 
 
 def _vectors(df: DataFrame, features: FeatureOptions, key: str, keep: list[str]) -> DataFrame:
+    if set(FEATURES) <= set(df.columns):
+        return df.select(key, *keep, *FEATURES)
     if features.lexicon is None:
         raise ValueError("sentiment features need a scored lexicon")
     return sentiment_vectors(df, features.lexicon, key, "text", keep, features.tagger)
 
 
+def with_vectors(df: DataFrame, features: FeatureOptions, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Rows (key, domain, keep..., text) with their sentiment vectors, made and stored once for ``train`` and ``classify``.
+
+    A text is emptied, as it is not read again; a row without one stays without.
+    """
+    emptied = with_domain(df).withColumn("_text", F.when(F.col("text").isNotNull(), ""))
+    made = _vectors(emptied, features, key, ["domain", *(keep or []), "_text"])
+    return durable(made.withColumnRenamed("_text", "text"), "vectors")
+
+
 def _terms(df: DataFrame, features: FeatureOptions, key: str) -> DataFrame:
     return with_terms(df, features.tokenizer, lemmas=features.lemmas, key=key)
 
