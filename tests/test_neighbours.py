@@ -162,3 +162,14 @@ def test_equal_rows_count_as_often_as_they_can_be_near(spark):
         for r in got:
             found.setdefault(r.id, []).append(r.neighbour)
         assert found == brute(rows, rows, 2, skip_self)
+
+
+@pytest.mark.parametrize(("n_asked", "n_points"), [(1, 1), (70, 1500), (130, 3000)])
+def test_tiles_add_up_to_the_whole_sums(n_asked, n_points):
+    rng = np.random.default_rng(9)
+    asked, points, columns = rng.random((n_asked, 5)), rng.random((n_points, 5)), rng.random((n_points, 4))
+    points[0] = asked[0]
+    far, sums = neighbours._distance_sums(asked, points, columns)
+    gaps = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(2))
+    assert np.allclose(far, gaps.max(1), rtol=1e-14, atol=0) and np.allclose(sums, gaps @ columns, rtol=1e-12, atol=0)
+    assert (n_points > 1) or far[0] == 0.0
