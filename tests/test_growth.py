@@ -102,3 +102,15 @@ def test_a_row_without_a_text_is_asked_and_not_trained_on(spark):
     model = training.train(made, "nearest", options)
     assert [r.doc_id for r in model.fitted.collect()] == [1]
     assert {r.doc_id: r.predicted for r in training.classify(made, model).collect()} == {1: "a", 2: "a"}
+
+
+def test_grams_of_shingles_without_making_the_pairs(spark, monkeypatch):
+    from tonemill.operators import words
+
+    texts = [None, "", "...", "the", "a", "x", "house", "the the the", "the house", "a b c d", "U.S.A. the cat's mat", "été 42 𝒳𝒴 the İstanbul é", "one two one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for low, high in ((1, 3), (2, 2), (1, 1), (3, 5)):
+        every = words.char_ngram_counts(words.with_terms(df, "shingles"), low, high)
+        assert rows_of(words.shingle_ngram_counts(df, low, high)) == rows_of(every)
+    monkeypatch.setattr(words, "char_ngram_counts", None)  # cuts every pair into all its windows
+    assert driver.queries()["f7_char_ngrams"](spark, SF).count() > 0

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonemill.functions.text import char_windows, prefixes, shingles, unnest, word_ngrams, words
+from tonemill.functions.text import char_ngrams, char_windows, is_stop, prefixes, shingles, unnest, word_ngrams, words
 from tonemill.operators.joins import lookup_join, store_lookup
 from tonemill.session import durable
 
@@ -83,6 +83,30 @@ def char_ngram_counts(df: DataFrame, low: int, high: int, terms: str = "terms")
     return grams.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def shingle_ngram_counts(df: DataFrame, low: int, high: int, text: str = "text") -> DataFrame:
+    """(gram, n) over the characters of all shingles of the texts, as ``char_ngram_counts`` gives them.
+
+    Every gram of a pair is a gram of one of its words or holds the blank between them.  So a word is cut into grams
+    once, and counts as often as it stands in a pair, and by itself unless it is a stop word; what is left of a pair is
+    a joint, the few characters at both sides of its blank.  Words and joints repeat much more than pairs do.
+    """
+    tail = high - 1
+    cut = df.select(words(F.col(text)).alias("_words"))
+    ends = F.zip_with("_words", F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.concat(F.substring(a, -tail, tail), F.lit(" "), F.substring(b, 1, tail)))
+    joints = F.filter(ends, lambda x: x.isNotNull())
+    sized = cut.select(F.concat("_words", joints).alias("_pieces"), F.size("_words").alias("_n"))
+    pieces = unnest(sized, F.col("_pieces"), ["_n"], "piece", "pos")
+    # A word is in a pair with the word before it and in one with the word after it.
+    pairs = ((F.col("pos") > 0) & (F.col("pos") < F.col("_n"))).cast("int") + (F.col("pos") < F.col("_n") - 1).cast("int")
+    counted = pieces.groupBy("piece", pairs.alias("pairs")).agg(F.count(F.lit(1)).alias("n"))
+    joint = F.col("piece").contains(" ")
+    # A joint counts once, also one that is a blank alone.
+    times = F.col("n") * (F.col("pairs") + F.when(is_stop(F.col("piece")) & ~joint, 0).otherwise(1))
+    weighted = counted.select("piece", times.alias("n")).filter(F.col("n") > 0)
+    kept = F.filter(char_ngrams(F.col("piece"), low, high), lambda g: ~joint | g.contains(" "))
+    return unnest(weighted, kept, ["n"], "gram").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def joined_distinct_terms(terms: Column) -> Column:
     """The distinct terms of a text in order of first use, joined by blanks."""
     return F.array_join(F.array_distinct(terms), " ")

@@ -72,7 +72,7 @@ def f6(spark, sf):
   GROUP BY gram""")
 def f7(spark, sf):
     """Grams of one to three characters of all shingles."""
-    return words.char_ngram_counts(words.with_terms(documents(spark, sf), "shingles"), 1, 3)
+    return words.shingle_ngram_counts(documents(spark, sf), 1, 3)
 
 
 @query("f8_word_ngrams", f"""SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (
