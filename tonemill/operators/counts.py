@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tonemill.functions.text import char_ngrams, unnest
 from tonemill.operators.bayes import pick_class, raised_scores, scaled, sum_of, top_of
 from tonemill.operators.joins import Lookup, lookup_join, store_lookup
+from tonemill.operators.runs import run_sums
 from tonemill.session import durable
 
 TEXTS = ""
@@ -193,12 +194,19 @@ def _gains_by_text(rows: DataFrame, model: CountModel, key: list[str], keep: lis
 # The character model of the language classifier.
 CHAR_ORDER = 8
 CHAR_ALPHA = 0.5
+#: What the metadata of a column of character runs names: how long these are and the column they are cut from.
+RUNS, RUNS_OF = "tonemill.runs", "tonemill.runsOf"
 
 
 def with_char_grams(df: DataFrame, order: int = CHAR_ORDER, text: str = "text", name: str = "terms") -> DataFrame:
+    """Add the runs of ``order`` characters; the column says so, and beside it stands the text that they are cut from.
+
+    Runs that are only counted can then be cut where they are counted.
+    """
     if not 1 <= order <= CHAR_ORDER:
         raise ValueError(f"the order has to be between 1 and {CHAR_ORDER}")
-    return df.withColumn(name, char_ngrams(F.col(text), order, order))
+    of = f"_{name}_of"
+    return df.withColumns({of: F.col(text), name: char_ngrams(F.col(text), order, order).alias(name, metadata={RUNS: order, RUNS_OF: of})})
 
 
 def prepare_char_model(stats: DataFrame) -> CountModel:
@@ -206,19 +214,11 @@ def prepare_char_model(stats: DataFrame) -> CountModel:
     return prepare_counts(stats, alpha=CHAR_ALPHA, prior=False, known_only=False)
 
 
-def char_scores_among(df: DataFrame, key: list[str], label: str = "label", terms: str = "terms", keep: list[str] | None = None) -> DataFrame:
-    """The answers of a character model that is trained on those of the rows that have a class, for all rows.
-
-    The model has nearly as many runs as the texts and is asked for every one of them, so it is not laid out as a table
-    that the texts meet again: each run of each text is shuffled once, to where all its like are counted by class, and what
-    these counts add is summed up there by text.
-    """
-    keep = keep or []
-    names = sorted(r["_l"] for r in df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_l")).distinct().collect())
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    runs = df.select(*key, *[c for c in keep if c != label], F.col(label).alias("_label"), F.explode_outer(terms).alias("term"))
+def _sums_of_terms(df: DataFrame, others: list[str], label: str, terms: str, names: list[str]) -> DataFrame:
+    """(others..., _label, _n, _new, _g0...) of any terms: a row per term is shuffled."""
+    runs = df.select(*others, F.col(label).alias("_label"), F.explode_outer(terms).alias("term"))
     # The one row of a text without a run is dealt by its text, so that these rows do not meet.
-    runs = runs.withColumn("_own", F.when(F.col("term").isNull(), F.xxhash64(*key)))
+    runs = runs.withColumn("_own", F.when(F.col("term").isNull(), F.xxhash64(*others)))
     alike = Window.partitionBy("term", "_own")
     counted = runs.withColumns({f"_c{i}": F.count(F.when(F.col("_label") == name, F.col("term"))).over(alike) for i, name in enumerate(names)})
     first = F.col("term").isNotNull() & (F.row_number().over(alike.orderBy("term")) == 1)
@@ -227,11 +227,31 @@ def char_scores_among(df: DataFrame, key: list[str], label: str = "label", terms
         known = known | (F.col(f"_c{i}") > 0)
     floor = math.log(CHAR_ALPHA)
     gains = {f"_g{i}": F.log(F.col(f"_c{i}") + F.lit(CHAR_ALPHA)) - floor for i in range(len(names))}
-    shown = [*key, *[c for c in keep if c != label], "_label"]
-    per_text = counted.withColumn("_first", first).withColumn("_known", known).withColumns(gains).groupBy(*shown).agg(
+    return counted.withColumn("_first", first).withColumn("_known", known).withColumns(gains).groupBy(*others, "_label").agg(
         F.count("term").alias("_n"), F.count_if(F.col("_first") & F.col("_known")).alias("_new"),
         *[F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col(g))), F.lit(0.0)).alias(g) for g in gains],
     )
+
+
+def char_scores_among(df: DataFrame, key: list[str], label: str = "label", terms: str = "terms", keep: list[str] | None = None) -> DataFrame:
+    """The answers of a character model that is trained on those of the rows that have a class, for all rows.
+
+    The model has nearly as many runs as the texts and is asked for every one of them, so it is not laid out as a table
+    that the texts meet again: each run of each text is shuffled once, to where all its like are counted by class, and what
+    these counts add is summed up there by text.  Runs of ``with_char_grams`` travel as fragments of their texts, other terms one by one.
+    """
+    keep = keep or []
+    names = sorted(r["_l"] for r in df.filter(F.col(label).isNotNull()).select(F.col(label).alias("_l")).distinct().collect())
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    others = [*key, *[c for c in keep if c != label]]
+    made_of = df.schema[terms].metadata
+    if made_of.get(RUNS_OF) in df.columns:
+        number = F.coalesce(*[F.when(F.col(label) == name, F.lit(i)) for i, name in enumerate(names)], F.lit(-1))
+        texts = df.select(*others, F.col(label).alias("_label"), number.alias("_no"), F.col(made_of[RUNS_OF]).alias("_text"))
+        sums = run_sums(texts, [*others, "_label"], made_of[RUNS], len(names), CHAR_ALPHA)
+        per_text = sums.groupBy(*others, "_label").agg(*[F.sum(c).alias(c) for c in ("_n", "_new", *[f"_g{i}" for i in range(len(names))])])
+    else:
+        per_text = _sums_of_terms(df, others, label, terms, names)
     stored = durable(per_text, "char-scores")
     sizes = {r["_label"]: r for r in stored.groupBy("_label").agg(total("_n").alias("n"), total("_new").alias("v")).collect()}  # one per class
     v = sum(r["v"] for r in sizes.values())
@@ -239,5 +259,5 @@ def char_scores_among(df: DataFrame, key: list[str], label: str = "label", terms
         F.struct(F.lit(i).alias("label_idx"), F.lit(name).alias("label"), F.lit(0.0).alias("prior"), F.lit(math.log(sizes[name]["n"] + CHAR_ALPHA * v)).alias("log_total"))
         for i, name in enumerate(names)
     ]
-    answers = _scored(stored.withColumn("classes", F.array(*classes)), names, floor)
+    answers = _scored(stored.withColumn("classes", F.array(*classes)), names, math.log(CHAR_ALPHA))
     return answers.withColumn(label, F.col("_label")).select(*key, *keep, "dist", "predicted", "prob")
