@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tonemill.sources import corpus, registry, requests
+from tonemill.sources import corpus, files, registry, requests
 from tonemill.sources.lexicon import by_term, parse_lines, read_lexicon, score_lexicon
 
 
@@ -85,6 +85,54 @@ def test_class_directories_are_listed_once_each(spark, tmp_path):
         assert relation.location().rootPaths().size() == 2  # the classes, not their files
 
 
+def _files_held(df):
+    """Files whose state the driver keeps for the tables that a query reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(leaves.apply(i).relation().location().allFiles().size() for i in range(leaves.size()))
+
+
+def test_the_driver_does_not_hold_the_files_of_class_directories(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"corpus/{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"corpus/{i % 3}/{i}").write_text(f"text {i}")
+    found, listed = corpus.read_class_dirs(spark, str(tmp_path / "corpus")), corpus.class_dir_files(spark, str(tmp_path / "corpus"))
+    assert found.count() == listed.count() == 300
+    assert {(r.label, r.text) for r in found.collect()} == {(str(i % 3), f"text {i}") for i in range(300)}
+    assert max(_files_held(found), _files_held(listed)) <= 6
+
+
+def test_odd_names_and_contents_of_class_directories(spark, tmp_path):
+    names = ["a b.txt", "g%41 i+j", "é𝒳\u3000", "[1]{2}^`|\"<>", "q?r#s", "_a=b", "_skipped", ".hidden", "half._COPYING_", "empty"]
+    for label in ("pos +1", "_neg", "none"):
+        (tmp_path / "corpus" / label).mkdir(parents=True)
+        for name in names if label != "none" else []:
+            (tmp_path / "corpus" / label / name).write_bytes(b"" if name == "empty" else b"\xef\xbb\xbf\r\n \xff " + name.encode())
+    root = str(tmp_path / "corpus")
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*").select(F.col("content").cast("string"), F.col("_metadata.file_path"))
+    found = corpus.read_class_dirs(spark, root)
+    assert sorted(found.select("text", "file").collect()) == sorted(plain.collect()) and found.count() == 12
+    assert {r.label for r in found.collect()} == {"pos +1", "_neg"}
+    assert sorted(r.file for r in corpus.class_dir_files(spark, root).collect()) == sorted(r.file_path for r in plain.collect())
+
+
+def test_a_file_that_does_not_fit_its_checksums_fails(spark, tmp_path):
+    spark.createDataFrame([("x" * 2000,)], "text string").coalesce(1).write.text(str(tmp_path / "corpus/pos"))
+    assert [r.text for r in corpus.read_class_dirs(spark, str(tmp_path / "corpus")).collect()] == ["x" * 2000 + "\n"]
+    (file,) = (tmp_path / "corpus/pos").glob("part-*")
+    file.write_text("x" * 1999 + "y\n")
+    with pytest.raises(PySparkException, match="checksum error"):
+        corpus.read_class_dirs(spark, str(tmp_path / "corpus")).collect()
+
+
+def test_a_file_for_every_row_also_after_a_second_try(spark, tmp_path):
+    rows = spark.createDataFrame([("pos", "a"), ("pos", "a"), ("neg", "a"), ("pos", None), ("pos", "é\n")] * 2, "label string, text string").repartition(2)
+    root = str(tmp_path / "corpus")
+    files.write_files(rows, root, ["neg", "pos", "none"])
+    rows.mapInArrow(files._written(root), "n long").collect()
+    assert sorted((r.label, r.text) for r in corpus.read_class_dirs(spark, root).collect()) == sorted([("pos", "a\n"), ("pos", "a\n"), ("neg", "a\n"), ("pos", "\n"), ("pos", "é\n\n")] * 2)
+    assert (tmp_path / "corpus/none").is_dir()
+
+
 def test_json_requests(spark):
     payloads = [
         '{"domain":"m","classes":["neg","pos"],"dataSet":[{"text":"a","textClass":"pos"},{"text":"b","textClass":""},'

@@ -11,7 +11,7 @@ from tonemill.plans.fixtures import (
     LABELS, SENTENCE_LIST, documents, labelled_texts, labels, query, table,
 )
 from tonemill.session import scratch
-from tonemill.sources import corpus, requests
+from tonemill.sources import corpus, files, requests
 
 _FLAT = "translate(text, chr(10) || chr(9) || chr(13), '   ')"
 
@@ -24,7 +24,11 @@ def write_class_dirs(spark, sf) -> str:
     """One folder per class and one file per labelled document, written in parallel."""
     root = scratch(spark, "classes")
     texts = labelled_texts(spark, sf).select("label", "text")
-    for name in ("neg", "pos"):
+    names = ["neg", "pos"]
+    if (local := files.local_path(spark, root)) is not None:
+        files.write_files(texts, local, names)
+        return root
+    for name in names:
         part = texts.filter(F.col("label") == name).select("text")
         part.write.option("maxRecordsPerFile", 1).text(f"{root}/{name}")
     return root

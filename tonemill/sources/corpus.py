@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonemill.sources import files
+
 # Classes of the score codes when a format names none.
 DEFAULT_SCORES = {0: "neg", 1: "pos"}
 
@@ -83,6 +85,17 @@ def _path_part(path: Column, from_end: int) -> Column:
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
+def _local_classes(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(class, folder) of the directories in a ``root`` of the machines' own file system; none for a root of another kind."""
+    if files.local_path(spark, root) is None:
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return sorted((s.getPath().getName(), s.getPath().toUri().getPath()) for s in fs.listStatus(at) if s.isDirectory())
+
+
 def _in_class_dirs(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """(..., label, file): what a reader finds in the files directly in the sub-directories of ``root``.
 
@@ -109,11 +122,16 @@ def _path_of(spark: SparkSession, path: str) -> str:
 def read_class_dirs(spark: SparkSession, root: str) -> DataFrame:
     """(text, label, file): one row per file of each sub-directory, whose name is the class.
 
-    Files are read whole and decoded in one piece; empty files give no row.
+    Files are read whole and decoded in one piece; empty files give no row.  Workers list and read the files of the machines'
+    own file system, so that the driver knows the classes only; those of other systems are found by the engine's reader.
     """
+    if classes := _local_classes(spark, root):
+        return files.read_files(files.list_folders(spark, classes))
     return _in_class_dirs(spark, root, "text").select(F.col("value").alias("text"), "label", "file")
 
 
 def class_dir_files(spark: SparkSession, root: str) -> DataFrame:
     """(file): every file in the class directories, by name only."""
+    if classes := _local_classes(spark, root):
+        return files.list_folders(spark, classes).select("file")
     return _in_class_dirs(spark, root, "binaryFile").select("file")
